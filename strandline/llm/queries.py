@@ -6,15 +6,36 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import token_files
+from . import licenses, mixing, token_files, top_inner, url_rules
+from .oracles import ORACLE_SQL
 from .shared import table
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files,)}
+def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's label is that of the document whose number ends its path."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("label_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    number = F.expr("try_cast(regexp_extract(path, '([0-9]+)[^0-9/]*/?$', 1) as bigint)")
+    return url_rules.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), labels, number)
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix_sizes(docs).select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_copies") * F.col("mix_size")).alias("taken"))
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("notices")
+
+
+def op10_top_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_inner.search_table(table(spark, sf_dir, "embeddings"))
+
 
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_token_files, op4_url_rules, op6_mixing, op9_licenses, op10_top_inner)}
