@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, token_files, top_inner, url_rules
+from . import byte_bpe, licenses, mixing, token_files, top_inner, toxicity, url_rules
 from .oracles import ORACLE_SQL
 from .shared import table
 
@@ -18,6 +18,18 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.train_and_score(docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", F.coalesce(toxicity.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's label is that of the document whose number ends its path."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("label_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
@@ -38,4 +50,4 @@ def op10_top_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_inner.search_table(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op4_url_rules, op6_mixing, op9_licenses, op10_top_inner)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_byte_bpe, op3_toxicity, op4_url_rules, op6_mixing, op9_licenses, op10_top_inner)}

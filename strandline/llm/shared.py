@@ -7,6 +7,7 @@ import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,3 +49,8 @@ def values(batch: pa.RecordBatch, name: str) -> list:
 def rows(schema: pa.Schema, *columns) -> pa.RecordBatch:
     """A batch from one list or array per field."""
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def widened(df: DataFrame, **added: str) -> T.StructType:
+    """df's schema with columns added, by name and type."""
+    return T.StructType([*df.schema.fields, *(T.StructField(n, T._parse_datatype_string(t)) for n, t in added.items())])
