@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, licenses, mixing, token_files, top_inner, toxicity, url_rules
+from . import byte_bpe, licenses, mixing, quality_rules, token_files, top_inner, toxicity, url_rules
 from .oracles import ORACLE_SQL
 from .shared import table
 
@@ -37,6 +37,10 @@ def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), labels, number)
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix_sizes(docs).select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_copies") * F.col("mix_size")).alias("taken"))
@@ -50,4 +54,4 @@ def op10_top_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_inner.search_table(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_byte_bpe, op3_toxicity, op4_url_rules, op6_mixing, op9_licenses, op10_top_inner)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_byte_bpe, op3_toxicity, op4_url_rules, op5_quality_rules, op6_mixing, op9_licenses, op10_top_inner)}
