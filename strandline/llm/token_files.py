@@ -12,7 +12,9 @@ kept, ordered by text hash; an empty table gives empty files. One document must
 
 from __future__ import annotations
 
+from collections import ChainMap
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,22 +27,51 @@ from .shared import binaries, rows, scratch, stored, values
 BLOCK = 256
 SEGMENT_IDS = 1 << 17
 MAX_LENGTH = 18
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
 
 
 class WordIds(dict):
-    """Ids of words between white space, as little-endian unsigned 32-bit bytes; filled batch by batch, of bounded size."""
+    """Ids of lower-case words between white space, as little-endian unsigned 32-bit bytes.
+
+    Lives as long as the Python worker. The first CACHE_WORDS words and stems, which the frequent ones are among, stay;
+    later ones are held for one batch, so memory is bounded. A word's full stops and commas at the end, after a letter
+    or digit, are tokens of their own, so only the stem is encoded.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
 
-    def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer, self.stems, self.late = Tokenizer.from_file(path), {}, []
+
+    def encoded(self, words: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self) > CACHE_WORDS:
-            self.clear()
+        for w in self.late:
+            del self[w]
         new = [w for w in words if w not in self]
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        self.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, found, strict=True))
+        cut = {}
+        for w in new:
+            stem = w.rstrip(b".,")
+            if len(stem) < len(w) and stem and stem.decode("utf-8", "replace")[-1].isalpha():
+                cut[w] = stem
+        parts = {cut.get(w, w) for w in new} | {w[len(s) :] for w, s in cut.items()}
+        stems, unknown = self.stems, [p for p in parts if p not in self.stems]
+        fresh = dict(zip(unknown, self.encoded(unknown), strict=True))
+        if len(stems) < CACHE_WORDS:
+            stems.update(fresh)
+        else:
+            stems = ChainMap(fresh, stems)
+        for w in new:
+            self[w] = stems[cut[w]] + stems[w[len(cut[w]) :]] if w in cut else stems[w]
+        self.late = new if len(self) > CACHE_WORDS else []
+
+
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    return WordIds(path)
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
@@ -55,14 +86,12 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        cache = WordIds(Tokenizer.from_file(tokenizer_path))
+        cache = word_ids(tokenizer_path)
         end, at, part = np.array([end_id], "<u4").tobytes(), 0, TaskContext.get().partitionId()
         for batch in batches:
             for b in range(0, batch.num_rows, 1000):
                 piece = batch.slice(b, 1000)
-                words = [t.split() for t in binaries(piece, "text")]
+                words = [t.lower().split() for t in binaries(piece, "text")]  # the tokenizer lower-cases anyway
                 cache.learn(set().union(*words))
                 ids = [b"".join(map(cache.__getitem__, w)) + end for w in words]
                 sizes = np.fromiter(map(len, ids), np.int64) // 4
