@@ -181,3 +181,8 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], names=[*part.schema.names, "decoded"])
 
     return coded.mapInArrow(run, widened(coded, decoded="binary"))
+
+
+def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, n_tokens, and the SHA-256 of the ids and of the bytes that they decode to."""
+    return decode(encode(docs, path, pattern), path).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -262,3 +262,17 @@ def join(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFram
     lowest = labelled.where("component is not null").groupBy("component").agg(F.min("least").alias("lowest"))
     named = labelled.join(lowest, "component", "left").select("print1", "print2", F.coalesce("lowest", "least").alias("component_id"))
     return every.join(named, ["print1", "print2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """docs without the rows whose doc_id isn't its component's smallest; of rows that repeat a doc_id, the first by text stays."""
+    found = stored(join(docs, size, percent), "joined")
+    more = stored(found.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
+    few = more.count() <= MAX_SENT_IDS
+    kept = docs.join(F.broadcast(more) if few else more, "doc_id", "left_anti").select(*docs.columns)
+    twice = stored(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("jaccard_rows")).where("jaccard_rows > 1").select("doc_id"), "repeated")
+    if twice.isEmpty():
+        return kept
+    place = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    again = kept.join(twice, "doc_id", "left_semi").withColumn("jaccard_place", F.row_number().over(place)).where("jaccard_place = 1")
+    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(again.select(*docs.columns))

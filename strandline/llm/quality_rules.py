@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import binaries, rows, stored, values
+from .shared import binaries, rows, stored, values, widened
 
 ORDER, MAX_GRAMS, MIN_WORDS, REPEAT_PERCENT, BELOW, ABOVE, SHORT, MIN_DOCS = 5, 2_000_000, 10, 20, 4.0, 3.0, 60, 20
 START, END, SYMBOLS, WINDOW, KNOWN_WORDS = "\x02", "\x03", b"#*$%&|<>", 5, 300_000
@@ -206,13 +206,15 @@ def train(docs: DataFrame, order: int = ORDER, max_grams: int = MAX_GRAMS) -> Kn
     return KneserNey(languages, table["gram"].tolist(), table["lang"].map(place).to_numpy(np.int64) if len(table) else np.zeros(0, np.int64), table["n"].to_numpy(), order)
 
 
-ADDED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, loss double"
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+PREFIX = "quality_"
 
 
 def measure(docs: DataFrame, model: KneserNey) -> DataFrame:
-    """docs: doc_id, lang, text. Per row doc_id, lang, the base counts, base_failed, and the mean log loss per character."""
+    """docs: quality_lang, quality_text and any others, which are kept; adds the base counts, quality_base_failed and
+    quality_loss (the mean log loss per character)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), *((n, pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), ("base_failed", pa.bool_()), ("loss", pa.float64())])
+    kept = [c for c in docs.columns if c != PREFIX + "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if shared.value.id not in _losses:
@@ -221,32 +223,35 @@ def measure(docs: DataFrame, model: KneserNey) -> DataFrame:
         for batch in batches:
             for b in range(0, batch.num_rows, 500):
                 part = batch.slice(b, 500)
-                texts, langs = binaries(part, "text"), values(part, "lang")
-                characters = [n or 0 for n in pc.utf8_length(part.column(part.schema.get_field_index("text"))).to_pylist()]
+                texts, langs = binaries(part, PREFIX + "text"), values(part, PREFIX + "lang")
+                characters = [n or 0 for n in pc.utf8_length(part.column(part.schema.get_field_index(PREFIX + "text"))).to_pylist()]
                 words = [t.split() for t in texts]
                 for lang in set(langs):
                     caches.setdefault(lang, WordLosses(shared.value, lang)).learn(set().union(*(w for w, x in zip(words, langs) if x == lang)))
                 counts = [base_counts(*x) for x in zip(texts, characters, words, strict=True)]
                 failed = [c[0] < MIN_WORDS or 100 * c[4] > REPEAT_PERCENT * c[0] for c in counts]
                 losses = [sum(map(caches[x].__getitem__, w)) / (c[0] + c[1]) if w else None for x, w, c in zip(langs, words, counts, strict=True)]
-                yield rows(schema, values(part, "doc_id"), langs, *map(list, zip(*counts)), failed, losses)
+                old = [part.column(part.schema.get_field_index(c)) for c in kept]
+                new = [*(pa.array(x, pa.int64()) for x in zip(*counts)), pa.array(failed, pa.bool_()), pa.array(losses, pa.float64())]
+                yield pa.RecordBatch.from_arrays(old + new, names=[*kept, *(PREFIX + c for c in (*COUNTS, "base_failed", "loss"))])
 
-    chosen = docs.selectExpr("cast(doc_id as long) doc_id", "coalesce(cast(lang as string), '') lang", "cast(text as string) text")
-    return chosen.mapInArrow(run, f"doc_id long, lang string, {ADDED}")
+    schema = widened(docs.select(*kept), **{PREFIX + c: "long" for c in COUNTS}, **{PREFIX + "base_failed": "boolean", PREFIX + "loss": "double"})
+    return docs.mapInArrow(run, schema)
 
 
 def bands(measured: DataFrame) -> DataFrame:
-    """lang, low, high, below, above: quartiles of the texts that pass the base rules, and how far the band goes beyond them."""
-    q = F.percentile_approx("loss", [0.25, 0.75], 10_000)
-    found = measured.where("not base_failed and loss is not null").groupBy("lang").agg(q.alias("q"), F.count("*").alias("n")).where(F.col("n") >= MIN_DOCS)
+    """quality_lang, low, high, below, above: quartiles of the texts that pass the base rules, and how far the band goes beyond them."""
+    q = F.percentile_approx("quality_loss", [0.25, 0.75], 10_000)
+    found = measured.where("not quality_base_failed and quality_loss is not null").groupBy("quality_lang").agg(q.alias("q"), F.count("*").alias("n")).where(F.col("n") >= MIN_DOCS)
     width = F.col("q")[1] - F.col("q")[0]
-    return found.select("lang", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), (BELOW * width).alias("below"), (ABOVE * width).alias("above"))
+    return found.select("quality_lang", F.col("q")[0].alias("quality_low"), F.col("q")[1].alias("quality_high"), (BELOW * width).alias("quality_below"), (ABOVE * width).alias("quality_above"))
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """doc_id, the base counts, base_failed, loss, kept: one row per row of docs (doc_id, lang, text)."""
-    measured = stored(measure(docs, train(docs)), "quality")
-    banded = measured.join(F.broadcast(bands(measured)), "lang", "left")  # a row per language
-    wider = F.sqrt(1 + SHORT / F.greatest("n_words", F.lit(1)))
-    inside = F.col("low").isNull() | F.col("loss").isNull() | F.col("loss").between(F.col("low") - F.col("below") * wider, F.col("high") + F.col("above") * wider)
-    return banded.withColumn("kept", ~F.col("base_failed") & inside).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "loss", "kept")
+def judge(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns of docs named in keep, the base counts, base_failed, loss and kept, all with the prefix quality_: a row per row of docs."""
+    chosen = docs.select(*keep, F.coalesce(F.col("lang").cast("string"), F.lit("")).alias(PREFIX + "lang"), F.col("text").cast("string").alias(PREFIX + "text"))
+    measured = stored(measure(chosen, train(docs)), "quality")
+    banded = measured.join(F.broadcast(bands(measured)), PREFIX + "lang", "left")  # a row per language
+    wider = F.sqrt(1 + SHORT / F.greatest("quality_n_words", F.lit(1)))
+    inside = F.col("quality_low").isNull() | F.col("quality_loss").isNull() | F.col("quality_loss").between(F.col("quality_low") - F.col("quality_below") * wider, F.col("quality_high") + F.col("quality_above") * wider)
+    return banded.withColumn("quality_kept", ~F.col("quality_base_failed") & inside).drop("quality_lang", "quality_low", "quality_high", "quality_below", "quality_above")

@@ -210,26 +210,28 @@ def fitted(labelled: DataFrame, lexicon: Lexicon) -> Lexicon:
     return Lexicon(lexicon.weights, lexicon.exceptions, float(beta[0]), float(beta[1]))
 
 
-def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """docs with a column toxicity, 0 to 1. Other columns are kept."""
+def score(docs: DataFrame, lexicon: Lexicon, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns of docs named in keep, and toxicity, 0 to 1: a row per row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in range(0, batch.num_rows, 1000):
                 part = batch.slice(b, 1000)
-                scores = [shared.value.score(fold(t or "")) for t in values(part, "text")]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], names=[*part.schema.names, "toxicity"])
+                scores = [shared.value.score(fold(t or "")) for t in values(part, "toxicity_text")]
+                old = [part.column(part.schema.get_field_index(c)) for c in keep]
+                yield pa.RecordBatch.from_arrays([*old, pa.array(scores, pa.float64())], names=[*keep, "toxicity"])
 
-    return docs.mapInArrow(run, widened(docs, toxicity="double"))
+    chosen = docs.select(*keep, F.col("text").cast("string").alias("toxicity_text"))
+    return chosen.mapInArrow(run, widened(docs.select(*keep), toxicity="double"))
 
 
 def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
-def train_and_score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Learns from the labels of rows that aren't held out and scores all rows: docs with toxicity. labels: doc_id, toxic."""
+def train_and_score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Learns from the labels of rows that aren't held out and scores all rows: the columns named in keep, and toxicity. labels: doc_id, toxic."""
     known = labels.where(F.col("toxic").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(True))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     labelled = docs.select("doc_id", "text").join(known, "doc_id").select("text", "toxic")
-    return score(docs, learn(labelled))
+    return score(docs, learn(labelled), keep)
