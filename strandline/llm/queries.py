@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, jaccard_join, licenses, mixing, quality_rules, token_files, top_inner, toxicity, url_rules
+from . import byte_bpe, jaccard_join, licenses, mixing, quality_rules, token_files, top_inner, toxicity, url_rules, weak_labels
 from .oracles import ORACLE_SQL
 from .shared import table
 
@@ -45,6 +45,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(docs).select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_copies") * F.col("mix_size")).alias("taken"))
 
 
+def op7_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_labels.classify(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
@@ -57,4 +61,4 @@ def op10_top_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_inner.search_table(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_byte_bpe, op3_toxicity, op4_url_rules, op5_quality_rules, op6_mixing, op8_jaccard_join, op9_licenses, op10_top_inner)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_byte_bpe, op3_toxicity, op4_url_rules, op5_quality_rules, op6_mixing, op7_weak_labels, op8_jaccard_join, op9_licenses, op10_top_inner)}
