@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import rows, values, widened
+from .shared import rows, stored, values, widened
 
 MIN_SUPPORT, MIN_WEIGHT, MIN_EVIDENCE, STEMS, MAX_ENTRIES, THRESHOLD = 3, 2.5, 30.0, (4, 5, 6), 20_000, 0.7
-EXCEPTION_SUPPORT, EXCEPTION_SHARE, BINS = 5, 0.1, 400
+EXCEPTION_SUPPORT, EXCEPTION_SHARE, BINS, MAX_SENT_IDS = 5, 0.1, 400, 1_000_000
 #: Look-alikes: Cyrillic and Greek letters, digits and signs that stand for Latin letters.
 LOOKALIKES = {"а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "ɡ": "g", "ӏ": "l", "α": "a", "β": "b", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ſ": "s"}
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
@@ -233,5 +233,8 @@ def held_out(doc_id: Column) -> Column:
 def train_and_score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Learns from the labels of rows that aren't held out and scores all rows: the columns named in keep, and toxicity. labels: doc_id, toxic."""
     known = labels.where(F.col("toxic").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(True))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    labelled = docs.select("doc_id", "text").join(known, "doc_id").select("text", "toxic")
+    known = stored(known, "labels")
+    few = known.count() <= MAX_SENT_IDS  # more labels than that are shuffled, and the labelled texts written once
+    labelled = docs.select("doc_id", "text").join(F.broadcast(known) if few else known, "doc_id").select("text", "toxic")
+    labelled = labelled if few else stored(labelled, "labelled")
     return score(docs, learn(labelled), keep)
