@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .shared import binaries, rows, stored, values, widened
 
-ORDER, MAX_GRAMS, MIN_WORDS, REPEAT_PERCENT, BELOW, ABOVE, SHORT, MIN_DOCS = 5, 2_000_000, 10, 20, 4.0, 3.0, 60, 20
+ORDER, MAX_GRAMS, MIN_WORDS, REPEAT_PERCENT, BELOW, ABOVE, SHORT, MIN_DOCS = 4, 500_000, 10, 20, 4.0, 3.5, 60, 20
 START, END, SYMBOLS, WINDOW, KNOWN_WORDS = "\x02", "\x03", b"#*$%&|<>", 5, 300_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -118,9 +118,10 @@ class Table:
 class KneserNey:
     """Interpolated modified Kneser-Ney over code points; column 0 of every window is the language's number."""
 
-    def __init__(self, languages: list[str], grams: list[str], lang_of: np.ndarray, counts: np.ndarray, order: int = ORDER):
+    def __init__(self, languages: list[str], grams: pa.ChunkedArray, lang_of: np.ndarray, counts: np.ndarray, order: int = ORDER):
         self.id, self.order, self.languages = uuid.uuid4().hex, order, {x: i for i, x in enumerate(languages)}
-        codes = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, order)
+        text = "".join("".join(chunk.to_pylist()) for chunk in grams.chunks)
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, order)
         level = np.concatenate([lang_of[:, None].astype(np.uint32), codes], axis=1)
         levels, a = [], counts.astype(np.float64)
         while True:
@@ -200,10 +201,10 @@ def train(docs: DataFrame, order: int = ORDER, max_grams: int = MAX_GRAMS) -> Kn
     least = 1
     while grams.where(F.col("n") >= least).count() > max_grams:
         least *= 2
-    table = grams.where(F.col("n") >= least).orderBy("lang", "gram").toPandas()
-    languages = sorted(table["lang"].unique())
-    place = {x: i for i, x in enumerate(languages)}
-    return KneserNey(languages, table["gram"].tolist(), table["lang"].map(place).to_numpy(np.int64) if len(table) else np.zeros(0, np.int64), table["n"].to_numpy(), order)
+    table = grams.where(F.col("n") >= least).orderBy("lang", "gram").toArrow()
+    languages = sorted(set(table["lang"].unique().to_pylist()))
+    place = pc.index_in(table["lang"], pa.array(languages, pa.string())).to_numpy().astype(np.int64)
+    return KneserNey(languages, table["gram"], place, table["n"].to_numpy(), order)
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
