@@ -66,8 +66,8 @@ def votes(text: bytes, words: list[bytes]) -> tuple[int, ...]:
 LABELLERS = ("length", "marks", "capitals", "repetition", "variety", "word_length", "exclamation", "lines", "sentences")
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float, np.ndarray]:
-    """patterns: rows of votes; counts: texts per row. Posterior of good per row; share of good; [good or bad, labeller, vote] rates."""
+def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS, weight: float = BELIEF) -> tuple[np.ndarray, float, np.ndarray]:
+    """patterns: rows of votes; counts: texts per row; weight: of the expected votes. Posterior of good per row; share of good; [good or bad, labeller, vote] rates."""
     m = patterns.shape[1] if len(patterns) else len(LABELLERS)
     share, rates = 0.8, np.empty((2, m, 3))
     belief = np.empty((2, 1, 3))
@@ -79,9 +79,9 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) ->
         gap = np.clip(logs[1] + np.log(share) - logs[0] - np.log(1 - share), -500, 500)
         posterior = 1 / (1 + np.exp(-gap))
         share = float(np.clip((posterior * counts).sum() / counts.sum(), 0.01, 0.99))
-        for y, weight in ((GOOD, posterior * counts), (BAD, (1 - posterior) * counts)):
+        for y, texts in ((GOOD, posterior * counts), (BAD, (1 - posterior) * counts)):
             for vote in (BAD, GOOD, NONE):
-                rates[y, :, vote] = ((patterns == vote) * weight[:, None]).sum(axis=0) + BELIEF * counts.sum() * belief[y, 0, vote] + 1e-3
+                rates[y, :, vote] = ((patterns == vote) * texts[:, None]).sum(axis=0) + weight * counts.sum() * belief[y, 0, vote] + 1e-3
             rates[y] /= rates[y].sum(axis=1, keepdims=True)
     return posterior, share, rates
 
