@@ -23,10 +23,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import binaries, rows, stored, values, widened
+from .shared import binaries, bucketed, rows, values, widened
 
-CHUNK_BYTES = 16 << 20
-KNOWN_WORDS = 1_000_000
+CHUNK_BYTES = 8 << 20
+KNOWN_WORDS = 400_000
 
 
 @lru_cache(maxsize=2)
@@ -80,7 +80,7 @@ def split_chunks(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
             order = np.argsort(home, kind="stable")
             place = np.empty(len(order), np.uint32)
             place[order] = np.arange(len(order), dtype=np.uint32)
-            blob = zstandard.compress(place[np.concatenate(refs)].tobytes() if refs else b"", 1)
+            blob = zstandard.compress(place[np.concatenate(refs)].tobytes() if refs else b"", 3)
             yield rows(CHUNK_SCHEMA, [chunk], [None], [blob], [ids], [counts])
             edges = np.flatnonzero(np.diff(home[order], prepend=-1, append=-1)) if len(order) else np.zeros(1, np.int64)
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
@@ -132,11 +132,11 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian uint32). docs: doc_id, text."""
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks = stored(split_chunks(docs, pattern, buckets), "chunks", codec="none")
+    chunks = bucketed(split_chunks(docs, pattern, buckets), "chunks", "chunk", buckets)  # references never move again
     lists = chunks.where("bucket is not null").select("chunk", "bucket", "blob").repartition(buckets, "bucket")
     coded = encode_words(lists, path, pattern)
     dictionary = coded.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "ids"))).alias("lists"))  # a chunk's own words: bounded by its size
-    placed = chunks.where("bucket is null").select("chunk", "blob", "doc_ids", "doc_words").join(dictionary, "chunk", "left")
+    placed = chunks.where("bucket is null").select("chunk", "blob", "doc_ids", "doc_words").join(dictionary.hint("merge"), "chunk", "left")
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
