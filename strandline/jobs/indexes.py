@@ -84,6 +84,10 @@ def maximal_repeats(spark, d):
     return repeats.maximal(reference(spark, d), "dna", 9, "seq_id")
 
 
+def shared_matches(spark, d):
+    return repeats.shared_matches(reference(spark, d), "dna", 9, "seq_id", 3, 6)
+
+
 def unique_matches(spark, d):
     """Substrings that stand once in every one of the parts that share a name."""
     parts = table(spark, d, "part").select("p_partkey", F.col("p_name").alias("family"), F.lower("p_name").alias("name"))
@@ -112,5 +116,6 @@ JOBS = {
     "homopolymers": (homopolymers, f"WITH {DNA}, r AS (SELECT seq_id, unnest(regexp_extract_all(dna, 'A{{4,}}|C{{4,}}|G{{4,}}|T{{4,}}')) AS run FROM reference) SELECT seq_id, left(run, 1) AS letter, length(run)::INTEGER AS run_len, count(*) AS n FROM r GROUP BY 1, 2, 3"),
     "tandem_repeats": (tandem_repeats, f"WITH {DNA}, w AS ({windows_sql(3)}), e AS (SELECT seq_id, pos, pos - row_number() OVER (PARTITION BY seq_id ORDER BY pos) AS island FROM w WHERE substr(gram, 1, 1) = substr(gram, 3, 1)) SELECT seq_id, min(pos) AS pos, count(*) + 2 AS len FROM e GROUP BY seq_id, island HAVING count(*) + 2 >= 8"),
     "maximal_repeats": (maximal_repeats, f"WITH {DNA}, p AS (SELECT seq_id, '^' || dna || '$' AS dna FROM reference), w AS ({windows_sql(11, 'p')}), g AS (SELECT substr(gram, 2, 9) AS gram, count(*) AS n, count(DISTINCT left(gram, 1)) AS l, count(DISTINCT right(gram, 1)) AS r, count(*) FILTER (left(gram, 1) = '^') AS s, count(*) FILTER (right(gram, 1) = '$') AS e FROM w GROUP BY 1) SELECT gram, n FROM g WHERE n >= 2 AND (l >= 2 OR s >= 2) AND (r >= 2 OR e >= 2)"),
+    "shared_matches": (shared_matches, f"WITH {DNA}, p AS (SELECT seq_id, '^' || dna || '$' AS dna FROM reference), w AS ({windows_sql(11, 'p')}), g AS (SELECT substr(gram, 2, 9) AS gram, count(*) AS n, count(DISTINCT seq_id) AS n_seqs, count(DISTINCT left(gram, 1)) AS l, count(DISTINCT right(gram, 1)) AS r, count(*) FILTER (left(gram, 1) = '^') AS s, count(*) FILTER (right(gram, 1) = '$') AS e FROM w GROUP BY 1) SELECT gram, n, n_seqs FROM g WHERE n >= 2 AND (l >= 2 OR s >= 2) AND (r >= 2 OR e >= 2) AND n_seqs BETWEEN 3 AND 6"),
     "unique_matches": (unique_matches, f"WITH q AS (SELECT p_partkey, p_name AS family, lower(p_name) AS name FROM part), m AS (SELECT family, count(*) AS members FROM q GROUP BY 1 HAVING count(*) > 1), w AS ({windows_sql(3, 'q', 'name', 'p_partkey, family')}), c AS (SELECT family, gram, count(*) AS n, count(DISTINCT p_partkey) AS texts FROM w GROUP BY 1, 2) SELECT family, gram FROM c JOIN m USING (family) WHERE n = members AND texts = members"),
 }

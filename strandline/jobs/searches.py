@@ -9,7 +9,8 @@ from strandline.operators import search
 from strandline.sources.formats import guess_format
 from strandline.sources.tables import table
 
-from .common import DNA, reference, windows_sql
+from .alignments import READS
+from .common import DNA, READ_LENGTH, reads, reference, windows_sql
 
 
 def find_exact_all(spark, d):
@@ -36,6 +37,15 @@ def find_approximate(spark, d):
     return search.find_approximate(table(spark, d, "part").select("p_partkey", F.lower("p_name").alias("name")), "name", "ring", 1, "p_partkey")
 
 
+def swift_filter(spark, d):
+    return search.swift_filter(reads(spark, d).select("read_id", "seq"), reference(spark, d), 8, READ_LENGTH, 0.06)
+
+
+def find_scored(spark, d):
+    """Ends in part names that align with a word at a score of 3 or more."""
+    return search.find_scored(table(spark, d, "part").select("p_partkey", F.lower("p_name").alias("name")), "name", "widget", 3, "p_partkey")
+
+
 def guess_formats(spark, d):
     return table(spark, d, "documents").groupBy(guess_format(F.col("text")).alias("format")).agg(F.count("*").alias("n"))
 
@@ -46,5 +56,7 @@ JOBS = {
     "find_wildcard": (find_wildcard, f"WITH {DNA}, w AS ({windows_sql(6)}) SELECT seq_id, pos + 5 AS end_pos FROM w WHERE regexp_full_match(gram, 'A[CG].{{2}}T[AC]')"),
     "edit_pairs_k2": (edit_pairs_k2, "SELECT a.p_partkey AS a, b.p_partkey AS b, levenshtein(a.p_name, b.p_name)::INTEGER AS distance FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey WHERE length(a.p_name) >= 6 AND length(b.p_name) >= 6 AND levenshtein(a.p_name, b.p_name) <= 2"),
     "find_approximate": (find_approximate, "WITH s AS (SELECT p_partkey, name, unnest(range(1, length(name) + 1)) AS e FROM (SELECT p_partkey, lower(p_name) AS name FROM part)), d AS (SELECT p_partkey, e - 1 AS end_pos, least(levenshtein(substr(name, greatest(1, e - 2), least(3, e)), 'ring'), levenshtein(substr(name, greatest(1, e - 3), least(4, e)), 'ring'), levenshtein(substr(name, greatest(1, e - 4), least(5, e)), 'ring'))::INTEGER AS distance FROM s) SELECT * FROM d WHERE distance <= 1"),
+    "swift_filter": (swift_filter, f"WITH {READS}, o AS (SELECT read_id, p AS off, substr(seq, p + 1, 8) AS gram FROM (SELECT read_id, seq, unnest(range(0, length(seq) - 7)) AS p FROM reads)), t AS ({windows_sql(8)}), h AS (SELECT read_id, seq_id, pos, off, pos - off AS diagonal FROM o JOIN t USING (gram)), b AS (SELECT read_id, seq_id, pos, off, diagonal >> 4 AS bucket FROM h WHERE diagonal >= 0 UNION ALL SELECT read_id, seq_id, pos, off, -((15 - diagonal) >> 4) FROM h WHERE diagonal < 0 UNION ALL SELECT read_id, seq_id, pos, off, (CASE WHEN diagonal >= 0 THEN diagonal >> 4 ELSE -((15 - diagonal) >> 4) END) - 1 FROM h WHERE ((diagonal % 16) + 16) % 16 < 2), n AS (SELECT *, coalesce((pos - lag(pos) OVER (PARTITION BY read_id, seq_id, bucket ORDER BY pos, off) >= 31)::INTEGER, 0) AS new FROM b), s AS (SELECT *, sum(new) OVER (PARTITION BY read_id, seq_id, bucket ORDER BY pos, off) AS stretch FROM n) SELECT read_id, seq_id, bucket, count(*) AS hits, min(pos) AS first_pos FROM s GROUP BY read_id, seq_id, bucket, stretch HAVING count(*) >= 13"),
+    "find_scored": (find_scored, None),
     "guess_formats": (guess_formats, "SELECT CASE left(text, 1) WHEN '>' THEN 'fasta' WHEN 'L' THEN 'genbank' WHEN 'I' THEN 'embl' ELSE 'raw' END AS format, count(*) AS n FROM documents GROUP BY 1"),
 }

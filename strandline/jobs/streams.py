@@ -8,6 +8,8 @@ from strandline.functions import seq
 from strandline.operators import streams as S
 from strandline.sources.tables import table
 
+from .common import DNA, reference
+
 GROUP, ORDER = ["user_id"], ["ts", "event_id"]
 
 
@@ -66,6 +68,20 @@ def pipe_sorter(spark, d):
     return S.counter(_events(spark, d), "value", "event_id", name="place").select("event_id", "place")
 
 
+def global_starts(spark, d):
+    """Where each document's DNA starts in the concatenation of all."""
+    sized = reference(spark, d).select("seq_id", F.length("dna").cast("long").alias("n"))
+    return S.global_starts(sized, "n", "seq_id")
+
+
+def pos_localize(spark, d):
+    """Document and offset of every 997th position of the concatenation."""
+    rows = global_starts(spark, d)
+    first = F.ceil(F.col("start") / 997) * 997
+    inside = rows.where(first < F.col("start") + F.col("n"))
+    return inside.select("seq_id", F.explode(F.sequence(first, F.col("start") + F.col("n") - 1, F.lit(997).cast("long"))).alias("pos"), "start").select("pos", "seq_id", (F.col("pos") - F.col("start")).alias("off"))
+
+
 def _names(spark, d):
     return table(spark, d, "part").select("p_partkey", seq.normalize(F.col("p_name"), "keep_upper").alias("dna"))
 
@@ -92,6 +108,8 @@ JOBS = {
     "pipe_sampler_dc7": (pipe_sampler_dc7, f"WITH s AS (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS from_end, concat_ws('|', event_type, {', '.join(f'lead(event_type, {i}) {W}' for i in range(1, 7))}) AS tuple FROM events) SELECT * FROM s WHERE from_end % 7 IN (1, 2, 4)"),
     "pipe_mapper": (pipe_mapper, "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) - 1 AS ord FROM events"),
     "pipe_sorter": (pipe_sorter, "SELECT event_id, row_number() OVER (ORDER BY value ASC NULLS FIRST, event_id) - 1 AS place FROM events"),
+    "global_starts": (global_starts, f"WITH {DNA} SELECT seq_id, length(dna) AS n, coalesce(sum(length(dna)) OVER (ORDER BY seq_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM reference"),
+    "pos_localize": (pos_localize, f"WITH {DNA}, s AS (SELECT seq_id, length(dna) AS n, coalesce(sum(length(dna)) OVER (ORDER BY seq_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM reference), p AS (SELECT unnest(range(0, (SELECT sum(n) FROM s)::BIGINT, 997)) AS pos) SELECT pos, seq_id, pos - start AS off FROM p JOIN s ON pos >= start AND pos < start + n"),
     "pipe_hamming_env": (pipe_hamming_env, f"WITH {_NAMES} {_HAMMING}"),
     "pipe_edit_env": (pipe_edit_env, f"WITH {_NAMES} SELECT DISTINCT p_partkey, variant FROM ({_HAMMING} UNION ALL SELECT p_partkey, left(dna, i - 1) || substr(dna, i + 1) FROM (SELECT p_partkey, dna, unnest(range(1, length(dna) + 1)) AS i FROM n) UNION ALL SELECT p_partkey, left(dna, i) || x || substr(dna, i + 1) FROM (SELECT p_partkey, dna, unnest(range(0, length(dna) + 1)) AS i FROM n) q, l)"),
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .grams import windows
@@ -69,3 +69,43 @@ def find_approximate(df: DataFrame, text: str, pattern: str, k: int, key: str) -
 
     chosen = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
     return chosen.mapInPandas(run, f"{key} long, end_pos long, distance int")
+
+
+def swift_filter(reads: DataFrame, reference: DataFrame, q: int, length: int, rate: float) -> DataFrame:
+    """read_id, seq_id, bucket, hits: stretches of parallelogram buckets with enough shared q-grams for a match at the error rate.
+
+    reads: read_id, seq of length bases; reference: seq_id, dna. A hit on diagonal text position less read offset counts
+    for the bucket of delta diagonals that holds it, and for the one before where they overlap. Gaps in the text of
+    length - q + 1 + errors or more start a new stretch.
+    """
+    errors = int(rate * length)
+    threshold, bits = max(length + 1 - q * (errors + 1), 1), max(4, (errors + 1).bit_length())
+    gap = length - (q - 1) + errors
+    own = windows(reads, "seq", q, "read_id").withColumnRenamed("pos", "off")
+    hits = own.join(windows(reference, "dna", q, "seq_id"), "gram").withColumn("diagonal", F.col("pos") - F.col("off"))
+    bucket = F.shiftright("diagonal", bits)
+    near = F.pmod("diagonal", F.lit(1 << bits)) < errors
+    spread = hits.select("read_id", "seq_id", "pos", "off", F.explode(F.when(near, F.array(bucket, bucket - 1)).otherwise(F.array(bucket))).alias("bucket"))
+    w = Window.partitionBy("read_id", "seq_id", "bucket").orderBy("pos", "off")
+    opened = spread.withColumn("new", F.coalesce((F.col("pos") - F.lag("pos").over(w) >= gap).cast("int"), F.lit(0)))
+    staged = opened.withColumn("stretch", F.sum("new").over(w))
+    return staged.groupBy("read_id", "seq_id", "bucket", "stretch").agg(F.count("*").alias("hits"), F.min("pos").alias("first_pos")).where(F.col("hits") >= threshold).drop("stretch")
+
+
+def find_scored(df: DataFrame, text: str, pattern: str, limit: int, key: str, match: int = 1, mismatch: int = -1, gap: int = -2) -> DataFrame:
+    """key, end_pos, score: ends of substrings that align with the whole pattern at a score of limit or more, gaps linear."""
+
+    def run(batches):
+        codes, places = np.frombuffer(pattern.encode("utf-32-le"), "<u4"), np.arange(len(pattern) + 1)
+        for batch in batches:
+            for row_key, t in zip(batch["k"], batch["t"]):
+                column, ends, found = places * gap, [], []
+                for j, c in enumerate(t or ""):
+                    best = np.maximum(column[:-1] + np.where(codes == ord(c), match, mismatch), column[1:] + gap)
+                    column = np.maximum.accumulate(np.concatenate([[0], best]) - places * gap) + places * gap
+                    if column[-1] >= limit:
+                        ends.append(j)
+                        found.append(int(column[-1]))
+                yield pd.DataFrame({key: [row_key] * len(ends), "end_pos": ends, "score": found})
+
+    return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"{key} long, end_pos long, score int")

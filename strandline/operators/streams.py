@@ -22,6 +22,15 @@ def counter(df: DataFrame, *order: str, name: str = "ord") -> DataFrame:
     return placed.join(F.broadcast(shifts), part == F.col("stream_part")).withColumn(name, F.col("stream_row") + F.col("shift")).drop("stream_row", "stream_part", "shift")
 
 
+def global_starts(df: DataFrame, length: str, key: str, name: str = "start") -> DataFrame:
+    """Appends where each text starts in the concatenation of all, in key order: sums before the part, then in the part."""
+    placed = stored(df.repartitionByRange(key).sortWithinPartitions(key).withColumn("stream_part", F.spark_partition_id()), "starts")
+    parts = placed.groupBy("stream_part").agg(F.sum(length).alias("n"))
+    before = parts.select("stream_part", F.coalesce(F.sum("n").over(Window.orderBy("stream_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("shift"))
+    inner = Window.partitionBy("stream_part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    return placed.join(F.broadcast(before), "stream_part").withColumn(name, (F.col("shift") + F.coalesce(F.sum(length).over(inner), F.lit(0))).cast("long")).drop("stream_part", "shift")
+
+
 def namer(df: DataFrame, *keys: str, name: str = "name_id") -> DataFrame:
     """Appends the dense id, from 0, of the keys' sorted distinct values."""
     ids = counter(df.select(*keys).distinct(), *keys, name=name)

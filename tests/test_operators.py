@@ -178,6 +178,29 @@ def test_approximate_and_close_pairs(spark):
     assert found == {(i, j, lev(a, b)) for i, a in enumerate(words) for j, b in enumerate(words) if i < j and lev(a, b) <= 2}
 
 
+def test_scored_search(spark):
+    def best(p, t):
+        # global on the pattern, free start in the text
+        row = [0] * (len(t) + 1)
+        rows = [row]
+        for i, x in enumerate(p):
+            new = [(i + 1) * -2]
+            for j, y in enumerate(t):
+                new.append(max(rows[-1][j] + (1 if x == y else -1), rows[-1][j + 1] - 2, new[j] - 2))
+            rows.append(new)
+        return rows[-1]
+
+    texts = [dna(40, s) for s in range(5)] + ["", None]
+    got = {(r.k, r.end_pos, r.score) for r in search.find_scored(spark.createDataFrame(list(enumerate(texts)), "k long, t string"), "t", "ACGTA", 2, "k").collect()}
+    assert got == {(k, e, s) for k, t in enumerate(texts) for e, s in enumerate(best("ACGTA", t or "")[1:]) if s >= 2}
+
+
+def test_global_starts(spark):
+    rows = [(i, (i * 7) % 5) for i in range(60)]
+    got = {r.k: r.start for r in streams.global_starts(spark.createDataFrame(rows, "k long, n long"), "n", "k").collect()}
+    assert got == {k: sum(n for j, n in rows if j < k) for k, _ in rows}
+
+
 def test_repeats(ref, texts):
     got = {(r.seq_id, r.pos, r.len) for r in repeats.tandem(ref, "dna", 2, 4, "seq_id").collect()}
     want = set()
