@@ -62,8 +62,7 @@ def occ_table(spark, d):
 
 
 def first_column(spark, d):
-    ref, order = _suffix(spark, d, 1)
-    return suffixes.first_column(suffixes.transform(ref, order, "dna", "seq_id"), "seq_id")
+    return suffixes.first_column(reference(spark, d), "dna", "seq_id")
 
 
 def lcp_table(spark, d):
@@ -111,7 +110,7 @@ JOBS = {
     "suffix_array": (suffix_array, f"WITH {DNA}, {_sa(1)} SELECT seq_id, rank, pos FROM sa"),
     "spaced_bwt_p3": (spaced_bwt_p3, f"WITH {DNA}, {_sa(3)}, {_BWT3} SELECT seq_id, rank, pos, bwt FROM bwt"),
     "occ_table": (occ_table, f"WITH {DNA}, {_sa(3)}, {_BWT3} SELECT seq_id, rank, bwt, " + ", ".join(f"(sum((bwt = '{b}')::BIGINT) OVER (PARTITION BY seq_id ORDER BY rank))::BIGINT AS occ_{b.lower()}" for b in "ACGT") + " FROM bwt"),
-    "first_column": (first_column, f"WITH {DNA}, l AS (SELECT seq_id, dna, unnest(['A', 'C', 'G', 'T']) AS letter FROM reference WHERE dna <> '') SELECT seq_id, letter, length(regexp_replace(left(dna, length(dna) - 1), CASE letter WHEN 'A' THEN '.' WHEN 'C' THEN '[^A]' WHEN 'G' THEN '[^AC]' ELSE '[^ACG]' END, '', 'g')) + CASE WHEN (letter = 'C' AND right(dna, 1) = 'A') OR (letter = 'G' AND right(dna, 1) IN ('A', 'C')) OR (letter = 'T' AND right(dna, 1) IN ('A', 'C', 'G')) THEN 0 ELSE 0 END AS first FROM l"),
+    "first_column": (first_column, f"WITH {DNA}, l AS (SELECT seq_id, dna, unnest(['A', 'C', 'G', 'T']) AS letter FROM reference WHERE dna <> '') SELECT seq_id, letter, length(regexp_replace(left(dna, length(dna) - 1), CASE letter WHEN 'A' THEN '.' WHEN 'C' THEN '[^A]' WHEN 'G' THEN '[^AC]' ELSE '[^ACG]' END, '', 'g')) AS first FROM l"),
     "lcp_table": (lcp_table, "WITH s AS (SELECT p_partkey, p AS pos, substr(lower(p_name), p + 1) AS suffix FROM (SELECT p_partkey, p_name, unnest(range(0, length(p_name))) AS p FROM part)), r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY suffix, pos) - 1 AS rank, lag(suffix) OVER (PARTITION BY p_partkey ORDER BY suffix, pos) AS before FROM s) SELECT p_partkey, rank, pos, CASE WHEN before IS NULL THEN 0 ELSE coalesce(list_position(list_transform(list_zip(string_split(before, ''), string_split(suffix, '')), lambda x: x[1] IS NOT DISTINCT FROM x[2]), false) - 1, least(length(before), length(suffix))) END::BIGINT AS lcp FROM r"),
     "homopolymers": (homopolymers, f"WITH {DNA}, r AS (SELECT seq_id, unnest(regexp_extract_all(dna, 'A{{4,}}|C{{4,}}|G{{4,}}|T{{4,}}')) AS run FROM reference) SELECT seq_id, left(run, 1) AS letter, length(run)::INTEGER AS run_len, count(*) AS n FROM r GROUP BY 1, 2, 3"),
     "tandem_repeats": (tandem_repeats, f"WITH {DNA}, w AS ({windows_sql(3)}), e AS (SELECT seq_id, pos, pos - row_number() OVER (PARTITION BY seq_id ORDER BY pos) AS island FROM w WHERE substr(gram, 1, 1) = substr(gram, 3, 1)) SELECT seq_id, min(pos) AS pos, count(*) + 2 AS len FROM e GROUP BY seq_id, island HAVING count(*) + 2 >= 8"),

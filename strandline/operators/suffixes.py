@@ -42,12 +42,16 @@ def occurrences(transformed: DataFrame, key: str) -> DataFrame:
     return transformed.select("*", *(F.sum((F.col("bwt") == b).cast("long")).over(upto).alias(f"occ_{b.lower()}") for b in seq.BASES))
 
 
-def first_column(transformed: DataFrame, key: str) -> DataFrame:
-    """key, letter, first: ranks before the block of suffixes that start with the letter, from the letter counts."""
-    letters = transformed.groupBy(key).agg(*(F.count_if(F.col("bwt") == b).alias(b) for b in seq.BASES))
-    rows, before = [], F.lit(0)
+def first_column(df: DataFrame, text: str, key: str, period: int = 1) -> DataFrame:
+    """key, letter, first: ranks before the block of suffixes that start with the letter, counted as the transform's letters are.
+
+    The transform holds every letter but the last period ones, so no suffix order is needed.
+    """
+    counted = F.expr(f"left({text}, greatest(0, length({text}) - {period}))")
+    letters = df.where(F.length(text) > 0).select(key, *((F.length(counted) - F.length(F.translate(counted, b, ""))).cast("long").alias(b) for b in seq.BASES))
+    rows, before = [], F.lit(0).cast("long")
     for b in seq.BASES:
-        rows.append(F.struct(F.lit(b).alias("letter"), before.cast("long").alias("first")))
+        rows.append(F.struct(F.lit(b).alias("letter"), before.alias("first")))
         before = before + F.col(b)
     return letters.select(key, F.inline(F.array(*rows)))
 

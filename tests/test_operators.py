@@ -68,12 +68,14 @@ def test_counts_add_up(ref, texts):
 def test_suffix_array_bwt_and_occurrences(ref, texts, period):
     order = suffixes.suffix_array(ref, "dna", "seq_id", period)
     table = suffixes.occurrences(suffixes.transform(ref, order, "dna", "seq_id", period), "seq_id").collect()
+    first = suffixes.first_column(ref, "dna", "seq_id", period).collect()
     for i, t in texts.items():
         mine = sorted((r for r in table if r.seq_id == i), key=lambda r: r.rank)
         want = sorted(range(len(t)), key=lambda p: (t[p::period], p))
         assert [r.pos for r in mine] == want
         assert [r.bwt for r in mine] == [t[p - period] if p >= period else "$" for p in want]
         for letter in "ACGT":
+            assert [r.first for r in first if (r.seq_id, r.letter) == (i, letter)] == ([sum(r.bwt in "ACGT" and r.bwt < letter for r in mine)] if t else [])
             assert not mine or mine[-1][f"occ_{letter.lower()}"] == sum(r.bwt == letter for r in mine)
 
 
