@@ -68,13 +68,13 @@ def _placed(sized: DataFrame, share: float, cap: float, weights: tuple[int, ...]
     placed = parts.select("source", "part", (before - F.col("first")).alias("shift"), "size")
     planned = targets(placed.groupBy("source").agg(F.sum("size").alias("source_size")), share, cap, weights)
     small = placed.alias("p").join(planned.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source"))).select(
-        F.col("p.source").alias("mix_source"), F.col("part").alias("mix_part"), "shift", "source_size", "target",
-        F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate"),
-        _offset(seed, F.col("p.source")).alias("offset"))
+        F.col("p.source").alias("mix_source"), F.col("part").alias("mix_part"), F.col("shift").alias("mix_shift"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"),
+        F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("mix_rate"),
+        _offset(seed, F.col("p.source")).alias("mix_offset"))
     joined = ordered.join(F.broadcast(small), F.col("source").eqNullSafe(F.col("mix_source")) & (part == F.col("mix_part")))
-    rank = F.col("mix_row") + F.col("shift")
-    crossed = F.floor(F.col("offset") + (rank + 1) * F.col("rate")) - F.floor(F.col("offset") + rank * F.col("rate"))
-    return joined.withColumn("mix_copies", crossed).withColumnRenamed("source_size", "mix_source_size").withColumnRenamed("target", "mix_target").drop("mix_source", "mix_part", "shift", "rate", "offset", "mix_row")
+    rank = F.col("mix_row") + F.col("mix_shift")
+    crossed = F.floor(F.col("mix_offset") + (rank + 1) * F.col("mix_rate")) - F.floor(F.col("mix_offset") + rank * F.col("mix_rate"))
+    return joined.withColumn("mix_copies", crossed).drop("mix_source", "mix_part", "mix_shift", "mix_rate", "mix_offset", "mix_row")
 
 
 def emitted(mixed: DataFrame) -> DataFrame:

@@ -182,7 +182,7 @@ def test_perplexity_rejects_noise(spark):
 def test_mixing_targets_and_copies(spark):
     rng = random.Random(6)
     rows = [(i, "w " * rng.randrange(1, 40), rng.choice(["a", "a", "a", "b", "c", "d", None])) for i in range(900)] + [(900, None, "z"), (5, "twice " * 4, "a"), (5, "twice " * 4, "a")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", mixing.F.lit(1))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: mixing.F.lit(1) for c in ("size", "target", "rate", "shift", "part", "offset", "source_size")})
     got = mixing.mix(df).collect()
     sizes = defaultdict(int)
     for _, t, s in rows:
