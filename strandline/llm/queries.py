@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe, jaccard_join, licenses, mixing, quality_rules, token_files, top_inner, toxicity, url_rules, weak_labels
 from .oracles import ORACLE_SQL
-from .shared import table
+from .shared import ship, table
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -61,4 +63,13 @@ def op10_top_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_inner.search_table(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_byte_bpe, op3_toxicity, op4_url_rules, op5_quality_rules, op6_mixing, op7_weak_labels, op8_jaccard_join, op9_licenses, op10_top_inner)}
+def _shipping(query):
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {f.__name__: _shipping(f) for f in (op1_token_files, op2_byte_bpe, op3_toxicity, op4_url_rules, op5_quality_rules, op6_mixing, op7_weak_labels, op8_jaccard_join, op9_licenses, op10_top_inner)}
