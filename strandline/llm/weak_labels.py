@@ -3,7 +3,7 @@
 Overlapping heuristic labellers vote good, bad or nothing on every text. Expectation-maximisation estimates, over the
 counts of all vote patterns (there are at most 3 ** labellers), the share of good texts and how often each labeller
 votes what, silence included, for good and for bad ones; every pattern then has a posterior. A linear scorer over hashed word features is
-trained on posteriors of a bounded sample (SAMPLE rows with the smallest hashes, a parameter) and scores all texts.
+trained on posteriors of a bounded sample (about SAMPLE rows, chosen by hash, a parameter) and scores all texts.
 
 Edge cases: null or empty text gets the vote of the length labeller and the score of a text without features; rows that
 repeat a doc_id are judged each; an empty table gives an empty result; where no labeller votes, the posterior is the
@@ -132,7 +132,7 @@ _known: dict[str, WordWeights] = {}
 
 
 def vote_table(docs: DataFrame) -> DataFrame:
-    """The columns of docs but text, and weak_pattern (the votes as digits) and weak_order (a hash that orders samples)."""
+    """The columns of docs but text, and weak_pattern: the votes as digits."""
     kept = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,22 +141,23 @@ def vote_table(docs: DataFrame) -> DataFrame:
                 part = batch.slice(b, 500)
                 texts = binaries(part, "text")
                 old = [part.column(part.schema.get_field_index(c)) for c in kept]
-                new = [pa.array(["".join(map(str, votes(t, t.split()))) for t in texts], pa.string()), pa.array([zlib.crc32(b"order" + t) for t in texts], pa.int64())]
-                yield pa.RecordBatch.from_arrays(old + new, names=[*kept, "weak_pattern", "weak_order"])
+                new = pa.array(["".join(map(str, votes(t, t.split()))) for t in texts], pa.string())
+                yield pa.RecordBatch.from_arrays([*old, new], names=[*kept, "weak_pattern"])
 
-    return docs.mapInArrow(run, widened(docs.select(*kept), weak_pattern="string", weak_order="long"))
+    return docs.mapInArrow(run, widened(docs.select(*kept), weak_pattern="string"))
 
 
-def posteriors(voted: DataFrame) -> dict[str, float]:
-    """Posterior of good per vote pattern, from the counts over all rows."""
+def posteriors(voted: DataFrame) -> tuple[dict[str, float], int]:
+    """Posterior of good per vote pattern, from the counts over all rows; the number of rows."""
     table = voted.groupBy("weak_pattern").agg(F.count("*").alias("n")).toPandas()  # at most 3 ** labellers rows
     patterns = np.array([[int(c) for c in p] for p in table["weak_pattern"]], np.int64).reshape(-1, len(LABELLERS))
-    return dict(zip(table["weak_pattern"], estimate(patterns, table["n"].to_numpy(float))[0].tolist(), strict=True))
+    return dict(zip(table["weak_pattern"], estimate(patterns, table["n"].to_numpy(float))[0].tolist(), strict=True)), int(table["n"].sum())
 
 
-def train(docs: DataFrame, known: dict[str, float], sample: int = SAMPLE) -> Scorer:
-    """docs: text. The scorer's texts are the sample rows with the smallest text hashes, each with its pattern's posterior."""
-    chosen = docs.select(F.col("text").cast("string").alias("text")).orderBy(F.crc32(F.concat(F.lit("order"), F.coalesce("text", F.lit(""))).cast("binary")), "text").limit(sample)
+def train(docs: DataFrame, known: dict[str, float], n_rows: int, sample: int = SAMPLE) -> Scorer:
+    """docs: doc_id, text, n_rows of them. About sample rows, those with small hashes, train the scorer, each with its pattern's posterior."""
+    share = min(1.0, sample / max(1, n_rows))
+    chosen = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select("text")
     schema = pa.schema([("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int32())), ("words", pa.int32()), ("repeat", pa.float64()), ("target", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,8 +190,8 @@ def train(docs: DataFrame, known: dict[str, float], sample: int = SAMPLE) -> Sco
 def classify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, votes, posterior, score, kept (score of at least KEEP): a row per row of docs (doc_id, text)."""
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    known = posteriors(vote_table(docs))
-    shared = docs.sparkSession.sparkContext.broadcast((known, train(docs, known, sample)))
+    known, n_rows = posteriors(vote_table(docs))
+    shared = docs.sparkSession.sparkContext.broadcast((known, train(docs, known, n_rows, sample)))
     schema = pa.schema([("votes", pa.string()), ("posterior", pa.float64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
