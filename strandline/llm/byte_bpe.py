@@ -88,7 +88,7 @@ def split_chunks(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
 
         ids, counts, numbers, refs, size = [], [], Numbers(), [], 0
         for batch in batches:
-            for doc_id, text in zip(values(batch, "doc_id"), values(batch, "text"), strict=True):
+            for doc_id, text in ((d, t) for b in range(0, batch.num_rows, 500) for d, t in zip(values(batch.slice(b, 500), "doc_id"), values(batch.slice(b, 500), "text"), strict=True)):
                 words = find(text or "")
                 refs.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)))
                 ids.append(doc_id)
@@ -128,8 +128,16 @@ def encode_words(lists: DataFrame, path: str, pattern: str) -> DataFrame:
     return lists.mapInArrow(run, "chunk long, bucket int, ids binary")
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian uint32). docs: doc_id, text."""
+def _bytes_of(ids: bytes, table: dict[int, bytes]) -> bytes:
+    """Ids joined with the token-byte table."""
+    return b"".join(map(table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+def encode(docs: DataFrame, path: str, pattern: str, decoded: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids (little-endian uint32). docs: doc_id, text.
+
+    decoded: also the bytes that the ids decode to, as decode() gives them, from the same Python worker.
+    """
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     chunks = bucketed(split_chunks(docs, pattern, buckets), "chunks", "chunk", buckets)  # references never move again
@@ -137,11 +145,12 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     coded = encode_words(lists, path, pattern)
     dictionary = coded.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "ids"))).alias("lists"))  # a chunk's own words: bounded by its size
     placed = chunks.where("bucket is null").select("chunk", "blob", "doc_ids", "doc_words").join(dictionary.hint("merge"), "chunk", "left")
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), *([("decoded", pa.binary())] if decoded else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
+        table = {i: token for token, i in ranks(path).items()} if decoded else {}
         for batch in batches:
             for at in range(batch.num_rows):
                 one = batch.slice(at, 1)
@@ -164,9 +173,9 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                     out.append(flat[np.repeat(begin[mine] - ends + lengths, lengths) + np.arange(total)].astype("<u4").tobytes())
                 for b in range(0, len(out), 1000):
                     part = out[b : b + 1000]
-                    yield rows(schema, doc_ids[b : b + 1000], [len(x) // 4 for x in part], part)
+                    yield rows(schema, doc_ids[b : b + 1000], [len(x) // 4 for x in part], part, *([[_bytes_of(x, table) for x in part]] if decoded else []))
 
-    return placed.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return placed.mapInArrow(run, "doc_id long, n_tokens long, ids binary" + ", decoded binary" * decoded)
 
 
 def decode(coded: DataFrame, path: str) -> DataFrame:
@@ -177,7 +186,7 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             for b in range(0, batch.num_rows, 1000):
                 part = batch.slice(b, 1000)
-                texts = [b"".join(map(table.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in binaries(part, "ids")]
+                texts = [_bytes_of(x, table) for x in binaries(part, "ids")]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], names=[*part.schema.names, "decoded"])
 
     return coded.mapInArrow(run, widened(coded, decoded="binary"))
@@ -185,4 +194,4 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, and the SHA-256 of the ids and of the bytes that they decode to."""
-    return decode(encode(docs, path, pattern), path).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return encode(docs, path, pattern, decoded=True).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

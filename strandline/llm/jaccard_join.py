@@ -40,7 +40,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 _BYTES = _mix(np.arange(1, 257, dtype=np.uint64) * _Q)
 _BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 

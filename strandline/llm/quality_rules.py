@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .shared import binaries, rows, stored, values, widened
 
 ORDER, MAX_GRAMS, MIN_WORDS, REPEAT_PERCENT, BELOW, ABOVE, SHORT, MIN_DOCS = 4, 500_000, 10, 20, 4.0, 3.5, 60, 20
-START, END, SYMBOLS, WINDOW, KNOWN_WORDS = "\x02", "\x03", b"#*$%&|<>", 5, 300_000
+START, END, SYMBOLS, WINDOW, KNOWN_WORDS = "\x02", "\x03", b"#*$%&|<>", 5, 60_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -40,6 +40,8 @@ def test_byte_bpe_equals_library(spark, monkeypatch):
         text = texts[r.doc_id] or ""
         ids = np.array(lib.encode_ordinary(text), "<u4")
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+    coded = byte_bpe.encode(frame(spark, texts), PATH, public_tokenizers.PATTERN)
+    assert {(r.doc_id, bytes(r.decoded)) for r in byte_bpe.decode(coded, PATH).collect()} == {(i, (t or "").encode()) for i, t in enumerate(texts)}
     assert byte_bpe.digests(empty(spark), PATH, public_tokenizers.PATTERN).count() == 0
 
 
