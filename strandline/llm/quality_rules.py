@@ -1,10 +1,11 @@
 r"""Quality rules: base counts per text, then perplexity bands of a modified Kneser-Ney model per language.
 
 The model is over the characters of words (between ASCII white space), order ORDER, each word on its own between start
-and end marks; so a word's probability depends on the word alone, and Spark counts n-grams from words tallied per task.
-n-gram counts are over all rows. Above MAX_GRAMS n-grams, the rarest are pruned by a count threshold, as is usual for
-such models; that bounds what is sent to the tasks. Probabilities and back-off weights stand in arrays sorted by 64-bit
-hash. A text is rejected where its mean log loss per character lies outside its language's band, which runs from the
+and end marks. Nothing is pruned: n-gram counts, continuation counts, discounts (per language) and probabilities are
+Spark aggregations and joins over all n-grams of all rows. As the texts scored are those counted, every n-gram of a text
+is in the model, so scoring is a join: tasks bundle texts (about BUNDLE characters each), a bundle's distinct n-grams are
+joined to the model by 64-bit hash, and the bundle meets its losses again. No model is held whole anywhere. A text is
+rejected where its mean log loss per character lies outside its language's band, which runs from the
 lower quartile less BELOW times the interquartile range to the upper quartile plus ABOVE times it, both times
 sqrt(1 + SHORT / n_words), as short texts vary more.
 
@@ -15,6 +16,7 @@ fewer than MIN_DOCS judged texts has no band, and its texts pass; an empty table
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .shared import binaries, rows, stored, values, widened
 
-ORDER, MAX_GRAMS, MIN_WORDS, REPEAT_PERCENT, BELOW, ABOVE, SHORT, MIN_DOCS = 4, 500_000, 10, 20, 4.0, 3.5, 60, 20
-START, END, SYMBOLS, WINDOW, KNOWN_WORDS = "\x02", "\x03", b"#*$%&|<>", 5, 60_000
+ORDER, BUNDLE, MIN_WORDS, REPEAT_PERCENT, BELOW, ABOVE, SHORT, MIN_DOCS = 5, 32_000_000, 10, 20, 4.0, 3.0, 60, 20
+START, END, SYMBOLS, WINDOW = "\x02", "\x03", b"#*$%&|<>", 5
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -116,7 +118,7 @@ class Table:
 
 
 class KneserNey:
-    """Interpolated modified Kneser-Ney over code points; column 0 of every window is the language's number."""
+    """Interpolated modified Kneser-Ney over code points of single words, held in one place: for few n-grams, with back-off for unseen ones. Column 0 of every window is the language's number."""
 
     def __init__(self, languages: list[str], grams: pa.ChunkedArray, lang_of: np.ndarray, counts: np.ndarray, order: int = ORDER):
         self.id, self.order, self.languages = uuid.uuid4().hex, order, {x: i for i, x in enumerate(languages)}
@@ -175,33 +177,9 @@ class KneserNey:
         return np.add.reduceat(loss, np.cumsum(sizes) - sizes)
 
 
-class WordLosses(dict):
-    """Losses by word of one language; the first KNOWN_WORDS stay, later ones are held for one batch."""
-
-    def __init__(self, model: KneserNey, lang: str):
-        super().__init__()
-        self.model, self.lang, self.late = model, lang, []
-
-    def learn(self, words: set[bytes]) -> None:
-        for w in self.late:
-            del self[w]
-        new = [w for w in words if w not in self]
-        for b in range(0, len(new), 20_000):
-            part = new[b : b + 20_000]
-            self.update(zip(part, self.model.losses(self.lang, [w.decode("utf-8", "replace") for w in part]).tolist(), strict=True))
-        self.late = new if len(self) > KNOWN_WORDS else []
-
-
-_losses: dict[str, dict[str, WordLosses]] = {}
-
-
-def train(docs: DataFrame, order: int = ORDER, max_grams: int = MAX_GRAMS) -> KneserNey:
-    """docs: text, lang. The count threshold doubles until at most max_grams n-grams are left."""
-    grams = stored(count_grams(docs, order), "grams")
-    least = 1
-    while grams.where(F.col("n") >= least).count() > max_grams:
-        least *= 2
-    table = grams.where(F.col("n") >= least).orderBy("lang", "gram").toArrow()
+def train(docs: DataFrame, order: int = ORDER) -> KneserNey:
+    """docs: text, lang."""
+    table = count_grams(docs, order).orderBy("lang", "gram").toArrow()
     languages = sorted(set(table["lang"].unique().to_pylist()))
     place = pc.index_in(table["lang"], pa.array(languages, pa.string())).to_numpy().astype(np.int64)
     return KneserNey(languages, table["gram"], place, table["n"].to_numpy(), order)
@@ -209,35 +187,133 @@ def train(docs: DataFrame, order: int = ORDER, max_grams: int = MAX_GRAMS) -> Kn
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 PREFIX = "quality_"
+_MARKS = str.maketrans({START: "\ufffd", END: "\ufffd"})
 
 
-def measure(docs: DataFrame, model: KneserNey) -> DataFrame:
-    """docs: quality_lang, quality_text and any others, which are kept; adds the base counts, quality_base_failed and
-    quality_loss (the mean log loss per character)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c != PREFIX + "text"]
+def sequence(text: bytes, order: int = ORDER) -> str:
+    """The symbols of a text's words, each between START and END; marks that stand in the text are replaced."""
+    return "".join(START * (order - 1) + w.decode("utf-8", "replace").translate(_MARKS) + END for w in text.split())
+
+
+def windows(texts: list[bytes], lang: str, order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the texts' windows of order symbols, the windows, and how many each text has."""
+    parts = [sequence(t, order) for t in texts]
+    codes = np.frombuffer("".join(parts).encode("utf-32-le"), "<u4")
+    real = codes != ord(START)  # every such symbol ends a window
+    sums = np.concatenate([[0], np.cumsum(real)])
+    edges = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
+    at = np.flatnonzero(real)
+    found = codes[at[:, None] + np.arange(1 - order, 1)] if len(at) else np.zeros((0, order), np.uint32)
+    name = lang.encode()
+    return _hash(found, (zlib.crc32(name) << 32) | zlib.crc32(b"language" + name)), found, np.diff(sums[edges])
+
+
+def bundles(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """A written table of bundle, block and lang, keys, grams, n. Rows with a block hold up to 500 rows of docs (quality_lang, quality_text
+    and others) as Arrow stream; the others hold a bundle's distinct n-grams of a language, their hashes and counts."""
+    schema = pa.schema([("bundle", pa.string()), ("block", pa.binary()), ("lang", pa.string()), ("keys", pa.list_(pa.int64())), ("grams", pa.list_(pa.string())), ("n", pa.list_(pa.int64()))])
+
+    def merged(parts):
+        keys, first = np.unique(np.concatenate([p[0] for p in parts]), return_index=True)
+        place = np.searchsorted(keys, np.concatenate([p[0] for p in parts]))
+        return keys, np.concatenate([p[1] for p in parts])[first], np.bincount(place, np.concatenate([p[2] for p in parts])).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if shared.value.id not in _losses:
-            _losses.clear()
-        caches = _losses.setdefault(shared.value.id, {})
+        name, size, held = uuid.uuid4().hex, 0, {}
+
+        def sent():
+            for lang, parts in held.items():
+                keys, codes, n = merged(parts)
+                for b in range(0, len(keys), 100_000):
+                    text = codes[b : b + 100_000].astype("<u4").tobytes().decode("utf-32-le")
+                    grams = [text[i : i + order] for i in range(0, len(text), order)]
+                    yield rows(schema, [name], [None], [lang], [keys[b : b + 100_000].view(np.int64)], [grams], [n[b : b + 100_000]])
+
         for batch in batches:
             for b in range(0, batch.num_rows, 500):
                 part = batch.slice(b, 500)
+                texts, langs = binaries(part, PREFIX + "text"), values(part, PREFIX + "lang")
+                for lang in set(langs):
+                    keys, found, _ = windows([t for t, x in zip(texts, langs, strict=True) if x == lang], lang, order)
+                    distinct, first, n = np.unique(keys, return_index=True, return_counts=True)
+                    held.setdefault(lang, []).append((distinct, found[first], n))
+                    if len(held[lang]) == 16:
+                        held[lang] = [merged(held[lang])]
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(part)
+                yield rows(schema, [name], [sink.getvalue().to_pybytes()], [None], [None], [None], [None])
+                size += sum(map(len, texts))
+                if size > BUNDLE:
+                    yield from sent()
+                    name, size, held = uuid.uuid4().hex, 0, {}
+        yield from sent()
+
+    return stored(docs.mapInArrow(run, "bundle string, block binary, lang string, keys array<bigint>, grams array<string>, n array<bigint>"), "bundles")
+
+
+def gram_losses(grams: DataFrame, order: int = ORDER) -> DataFrame:
+    """lang, gram, key, loss: minus the log probability of each n-gram's last symbol after the others, from lang, gram, key, n, a row per n-gram."""
+    levels = [grams.select("lang", "gram", "key", F.col("n").cast("double").alias("a"))]
+    for _ in range(order - 1):
+        shorter = levels[-1].groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.sum("a").alias("plain"), F.count("*").alias("left"))
+        # continuation counts; windows at the start keep their plain counts
+        levels.append(stored(shorter.select("lang", "gram", F.when(F.startswith("gram", F.lit(START)), F.col("plain")).otherwise(F.col("left")).cast("double").alias("a")), "level"))
+    lower = levels[-1].groupBy("lang").agg((1 / (F.count("*") + 1)).alias("below"))  # a row per language
+    for k, level in enumerate(reversed(levels), 1):
+        few = level.groupBy("lang").agg(*(F.count_if(F.col("a") == i).cast("double").alias(f"n{i}") for i in range(1, 5)))
+        y = F.when(F.col("n1") + F.col("n2") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(0.5)
+        d = [F.when((F.col(f"n{i}") > 0) & (F.col(f"n{i + 1}") > 0), F.least(F.lit(float(i)), F.greatest(F.lit(0.1 * i), i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")))).otherwise(0.5 * i) for i in (1, 2, 3)]
+        cut = few.select("lang", *(x.alias(f"d{i}") for i, x in enumerate(d, 1)))
+        each = level.join(F.broadcast(cut), "lang").withColumn("d", F.when(F.col("a") == 1, F.col("d1")).when(F.col("a") == 2, F.col("d2")).otherwise(F.col("d3"))).drop("d1", "d2", "d3")
+        each = each.withColumn("context", F.expr(f"left(gram, {k - 1})"))
+        contexts = each.groupBy("lang", "context").agg(F.sum("a").alias("total"), F.sum("d").alias("gamma"))
+        if k == 1:
+            both = each.join(F.broadcast(contexts), ["lang", "context"]).join(F.broadcast(lower), "lang")
+        else:
+            both = each.join(contexts, ["lang", "context"]).withColumn("shorter", F.expr("substring(gram, 2)")).join(lower.withColumnRenamed("gram", "shorter"), ["lang", "shorter"])
+        p = (F.col("a") - F.col("d")) / F.col("total") + F.col("gamma") / F.col("total") * F.col("below")
+        last = k == order
+        lower = stored(both.select("lang", "gram", *(["key", (-F.log(p)).alias("loss")] if last else [p.alias("below")])), "probabilities")
+    return lower
+
+
+def measure(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """docs: quality_lang, quality_text and any others, which are kept; adds the base counts, quality_base_failed and
+    quality_loss (the mean log loss per character)."""
+    kept = [c for c in docs.columns if c != PREFIX + "text"]
+    whole = bundles(docs, order)
+    blocks, mine = whole.where("block is not null").select("bundle", "block"), whole.where("block is null")
+    counted = mine.select("lang", F.explode(F.arrays_zip("keys", "grams", "n")).alias("x")).select("lang", "x.*").groupBy("lang", F.col("grams").alias("gram")).agg(F.min("keys").alias("key"), F.sum("n").alias("n"))
+    model = gram_losses(stored(counted, "grams"), order).select("key", "loss")
+    wanted = mine.select(F.col("bundle").alias("to"), F.explode("keys").alias("key")).join(model.groupBy("key").agg(F.min("loss").alias("loss")), "key")
+    schema = widened(docs.select(*kept), **{PREFIX + c: "long" for c in COUNTS}, **{PREFIX + "base_failed": "boolean", PREFIX + "loss": "double"})
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        known, loss = right["key"].to_numpy().view(np.uint64), right["loss"].to_numpy()
+        order_ = np.argsort(known)
+        known, loss = known[order_], loss[order_]
+        out = []
+        for block in left["block"].to_pylist():
+            for part in pa.ipc.open_stream(block):
                 texts, langs = binaries(part, PREFIX + "text"), values(part, PREFIX + "lang")
                 characters = [n or 0 for n in pc.utf8_length(part.column(part.schema.get_field_index(PREFIX + "text"))).to_pylist()]
-                words = [t.split() for t in texts]
+                losses = [None] * len(texts)
                 for lang in set(langs):
-                    caches.setdefault(lang, WordLosses(shared.value, lang)).learn(set().union(*(w for w, x in zip(words, langs) if x == lang)))
-                counts = [base_counts(*x) for x in zip(texts, characters, words, strict=True)]
+                    at = [i for i, x in enumerate(langs) if x == lang]
+                    keys, _, sizes = windows([texts[i] for i in at], lang, order)
+                    sums = np.concatenate([[0.0], np.cumsum(loss[np.searchsorted(known, keys)])]) if len(keys) else np.zeros(1)
+                    ends = np.cumsum(sizes)
+                    for i, a, b in zip(at, (ends - sizes).tolist(), ends.tolist(), strict=True):
+                        losses[i] = float(sums[b] - sums[a]) / (b - a) if b > a else None
+                counts = [base_counts(t, n, t.split()) for t, n in zip(texts, characters, strict=True)]
                 failed = [c[0] < MIN_WORDS or 100 * c[4] > REPEAT_PERCENT * c[0] for c in counts]
-                losses = [sum(map(caches[x].__getitem__, w)) / (c[0] + c[1]) if w else None for x, w, c in zip(langs, words, counts, strict=True)]
                 old = [part.column(part.schema.get_field_index(c)) for c in kept]
                 new = [*(pa.array(x, pa.int64()) for x in zip(*counts)), pa.array(failed, pa.bool_()), pa.array(losses, pa.float64())]
-                yield pa.RecordBatch.from_arrays(old + new, names=[*kept, *(PREFIX + c for c in (*COUNTS, "base_failed", "loss"))])
+                out.append(pa.RecordBatch.from_arrays(old + new, names=[*kept, *(PREFIX + c for c in (*COUNTS, "base_failed", "loss"))]))
+        return pa.Table.from_batches(out)
 
-    schema = widened(docs.select(*kept), **{PREFIX + c: "long" for c in COUNTS}, **{PREFIX + "base_failed": "boolean", PREFIX + "loss": "double"})
-    return docs.mapInArrow(run, schema)
+    return blocks.groupBy("bundle").cogroup(wanted.groupBy("to")).applyInArrow(run, schema)
 
 
 def bands(measured: DataFrame) -> DataFrame:
@@ -251,7 +327,7 @@ def bands(measured: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns of docs named in keep, the base counts, base_failed, loss and kept, all with the prefix quality_: a row per row of docs."""
     chosen = docs.select(*keep, F.coalesce(F.col("lang").cast("string"), F.lit("")).alias(PREFIX + "lang"), F.col("text").cast("string").alias(PREFIX + "text"))
-    measured = stored(measure(chosen, train(docs)), "quality")
+    measured = stored(measure(chosen), "quality")
     banded = measured.join(F.broadcast(bands(measured)), PREFIX + "lang", "left")  # a row per language
     wider = F.sqrt(1 + SHORT / F.greatest("quality_n_words", F.lit(1)))
     inside = F.col("quality_low").isNull() | F.col("quality_loss").isNull() | F.col("quality_loss").between(F.col("quality_low") - F.col("quality_below") * wider, F.col("quality_high") + F.col("quality_above") * wider)
