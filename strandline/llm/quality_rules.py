@@ -1,7 +1,7 @@
 r"""Quality rules: base counts per text, then perplexity bands of a modified Kneser-Ney model per language.
 
-The model is over the characters of words (between ASCII white space), order ORDER, each word on its own between start
-and end marks. Nothing is pruned: n-gram counts, continuation counts, discounts (per language) and probabilities are
+The model is over the characters of whole texts, order ORDER: words (between ASCII white space) with one blank between
+them, so n-grams run across word boundaries and the order of words counts. Nothing is pruned: n-gram counts, continuation counts, discounts (per language) and probabilities are
 Spark aggregations and joins over all n-grams of all rows. As the texts scored are those counted, every n-gram of a text
 is in the model, so scoring is a join: tasks bundle texts (about BUNDLE characters each), a bundle's distinct n-grams are
 joined to the model by 64-bit hash, and the bundle meets its losses again. No model is held whole anywhere. A text is
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .shared import binaries, rows, stored, values, widened
 
-ORDER, BUNDLE, MIN_WORDS, REPEAT_PERCENT, BELOW, ABOVE, SHORT, MIN_DOCS = 5, 32_000_000, 10, 20, 4.0, 3.0, 60, 20
+ORDER, BUNDLE, MIN_WORDS, REPEAT_PERCENT, BELOW, ABOVE, SHORT, MIN_DOCS = 5, 16_000_000, 10, 20, 4.0, 3.0, 60, 20
 START, END, SYMBOLS, WINDOW = "\x02", "\x03", b"#*$%&|<>", 5
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -191,21 +191,70 @@ _MARKS = str.maketrans({START: "\ufffd", END: "\ufffd"})
 
 
 def sequence(text: bytes, order: int = ORDER) -> str:
-    """The symbols of a text's words, each between START and END; marks that stand in the text are replaced."""
-    return "".join(START * (order - 1) + w.decode("utf-8", "replace").translate(_MARKS) + END for w in text.split())
+    """The symbols of a text: its words with one blank between, START before and END after; marks that stand in the text are replaced. Empty where there are no words."""
+    words = b" ".join(text.split()).decode("utf-8", "replace")
+    if START in words or END in words:
+        words = words.translate(_MARKS)
+    return START * (order - 1) + words + END if words else ""
 
 
-def windows(texts: list[bytes], lang: str, order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hashes of the texts' windows of order symbols, the windows, and how many each text has."""
+def windows(texts: list[bytes], order: int = ORDER) -> tuple[list[np.ndarray], np.ndarray]:
+    """The texts' windows of order symbols, as an array per place, and how many each text has."""
     parts = [sequence(t, order) for t in texts]
     codes = np.frombuffer("".join(parts).encode("utf-32-le"), "<u4")
     real = codes != ord(START)  # every such symbol ends a window
     sums = np.concatenate([[0], np.cumsum(real)])
     edges = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
     at = np.flatnonzero(real)
-    found = codes[at[:, None] + np.arange(1 - order, 1)] if len(at) else np.zeros((0, order), np.uint32)
+    return [codes[at - i] for i in reversed(range(order))], np.diff(sums[edges])
+
+
+def gram_keys(columns: list[np.ndarray], lang: str) -> np.ndarray:
+    """64-bit hashes of windows of a language."""
     name = lang.encode()
-    return _hash(found, (zlib.crc32(name) << 32) | zlib.crc32(b"language" + name)), found, np.diff(sums[edges])
+    key = np.full(len(columns[0]), (zlib.crc32(name) << 32) | zlib.crc32(b"language" + name), np.uint64)
+    for codes in columns:
+        key ^= codes
+        key *= _P
+        key ^= key >> np.uint64(31)
+    return key
+
+
+def distinct_windows(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct windows as rows of codes, and their counts. Where all codes have 64 / order bits at most, windows are packed into numbers."""
+    bits = 64 // len(columns)
+    narrow = np.ones(len(columns[0]), bool)
+    for codes in columns:
+        narrow &= codes < 1 << bits
+    packed = np.zeros(int(narrow.sum()), np.uint64)
+    for codes in columns:
+        packed = (packed << np.uint64(bits)) | codes[narrow]
+    packed.sort()
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(packed)), bool), packed[1:] != packed[:-1]]))
+    shifts = np.arange(len(columns) - 1, -1, -1).astype(np.uint64) * np.uint64(bits)
+    found = ((packed[first][:, None] >> shifts) & np.uint64((1 << bits) - 1)).astype(np.uint32)
+    n = np.diff(np.append(first, len(packed)))
+    if not narrow.all():
+        wide, counts = np.unique(np.stack([codes[~narrow] for codes in columns], axis=1), axis=0, return_counts=True)
+        found, n = np.concatenate([found, wide]), np.concatenate([n, counts])
+    return found, n
+
+
+class Places:
+    """Where keys stand in a sorted array of hashes that holds them all: their high bits lead near."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(1, min(24, int(len(keys)).bit_length()))
+        self.keys, self.shift = keys, np.uint64(64 - bits)
+        self.first = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        at = self.first[keys >> self.shift]
+        open_ = np.flatnonzero(self.keys[at] != keys)
+        while len(open_):
+            at[open_] += 1
+            open_ = open_[self.keys[at[open_]] != keys[open_]]
+        return at
 
 
 def bundles(docs: DataFrame, order: int = ORDER) -> DataFrame:
@@ -234,10 +283,9 @@ def bundles(docs: DataFrame, order: int = ORDER) -> DataFrame:
                 part = batch.slice(b, 500)
                 texts, langs = binaries(part, PREFIX + "text"), values(part, PREFIX + "lang")
                 for lang in set(langs):
-                    keys, found, _ = windows([t for t, x in zip(texts, langs, strict=True) if x == lang], lang, order)
-                    distinct, first, n = np.unique(keys, return_index=True, return_counts=True)
-                    held.setdefault(lang, []).append((distinct, found[first], n))
-                    if len(held[lang]) == 16:
+                    found, n = distinct_windows(windows([t for t, x in zip(texts, langs, strict=True) if x == lang], order)[0])
+                    held.setdefault(lang, []).append((gram_keys(list(found.T), lang), found, n))
+                    if len(held[lang]) == 6:
                         held[lang] = [merged(held[lang])]
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
@@ -248,6 +296,8 @@ def bundles(docs: DataFrame, order: int = ORDER) -> DataFrame:
                     yield from sent()
                     name, size, held = uuid.uuid4().hex, 0, {}
         yield from sent()
+        held = {}
+        pa.default_memory_pool().release_unused()
 
     return stored(docs.mapInArrow(run, "bundle string, block binary, lang string, keys array<bigint>, grams array<string>, n array<bigint>"), "bundles")
 
@@ -291,8 +341,8 @@ def measure(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         known, loss = right["key"].to_numpy().view(np.uint64), right["loss"].to_numpy()
-        order_ = np.argsort(known)
-        known, loss = known[order_], loss[order_]
+        place = np.argsort(known)
+        places, loss = Places(known[place]), loss[place]
         out = []
         for block in left["block"].to_pylist():
             for part in pa.ipc.open_stream(block):
@@ -301,8 +351,8 @@ def measure(docs: DataFrame, order: int = ORDER) -> DataFrame:
                 losses = [None] * len(texts)
                 for lang in set(langs):
                     at = [i for i, x in enumerate(langs) if x == lang]
-                    keys, _, sizes = windows([texts[i] for i in at], lang, order)
-                    sums = np.concatenate([[0.0], np.cumsum(loss[np.searchsorted(known, keys)])]) if len(keys) else np.zeros(1)
+                    columns, sizes = windows([texts[i] for i in at], order)
+                    sums = np.concatenate([[0.0], np.cumsum(loss[places.find(gram_keys(columns, lang))])]) if len(columns[0]) else np.zeros(1)
                     ends = np.cumsum(sizes)
                     for i, a, b in zip(at, (ends - sizes).tolist(), ends.tolist(), strict=True):
                         losses[i] = float(sums[b] - sums[a]) / (b - a) if b > a else None

@@ -67,3 +67,21 @@ def test_no_n_gram_is_pruned(spark):
     mine = quality_rules.bundles(docs).where("block is null").select("lang", F.explode("grams").alias("gram"))
     found = {r.lang: r["count"] for r in mine.distinct().groupBy("lang").count().collect()}
     assert found["en"] > 500_000 and found["rare"] > 5
+
+
+def test_word_order_counts(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choices("aeioulnrstdm", k=rng.randrange(3, 6))) for _ in range(100)]
+    after = {w: rng.sample(words, 4) for w in words}
+    texts = []
+    for _ in range(150):
+        text = [rng.choice(words)]
+        while len(text) < 80:
+            text.append(rng.choice(after[text[-1]]))
+        texts.append(text)
+    shuffled = [rng.sample(t, len(t)) for t in texts[:3]]
+    rows = [(i, "en", " ".join(t)) for i, t in enumerate(texts + shuffled)]
+    judged = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, lang string, text string")).collect()}
+    assert sum(judged[i].quality_kept for i in range(150)) == 150
+    for i in range(3):
+        assert judged[150 + i].quality_loss > 1.2 * judged[i].quality_loss and not judged[150 + i].quality_base_failed and not judged[150 + i].quality_kept
