@@ -2,7 +2,8 @@
 
 Overlapping heuristic labellers vote good, bad or nothing on every text. Expectation-maximisation estimates, over the
 counts of all vote patterns (there are at most 3 ** labellers), the share of good texts and how often each labeller
-votes what, silence included, for good and for bad ones; every pattern then has a posterior. A linear scorer over hashed word features is
+votes what, silence included, for good and for bad ones, starting from expected votes that then count as BELIEF texts
+only; every pattern then has a posterior. A linear scorer over hashed word features is
 trained on posteriors of a bounded sample (about SAMPLE rows, chosen by hash, a parameter) and scores all texts.
 
 Edge cases: null or empty text gets the vote of the length labeller and the score of a text without features; rows that
@@ -27,8 +28,8 @@ from .shared import binaries, rows, widened
 
 GOOD, BAD, NONE = 1, 0, 2
 SAMPLE, BUCKETS, ROUNDS, STEPS, KEEP, KNOWN_WORDS = 6000, 1 << 12, 200, 300, 0.35, 400_000
-#: Votes (bad, good, none) expected of a labeller on good and on bad texts, and the weight of that belief, as a share of all texts.
-EXPECTED_GOOD, EXPECTED_BAD, BELIEF = (0.002, 0.398, 0.6), (0.2, 0.25, 0.55), 1.0
+#: Votes (bad, good, none) expected of a labeller on good and on bad texts, and how many texts of each class that belief counts as, at any number of texts.
+EXPECTED_GOOD, EXPECTED_BAD, BELIEF = (0.002, 0.398, 0.6), (0.2, 0.25, 0.55), 10.0
 MARKS = b"#*$%&|<>"
 
 
@@ -67,7 +68,7 @@ LABELLERS = ("length", "marks", "capitals", "repetition", "variety", "word_lengt
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS, weight: float = BELIEF) -> tuple[np.ndarray, float, np.ndarray]:
-    """patterns: rows of votes; counts: texts per row; weight: of the expected votes. Posterior of good per row; share of good; [good or bad, labeller, vote] rates."""
+    """patterns: rows of votes; counts: texts per row; weight: texts per class that the expected votes count as. Posterior of good per row; share of good; [good or bad, labeller, vote] rates."""
     m = patterns.shape[1] if len(patterns) else len(LABELLERS)
     share, rates = 0.8, np.empty((2, m, 3))
     belief = np.empty((2, 1, 3))
@@ -81,7 +82,7 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS, wei
         share = float(np.clip((posterior * counts).sum() / counts.sum(), 0.01, 0.99))
         for y, texts in ((GOOD, posterior * counts), (BAD, (1 - posterior) * counts)):
             for vote in (BAD, GOOD, NONE):
-                rates[y, :, vote] = ((patterns == vote) * texts[:, None]).sum(axis=0) + weight * counts.sum() * belief[y, 0, vote] + 1e-3
+                rates[y, :, vote] = ((patterns == vote) * texts[:, None]).sum(axis=0) + weight * belief[y, 0, vote] + 1e-3
             rates[y] /= rates[y].sum(axis=1, keepdims=True)
     return posterior, share, rates
 
