@@ -5,9 +5,12 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -56,6 +59,16 @@ def binaries(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [x or b"" for x in column.to_pylist()]
 
 
+def pieces(batch: pa.RecordBatch, name: str, size: int) -> Iterator[pa.RecordBatch]:
+    """The batch cut between rows, so that a string or binary column has about size bytes in a piece, and one row at least."""
+    ends = np.cumsum([0, *(n or 0 for n in pc.binary_length(batch.column(batch.schema.get_field_index(name))).to_pylist())])
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, ends[at] + size, "right")) - 1)
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def values(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 

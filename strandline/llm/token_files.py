@@ -12,61 +12,101 @@ kept, ordered by text hash; an empty table gives empty files. One document must
 
 from __future__ import annotations
 
-from collections import ChainMap
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import binaries, rows, scratch, stored, values
+from .shared import binaries, pieces, rows, scratch, stored, values
 
 BLOCK = 256
 SEGMENT_IDS = 1 << 17
 MAX_LENGTH = 18
-CACHE_WORDS = 500_000
+CACHE_WORDS, PIECE_BYTES = 600_000, 8 << 20
+
+
+#: Marks that the tokenizer makes a token of their own where they follow a letter, and stems that it keeps whole and lower-cases letter by letter.
+TAIL, PLAIN = r"(?s)^(?P<stem>.*?)(?P<tail>[.,;:!?*#$%&|]*)$", "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
 
 
 class WordIds(dict):
-    """Ids of lower-case words between white space, as little-endian unsigned 32-bit bytes.
+    """Numbers words as they come; their ids stand in a flat array, from first[number] on, sizes[number] of them.
 
-    Lives as long as the Python worker. The first CACHE_WORDS words and stems, which the frequent ones are among, stay;
-    later ones are held for one batch, so memory is bounded. A word's full stops and commas at the end, after a letter
-    or digit, are tokens of their own, so only the stem is encoded.
+    Lives as long as the Python worker. At CACHE_WORDS words it starts anew, so memory is bounded. Words are raw: the
+    tokenizer looks for special tokens and composes characters before it lower-cases. Stems of plain Latin letters are
+    spelled in the tokenizer's byte alphabet and encoded many at a time, told apart by the sign that ends a word's last
+    token; all else goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         super().__init__()
-        self.tokenizer, self.stems, self.late = Tokenizer.from_file(path), {}, []
-
-    def encoded(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def learn(self, words: set[bytes]) -> None:
-        for w in self.late:
-            del self[w]
-        new = [w for w in words if w not in self]
-        cut = {}
-        for w in new:
-            stem = w.rstrip(b".,")
-            if len(stem) < len(w) and stem and stem.decode("utf-8", "replace")[-1].isalpha():
-                cut[w] = stem
-        parts = {cut.get(w, w) for w in new} | {w[len(s) :] for w, s in cut.items()}
-        stems, unknown = self.stems, [p for p in parts if p not in self.stems]
-        fresh = dict(zip(unknown, self.encoded(unknown), strict=True))
-        if len(stems) < CACHE_WORDS:
-            stems.update(fresh)
-        else:
-            stems = ChainMap(fresh, stems)
-        for w in new:
-            self[w] = stems[cut[w]] + stems[w[len(cut[w]) :]] if w in cut else stems[w]
-        self.late = new if len(self) > CACHE_WORDS else []
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain.normalizer, self.plain.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        # byte-level vocabularies: printable characters stand for themselves, the other bytes for those from 256 on
+        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        hidden = [b for b in range(256) if b not in shown]
+        self.spelling = np.arange(256, dtype="<u4")
+        self.spelling[hidden] = 256 + np.arange(len(hidden))
+        self.spelling[32] = 32
+        self.clear()
+
+    def clear(self) -> None:
+        super().clear()
+        self.flat, self.sizes, self.first = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _together(self, stems: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of stems of plain letters, and how many each has."""
+        codes = np.frombuffer(" ".join(stems.to_numpy(zero_copy_only=False)).lower().encode(), np.uint8)
+        text = self.spelling[codes].tobytes().decode("utf-32-le")
+        ids = np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        return ids, np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+
+    def _apart(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words.to_pylist(), add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """The numbers of words, after encoding those that are new."""
+        coded = words.dictionary_encode()
+        known = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = [w for w in known if w not in self]
+        if new:
+            self.update(zip(new, range(len(self), len(self) + len(new))))
+            self._learn(pa.array(new, pa.string()))
+        place = np.fromiter(map(self.__getitem__, known), np.int64, len(known))
+        return place[coded.indices.to_numpy()]
+
+    def _learn(self, new: pa.Array) -> None:
+        cut = pc.extract_regex(new, TAIL)
+        plain = pc.match_substring_regex(cut.field("stem"), PLAIN)
+        stems, others = cut.field("stem").filter(plain).dictionary_encode(), new.filter(pc.invert(plain))
+        tails = pc.if_else(plain, cut.field("tail"), "").dictionary_encode()
+        parts = [self._together(stems.dictionary), self._apart(others), self._apart(tails.dictionary)]
+        flat, sizes = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        head, mask = np.empty(len(new), np.int64), plain.to_numpy(zero_copy_only=False)
+        head[mask], head[~mask] = stems.indices.to_numpy(), len(stems.dictionary) + np.arange(len(others))
+        piece = np.stack([head, len(stems.dictionary) + len(others) + tails.indices.to_numpy()], axis=1)
+        lengths, begin = sizes[piece], np.cumsum(sizes) - sizes
+        self.flat = np.concatenate([self.flat, gathered(flat, begin[piece].ravel(), lengths.ravel())])
+        self.sizes = np.concatenate([self.sizes, lengths.sum(axis=1)])
+        self.first = np.cumsum(self.sizes) - self.sizes
+
+
+def gathered(flat: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The slices of flat that begin at begin, one after the other."""
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(begin - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
 @lru_cache(maxsize=1)
@@ -74,6 +114,17 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+def split_words(texts: pa.Array) -> pa.Array:
+    """Lists of words between ASCII white space. Plain ASCII is lower-cased first: nothing in it composes, and no special token starts."""
+    texts = texts.cast(pa.string()).fill_null("")
+    try:
+        texts.validate(full=True)
+    except pa.ArrowInvalid:
+        texts = pa.array([t.decode("utf-8", "replace") for t in texts.cast(pa.binary()).to_pylist()], pa.string())
+    plain = pc.and_(pc.string_is_ascii(texts), pc.invert(pc.match_substring(texts, "<|")))
+    return pc.ascii_split_whitespace(pc.if_else(plain, pc.ascii_lower(texts), texts))
+
+
 def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """doc_id, part, local_start, n_tokens, ids (little-endian uint32) in ascending doc_id order within and across parts.
 
@@ -89,12 +140,16 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
         cache = word_ids(tokenizer_path)
         end, at, part = np.array([end_id], "<u4").tobytes(), 0, TaskContext.get().partitionId()
         for batch in batches:
-            for b in range(0, batch.num_rows, 1000):
-                piece = batch.slice(b, 1000)
-                words = [t.lower().split() for t in binaries(piece, "text")]  # the tokenizer lower-cases anyway
-                cache.learn(set().union(*words))
-                ids = [b"".join(map(cache.__getitem__, w)) + end for w in words]
-                sizes = np.fromiter(map(len, ids), np.int64) // 4
+            for piece in pieces(batch, "text", PIECE_BYTES):
+                if len(cache) > CACHE_WORDS:
+                    cache.clear()
+                words = split_words(piece.column(piece.schema.get_field_index("text")))
+                counts, numbers = words.value_lengths().to_numpy(), cache.numbers(words.flatten())
+                lengths = cache.sizes[numbers]
+                flat = gathered(cache.flat, cache.first[numbers], lengths).astype("<u4").tobytes()
+                stop = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(counts)]
+                ids = [flat[4 * x : 4 * y] + end for x, y in zip([0, *stop[:-1].tolist()], stop.tolist())]
+                sizes = np.diff(stop, prepend=0) + 1
                 starts = at + np.cumsum(sizes) - sizes
                 at += int(sizes.sum())
                 yield rows(schema, values(piece, "doc_id"), np.full(len(ids), part, np.int32).tolist(), starts.tolist(), sizes.tolist(), ids)

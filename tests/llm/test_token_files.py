@@ -9,6 +9,8 @@ from strandline.llm import token_files as tf
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = ["Hello  World, it's 42 — naïve\n\tcafé", None, "", " \n ", "a\x1cb c d é ́x", "x" * 5000 + " end", "<|endoftext|> q", "same", "same"]
+#: Special tokens only as they stand, and characters that compose before they are lower-cased.
+RAW = ["<|EndOfText|> x<|endoftext|>y", "J\u030c h\u0331 H\u0331", "T\u0308 W\u030a", "it's. don't, \u00ff\u0178 \u00aa \u00ba \u00b5 \u0130stanbul na\u00efve,*** x&&&y \u00df \u1e9e.", "  lead\x1cx y\u0085 tail \n", "12345.67, .x .. \u65e5\u672c\u8a9e."]
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 50, 3000])
@@ -54,5 +56,21 @@ def test_round_trip(spark):
         at += r.n_tokens
 
 
+def test_ids_equal_the_library_on_raw_words(spark, monkeypatch):
+    monkeypatch.setattr(tf, "CACHE_WORDS", 5)
+    monkeypatch.setattr(tf, "PIECE_BYTES", 40)
+    lib = Tokenizer.from_file(PATH)
+    texts = RAW * 3
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in tf.round_trip(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH).collect()}
+    assert got == {i: [*lib.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+
+
+def test_one_long_text(spark):
+    text = "Some words, and MORE of them. " * 200_000
+    row = tf.round_trip(spark.createDataFrame([(1, text)], "doc_id long, text string"), PATH).first()
+    once = Tokenizer.from_file(PATH).encode("Some words, and MORE of them. ", add_special_tokens=False).ids
+    assert np.frombuffer(row.ids, "<u4").tolist() == once * 200_000 + [2]
+
+
 def test_empty_table(spark):
     assert tf.round_trip(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
