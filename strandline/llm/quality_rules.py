@@ -1,24 +1,33 @@
 r"""Quality rules: base counts per text, then perplexity bands of a modified Kneser-Ney model per language.
 
-The model is over the characters of whole texts, order ORDER: words (between ASCII white space) with one blank between
-them, so n-grams run across word boundaries and the order of words counts. Nothing is pruned: n-gram counts, continuation counts, discounts (per language) and probabilities are
-Spark aggregations and joins over all n-grams of all rows. As the texts scored are those counted, every n-gram of a text
-is in the model, so scoring is a join: tasks bundle texts (about BUNDLE characters each), a bundle's distinct n-grams are
-joined to the model by 64-bit hash, and the bundle meets its losses again. No model is held whole anywhere. A text is
-rejected where its mean log loss per character lies outside its language's band, which runs from the
-lower quartile less BELOW times the interquartile range to the upper quartile plus ABOVE times it, both times
-sqrt(1 + SHORT / n_words), as short texts vary more.
-
-Edge cases: null text has no words and fails the base rules; a null language is a language of its own; a language with
-fewer than MIN_DOCS judged texts has no band, and its texts pass; an empty table gives an empty result.
+The model is over the characters of whole texts that pass the base rules, order ORDER: words (between ASCII white space)
+with one blank between them, so n-grams run across word boundaries and the order of words counts. A character is its
+code point; those from FOLD on share FOLD symbols, so that a window is one 55-bit number. Nothing is pruned: n-gram
+counts, continuation counts, discounts (per language) and probabilities are Spark aggregations and joins over all
+n-grams of all rows. As the texts scored are those counted, every n-gram of a text is in the model; so that a text
+doesn't vouch for itself, an n-gram that one text alone has (with its exact copies) is scored as if it were unseen, by
+backing off. Which text that is, is told by TAG_BITS bits of its hash: of the n-grams in two texts, one in 512 is taken
+for one text's.
+
+Scoring looks windows up in sorted hash arrays. Where the model has MODEL_ROWS n-grams at most it is sent to the tasks;
+a larger one stays a table: tasks bundle texts (about BUNDLE bytes each), a bundle's distinct n-grams are joined to the
+model, and the bundle meets its losses again. Both ways give the same losses. A text is rejected where its log loss per
+letter lies outside its language's band, which runs from the lower quartile less BELOW times the interquartile range to
+the upper quartile plus ABOVE times it, both times sqrt(1 + SHORT / n_words), as short texts vary more. Loss is taken
+per letter, so signs between the words add to it.
+
+Edge cases: null text has no words and fails the base rules; a null language is a language of its own, apart from an
+empty one; a language with fewer than MIN_DOCS judged texts has no band, and its texts pass; a text without letters
+counts as one letter; very long texts are taken whole (one must fit in a task's memory); rows that repeat a doc_id are
+judged each; columns of docs that are kept may have any names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import uuid
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +35,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import binaries, rows, stored, values, widened
+from .shared import binaries, pieces, rows, stored, values, widened
 
-ORDER, BUNDLE, MIN_WORDS, REPEAT_PERCENT, BELOW, ABOVE, SHORT, MIN_DOCS = 5, 16_000_000, 10, 20, 4.0, 3.0, 60, 20
-START, END, SYMBOLS, WINDOW = "\x02", "\x03", b"#*$%&|<>", 5
+ORDER, BITS, FOLD, TAG_BITS, BUNDLE, MODEL_ROWS = 5, 11, 1024, 9, 16_000_000, 8_000_000
+MIN_WORDS, REPEAT_PERCENT, BELOW, ABOVE, SHORT, MIN_DOCS = 10, 20, 8.0, 4.0, 60, 20
+START, END, SYMBOLS, WINDOW, PIECE, HELD = "\x02", "\x03", b"#*$%&|<>", 5, 1 << 20, 1 << 22
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -43,10 +53,11 @@ def repeated_words(words: list[bytes]) -> int:
     for i in range(WINDOW):
         key = (key ^ h[i : i + n]) * _P
         key ^= key >> np.uint64(29)
+    found = np.sort(key)
+    if (found[1:] != found[:-1]).all():
+        return 0
     order = np.argsort(key, kind="stable")
     same = key[order[1:]] == key[order[:-1]]
-    if not same.any():
-        return 0
     twice = np.zeros(n, bool)
     twice[order[1:][same]] = twice[order[:-1][same]] = True
     cover = np.zeros(len(words) + 1, np.int64)
@@ -67,318 +78,292 @@ def base_counts(text: bytes, characters: int, words: list[bytes]) -> tuple[int,
     return len(words), characters - blanks, len(text) - len(text.translate(None, SYMBOLS)), duplicate_lines(text), repeated_words(words)
 
 
-def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """lang, gram, n: counts of the order-character windows of all words, padded at the start."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())])
-        pad, held = START * (order - 1), {}
-
-        def sent():
-            for lang, words in held.items():
-                grams = Counter()
-                for word, n in words.items():
-                    w = pad + word.decode("utf-8", "replace") + END
-                    for i in range(len(w) - order + 1):
-                        grams[w[i : i + order]] += n
-                yield rows(schema, [lang] * len(grams), list(grams), list(grams.values()))
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+_MARKS = str.maketrans({START: "\ufffd", END: "\ufffd"})
 
-        for batch in batches:
-            for lang, text in zip(values(batch, "lang"), binaries(batch, "text"), strict=True):
-                held.setdefault(lang, Counter()).update(text.split())
-            if sum(map(len, held.values())) > 600_000:
-                yield from sent()
-                held = {}
-        yield from sent()
 
-    counted = docs.selectExpr("cast(text as string) text", "coalesce(cast(lang as string), '') lang").mapInArrow(run, "lang string, gram string, n long")
-    return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-
-
-def _hash(codes: np.ndarray, seed: int) -> np.ndarray:
-    key = np.full(len(codes), seed, np.uint64)
-    for i in range(codes.shape[1]):
-        key = (key ^ codes[:, i].astype(np.uint64)) * _P
-        key ^= key >> np.uint64(31)
-    return key
-
-
-class Table:
-    """Values by 64-bit hash, in sorted arrays."""
-
-    def __init__(self, keys: np.ndarray, data: np.ndarray):
-        self.keys, first = np.unique(keys, return_index=True)
-        self.data = data[first].astype(np.float32)
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each key is there; its value, or 0."""
-        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
-        found = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
-        return found, np.where(found, self.data[at] if len(self.data) else 0, 0).astype(np.float64)
-
-
-class KneserNey:
-    """Interpolated modified Kneser-Ney over code points of single words, held in one place: for few n-grams, with back-off for unseen ones. Column 0 of every window is the language's number."""
-
-    def __init__(self, languages: list[str], grams: pa.ChunkedArray, lang_of: np.ndarray, counts: np.ndarray, order: int = ORDER):
-        self.id, self.order, self.languages = uuid.uuid4().hex, order, {x: i for i, x in enumerate(languages)}
-        text = "".join("".join(chunk.to_pylist()) for chunk in grams.chunks)
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, order)
-        level = np.concatenate([lang_of[:, None].astype(np.uint32), codes], axis=1)
-        levels, a = [], counts.astype(np.float64)
-        while True:
-            levels.append((level, a))
-            if level.shape[1] == 2:
-                break
-            shorter = np.concatenate([level[:, :1], level[:, 2:]], axis=1)
-            _, first, inverse = np.unique(_hash(shorter, 1), return_index=True, return_inverse=True)
-            # continuation counts; windows at the start of a word keep their plain counts
-            a = np.where(shorter[first, 1] == ord(START), np.bincount(inverse, a), np.bincount(inverse)) if len(level) else a
-            level = shorter[first]
-        self.vocabulary = len(np.unique(levels[-1][0][:, 1])) + 1
-        self.probability, self.backoff = [], []
-        lower = None
-        for level, a in reversed(levels):
-            n = [max(0.0, float((a == i).sum())) for i in range(1, 5)]
-            y = n[0] / (n[0] + 2 * n[1]) if n[0] + n[1] else 0.5
-            d = np.array([0.0, *(min(i, max(0.1 * i, i - (i + 1) * y * n[i] / n[i - 1])) if n[i - 1] and n[i] else 0.5 * i for i in (1, 2, 3))])
-            kind = np.minimum(a, 3).astype(np.int64)
-            keys = _hash(level[:, :-1], 2)
-            unique, inverse = np.unique(keys, return_inverse=True)
-            total = np.bincount(inverse, a, len(unique))
-            gamma = np.bincount(inverse, d[kind], len(unique)) / np.maximum(total, 1e-300)
-            below = 1 / self.vocabulary if lower is None else np.exp(lower.find(_hash(np.concatenate([level[:, :1], level[:, 2:]], axis=1), 1))[1])
-            p = (a - d[kind]) / total[inverse] + gamma[inverse] * below if len(level) else a
-            lower = Table(_hash(level, 1), np.log(p))
-            self.probability.append(lower)
-            self.backoff.append(Table(unique, np.log(np.maximum(gamma, 1e-30))))
-
-    def losses(self, lang: str, words: list[str]) -> np.ndarray:
-        """Minus the log probability of each word with its end mark."""
-        if not words:
-            return np.zeros(0)
-        pad = START * (self.order - 1)
-        sizes = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
-        codes = np.frombuffer("".join(pad + w + END for w in words).encode("utf-32-le", "surrogatepass"), "<u4")
-        begin = np.cumsum(sizes + self.order - 1) - sizes - self.order + 1
-        starts = np.repeat(begin - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        windows = codes[starts[:, None] + np.arange(self.order)]
-        windows = np.concatenate([np.full((len(windows), 1), self.languages.get(lang, len(self.languages)), np.uint32), windows], axis=1)
-        loss, open_ = np.zeros(len(windows)), np.arange(len(windows))
-        for k in range(self.order, 0, -1):
-            part = np.concatenate([windows[open_, :1], windows[open_, self.order + 1 - k :]], axis=1)
-            found, value = self.probability[k - 1].find(_hash(part, 1))
-            loss[open_[found]] -= value[found]
-            open_, part = open_[~found], part[~found]
-            if not len(open_):
-                break
-            loss[open_] -= self.backoff[k - 1].find(_hash(part[:, :-1], 2))[1]
-        loss[open_] += np.log(self.vocabulary)
-        return np.add.reduceat(loss, np.cumsum(sizes) - sizes)
-
-
-def train(docs: DataFrame, order: int = ORDER) -> KneserNey:
-    """docs: text, lang."""
-    table = count_grams(docs, order).orderBy("lang", "gram").toArrow()
-    languages = sorted(set(table["lang"].unique().to_pylist()))
-    place = pc.index_in(table["lang"], pa.array(languages, pa.string())).to_numpy().astype(np.int64)
-    return KneserNey(languages, table["gram"], place, table["n"].to_numpy(), order)
+def base_fails(n_words: int, n_repeat_words: int) -> bool:
+    return n_words < MIN_WORDS or 100 * n_repeat_words > REPEAT_PERCENT * n_words
 
 
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-PREFIX = "quality_"
-_MARKS = str.maketrans({START: "\ufffd", END: "\ufffd"})
+def sequence(words: list[bytes]) -> str:
+    """The symbols of a text: its words with one blank between, START before and END after; marks that stand in the text are replaced. Empty where there are no words."""
+    text = b" ".join(words).decode("utf-8", "replace")
+    if START in text or END in text:
+        text = text.translate(_MARKS)
+    return START * (ORDER - 1) + text + END if text else ""
 
 
-def sequence(text: bytes, order: int = ORDER) -> str:
-    """The symbols of a text: its words with one blank between, START before and END after; marks that stand in the text are replaced. Empty where there are no words."""
-    words = b" ".join(text.split()).decode("utf-8", "replace")
-    if START in words or END in words:
-        words = words.translate(_MARKS)
-    return START * (order - 1) + words + END if words else ""
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), np.uint8, 0x110000)
 
 
-def windows(texts: list[bytes], order: int = ORDER) -> tuple[list[np.ndarray], np.ndarray]:
-    """The texts' windows of order symbols, as an array per place, and how many each text has."""
-    parts = [sequence(t, order) for t in texts]
+def windows(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All windows of the texts (each as its words) as numbers; how many windows, and how many letters, each text has."""
+    parts = [sequence(t) for t in texts]
     codes = np.frombuffer("".join(parts).encode("utf-32-le"), "<u4")
+    edges = np.cumsum([0, *map(len, parts)])
+    narrow = np.where(codes < FOLD, codes, FOLD + codes % FOLD).astype(np.uint64)
     real = codes != ord(START)  # every such symbol ends a window
-    sums = np.concatenate([[0], np.cumsum(real)])
-    edges = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
     at = np.flatnonzero(real)
-    return [codes[at - i] for i in reversed(range(order))], np.diff(sums[edges])
-
-
-def gram_keys(columns: list[np.ndarray], lang: str) -> np.ndarray:
-    """64-bit hashes of windows of a language."""
-    name = lang.encode()
-    key = np.full(len(columns[0]), (zlib.crc32(name) << 32) | zlib.crc32(b"language" + name), np.uint64)
-    for codes in columns:
-        key ^= codes
-        key *= _P
-        key ^= key >> np.uint64(31)
-    return key
-
-
-def distinct_windows(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct windows as rows of codes, and their counts. Where all codes have 64 / order bits at most, windows are packed into numbers."""
-    bits = 64 // len(columns)
-    narrow = np.ones(len(columns[0]), bool)
-    for codes in columns:
-        narrow &= codes < 1 << bits
-    packed = np.zeros(int(narrow.sum()), np.uint64)
-    for codes in columns:
-        packed = (packed << np.uint64(bits)) | codes[narrow]
-    packed.sort()
-    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(packed)), bool), packed[1:] != packed[:-1]]))
-    shifts = np.arange(len(columns) - 1, -1, -1).astype(np.uint64) * np.uint64(bits)
-    found = ((packed[first][:, None] >> shifts) & np.uint64((1 << bits) - 1)).astype(np.uint32)
-    n = np.diff(np.append(first, len(packed)))
-    if not narrow.all():
-        wide, counts = np.unique(np.stack([codes[~narrow] for codes in columns], axis=1), axis=0, return_counts=True)
-        found, n = np.concatenate([found, wide]), np.concatenate([n, counts])
-    return found, n
-
-
-class Places:
-    """Where keys stand in a sorted array of hashes that holds them all: their high bits lead near."""
-
-    def __init__(self, keys: np.ndarray):
-        bits = max(1, min(24, int(len(keys)).bit_length()))
-        self.keys, self.shift = keys, np.uint64(64 - bits)
-        self.first = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        at = self.first[keys >> self.shift]
+    key = narrow[at - ORDER + 1]
+    for i in reversed(range(ORDER - 1)):
+        key = (key << np.uint64(BITS)) | narrow[at - i]
+    counted = [np.diff(np.concatenate([[0], np.cumsum(x, dtype=np.int64)])[edges]) for x in (real, _letters()[codes])]
+    return key, *counted
+
+
+def hashed(key: np.ndarray) -> np.ndarray:
+    """A bijection that spreads windows evenly."""
+    key = key * _P
+    key = (key ^ (key >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return key ^ (key >> np.uint64(29))
+
+
+def tagged(texts: list[list[bytes]]) -> np.ndarray:
+    """All windows of the texts, with the tag of their text in the lowest bits."""
+    key, sizes, _ = windows(texts)
+    tags = np.fromiter((zlib.crc32(b" ".join(t)) >> (32 - TAG_BITS) for t in texts), np.uint64, len(texts))
+    return (key << np.uint64(TAG_BITS)) | np.repeat(tags, sizes)
+
+
+def counted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct windows, sorted, their counts, and their lowest and highest tag."""
+    key = np.sort(key)
+    gram = key >> np.uint64(TAG_BITS)
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(gram)), bool), gram[1:] != gram[:-1]]))
+    last = np.append(first[1:], len(gram)) - 1 if len(first) else first
+    mask = np.uint64((1 << TAG_BITS) - 1)
+    return gram[first], last - first + 1, (key[first] & mask).astype(np.int16), (key[last] & mask).astype(np.int16)
+
+
+def merged(runs: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    gram, n, low, high = map(np.concatenate, zip(*runs))
+    order = np.argsort(gram)
+    gram = gram[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(gram)), bool), gram[1:] != gram[:-1]]))
+    return (gram, n, low, high) if not len(first) else (gram[first], np.add.reduceat(n[order], first), np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first))
+
+
+class Tally:
+    """Counts of windows by language; sorted in runs, so memory goes by the distinct ones."""
+
+    def __init__(self):
+        self.open, self.done = {}, {}
+
+    def add(self, lang: str | None, key: np.ndarray) -> None:
+        self.open.setdefault(lang, []).append(key)
+        if sum(map(len, self.open[lang])) > HELD:
+            self._close(lang)
+
+    def _close(self, lang: str | None) -> None:
+        runs = self.done.setdefault(lang, [])
+        runs.append(counted(np.concatenate(self.open.pop(lang))))
+        if len(runs) == 8:
+            self.done[lang] = [merged(runs)]
+
+    def items(self) -> Iterator[tuple[str | None, tuple[np.ndarray, ...]]]:
+        for lang in list(self.open):
+            self._close(lang)
+        for lang, runs in self.done.items():
+            yield lang, merged(runs)
+
+
+def _passing(part: pa.RecordBatch) -> Iterator[tuple[str | None, list[list[bytes]]]]:
+    """The texts of a piece that pass the base rules, as words, by language."""
+    texts, langs = binaries(part, "text"), values(part, "lang")
+    words = [t.split() for t in texts]
+    fine = [not base_fails(len(w), repeated_words(w)) for w in words]
+    for lang in set(langs):
+        yield lang, [w for w, x, f in zip(words, langs, fine, strict=True) if f and x == lang]
+
+
+def count_grams(docs: DataFrame) -> DataFrame:
+    """lang, gram, n, low, high (tags) of the windows of all texts that pass the base rules. docs: text, lang."""
+    schema = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64()), ("low", pa.int16()), ("high", pa.int16())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally()
+        for batch in batches:
+            for part in pieces(batch, "text", PIECE):
+                for lang, texts in _passing(part):
+                    tally.add(lang, tagged(texts))
+        for lang, found in tally.items():
+            for b in range(0, len(found[0]), 200_000):
+                key, n, low, high = (x[b : b + 200_000] for x in found)
+                yield rows(schema, [lang] * len(key), pa.array(key.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(low), pa.array(high))
+
+    sent = docs.select("lang", "text").mapInArrow(run, "lang string, gram long, n long, low short, high short")
+    return sent.groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def gram_losses(grams: DataFrame) -> DataFrame:
+    """lang, gram, loss (float): minus the log probability of each window's last symbol after the others, from what count_grams() returns.
+
+    A window of one text is unseen: its context's back-off weight (1, if the context is that text's too) times the shorter window's probability.
+    """
+    levels = [stored(grams.select("lang", "gram", F.col("n").cast("double").alias("a"), "low", "high"), "level")]
+    for k in range(ORDER - 1, 0, -1):
+        # continuation counts; windows at the start keep their plain counts
+        shorter = levels[-1].groupBy("lang", F.col("gram").bitwiseAND(F.lit((1 << BITS * k) - 1)).alias("gram")).agg(F.sum("a").alias("plain"), F.count("*").alias("left"), F.min("low").alias("low"), F.max("high").alias("high"))
+        starts = F.shiftright("gram", BITS * (k - 1)) == ord(START)
+        levels.append(stored(shorter.select("lang", "gram", F.when(starts, F.col("plain")).otherwise(F.col("left")).cast("double").alias("a"), "low", "high"), "level"))
+    levels.reverse()
+    every = levels[0].withColumn("k", F.lit(1))
+    for k, level in enumerate(levels[1:], 2):
+        every = every.unionByName(level.withColumn("k", F.lit(k)))
+    few = every.groupBy("lang", "k").agg((1 / (F.count("*") + 1)).alias("below"), *(F.count_if(F.col("a") == i).cast("double").alias(f"n{i}") for i in range(1, 5)))
+    y = F.when(F.col("n1") + F.col("n2") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(0.5)
+    d = [F.when((F.col(f"n{i}") > 0) & (F.col(f"n{i + 1}") > 0), F.least(F.lit(float(i)), F.greatest(F.lit(0.1 * i), i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")))).otherwise(0.5 * i) for i in (1, 2, 3)]
+    cuts = stored(few.select(F.col("lang").alias("of"), "k", "below", *(x.alias(f"d{i}") for i, x in enumerate(d, 1))), "discounts")
+    for k, level in enumerate(levels, 1):
+        cut = F.when(F.col("a") == 1, F.col("d1")).when(F.col("a") == 2, F.col("d2")).otherwise(F.col("d3"))
+        each = level.join(cuts.where(F.col("k") == k), F.col("lang").eqNullSafe(F.col("of"))).select("lang", "gram", "a", "low", "high", cut.alias("d"), "below", F.shiftright("gram", BITS).alias("context"))
+        sums = each.groupBy(F.col("lang").alias("of"), F.col("context").alias("after")).agg(F.sum("a").alias("total"), F.sum("d").alias("gamma"), (F.min("low") == F.max("high")).alias("own_context"))
+        both = each.join(sums, F.col("lang").eqNullSafe(F.col("of")) & (F.col("context") == F.col("after"))).select("lang", "gram", "a", "d", "total", "gamma", "below", "own_context", (F.col("low") == F.col("high")).alias("own"))
+        if k > 1:
+            ending = lower.select(F.col("lang").alias("of"), F.col("gram").alias("ending"), F.col("p").alias("shorter"))  # noqa: F821
+            mine = F.col("gram").bitwiseAND(F.lit((1 << BITS * (k - 1)) - 1))
+            both = both.join(ending, F.col("lang").eqNullSafe(F.col("of")) & (mine == F.col("ending"))).withColumn("below", F.col("shorter"))
+        weight = F.col("gamma") / F.col("total")
+        p = F.when(~F.col("own"), (F.col("a") - F.col("d")) / F.col("total") + weight * F.col("below")).when(F.col("own_context"), F.col("below")).otherwise(weight * F.col("below"))
+        lower = stored(both.select("lang", "gram", p.alias("p")), "probabilities")
+    return lower.select("lang", "gram", (-F.log("p")).cast("float").alias("loss"))
+
+
+class Losses:
+    """Losses by window, in sorted arrays of hashes that hold every window asked for: high bits lead near."""
+
+    def __init__(self, keys: np.ndarray, losses: np.ndarray):
+        """keys: hashes, sorted."""
+        bits = max(1, min(24, int(len(keys)).bit_length() + 1))
+        self.keys, self.losses, self.shift = keys, losses, np.uint64(64 - bits)
+        self.first = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.uint32)
+
+    def find(self, windows: np.ndarray) -> np.ndarray:
+        keys = hashed(windows)
+        at = self.first[keys >> self.shift].astype(np.int64)
         open_ = np.flatnonzero(self.keys[at] != keys)
         while len(open_):
             at[open_] += 1
             open_ = open_[self.keys[at[open_]] != keys[open_]]
-        return at
+        return self.losses[at]
+
+
+def sorted_losses(langs: pa.ChunkedArray, grams: np.ndarray, losses: np.ndarray) -> dict[str | None, tuple[np.ndarray, np.ndarray]]:
+    """Sorted hash arrays of each language."""
+    coded = langs.combine_chunks().dictionary_encode(null_encoding="encode")
+    number, out = coded.indices.to_numpy(zero_copy_only=False), {}
+    for i, lang in enumerate(coded.dictionary.to_pylist()):
+        keys, mine = hashed(grams[number == i].view(np.uint64)), losses[number == i]
+        order = np.argsort(keys)
+        out[lang] = keys[order], mine[order]
+    return out
+
+
+def _measured(part: pa.RecordBatch, kept: dict[str, str], find: Callable[[str | None], Losses]) -> pa.RecordBatch:
+    """The kept columns (under their names in kept) of a piece, its base counts, base_failed and loss."""
+    texts, langs = binaries(part, "text"), values(part, "lang")
+    characters = [n or 0 for n in pc.utf8_length(part.column(part.schema.get_field_index("text"))).to_pylist()]
+    words = [t.split() for t in texts]
+    counts = [base_counts(t, n, w) for t, n, w in zip(texts, characters, words, strict=True)]
+    failed = [base_fails(c[0], c[4]) for c in counts]
+    losses: list[float | None] = [None] * len(texts)
+    for lang in set(langs):
+        at = [i for i, x in enumerate(langs) if x == lang and not failed[i]]
+        if at:
+            key, sizes, letters = windows([words[i] for i in at])
+            sums = np.add.reduceat(find(lang).find(key).astype(np.float64), np.cumsum(sizes) - sizes)
+            for i, x in zip(at, (sums / np.maximum(letters, 1)).tolist(), strict=True):
+                losses[i] = x
+    old = [part.column(part.schema.get_field_index(c)) for c in kept]
+    new = [*(pa.array(x, pa.int64()) for x in zip(*counts)), pa.array(failed, pa.bool_()), pa.array(losses, pa.float64())]
+    return pa.RecordBatch.from_arrays(old + new, names=[*kept.values(), *COUNTS, "base_failed", "loss"])
+
+
+_found: dict[str, dict[str | None, Losses]] = {}
+
+
+def measure(docs: DataFrame, kept: dict[str, str], model_rows: int = MODEL_ROWS) -> DataFrame:
+    """docs: text, lang and the columns named in kept, which go on under the names given there; adds COUNTS, base_failed
+    and loss (the log loss per letter, null where the base rules fail)."""
+    model = stored(gram_losses(count_grams(docs)), "model")
+    plain = docs.select(*(F.col(c).alias(n) for c, n in kept.items()))
+    schema = widened(plain, **dict.fromkeys(COUNTS, "long"), base_failed="boolean", loss="double")
+    if model.count() > model_rows:
+        return _by_bundles(docs, kept, model, schema)
+    table = model.toArrow()  # model_rows at most
+    shared = docs.sparkSession.sparkContext.broadcast(sorted_losses(table["lang"], table["gram"].to_numpy(), table["loss"].to_numpy()))
+    name = uuid.uuid4().hex
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if name not in _found:
+            _found.clear()
+            _found[name] = {lang: Losses(*x) for lang, x in shared.value.items()}
+        for batch in batches:
+            for part in pieces(batch, "text", PIECE):
+                yield _measured(part, kept, _found[name].__getitem__)
 
-def bundles(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """A written table of bundle, block and lang, keys, grams, n. Rows with a block hold up to 500 rows of docs (quality_lang, quality_text
-    and others) as Arrow stream; the others hold a bundle's distinct n-grams of a language, their hashes and counts."""
-    schema = pa.schema([("bundle", pa.string()), ("block", pa.binary()), ("lang", pa.string()), ("keys", pa.list_(pa.int64())), ("grams", pa.list_(pa.string())), ("n", pa.list_(pa.int64()))])
+    return docs.mapInArrow(run, schema)
 
-    def merged(parts):
-        keys, first = np.unique(np.concatenate([p[0] for p in parts]), return_index=True)
-        place = np.searchsorted(keys, np.concatenate([p[0] for p in parts]))
-        return keys, np.concatenate([p[1] for p in parts])[first], np.bincount(place, np.concatenate([p[2] for p in parts])).astype(np.int64)
+
+def bundles(docs: DataFrame) -> DataFrame:
+    """A written table of bundle, block, lang, grams. Rows with a block hold a piece of docs as Arrow stream; the others a bundle's distinct windows of a language."""
+    schema = pa.schema([("bundle", pa.string()), ("block", pa.binary()), ("lang", pa.string()), ("grams", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, size, held = uuid.uuid4().hex, 0, {}
+        name, size, tally = uuid.uuid4().hex, 0, Tally()
 
         def sent():
-            for lang, parts in held.items():
-                keys, codes, n = merged(parts)
-                for b in range(0, len(keys), 100_000):
-                    text = codes[b : b + 100_000].astype("<u4").tobytes().decode("utf-32-le")
-                    grams = [text[i : i + order] for i in range(0, len(text), order)]
-                    yield rows(schema, [name], [None], [lang], [keys[b : b + 100_000].view(np.int64)], [grams], [n[b : b + 100_000]])
+            for lang, (key, *_) in tally.items():
+                for b in range(0, len(key), 100_000):
+                    yield rows(schema, [name], [None], [lang], [key[b : b + 100_000].view(np.int64)])
 
         for batch in batches:
-            for b in range(0, batch.num_rows, 500):
-                part = batch.slice(b, 500)
-                texts, langs = binaries(part, PREFIX + "text"), values(part, PREFIX + "lang")
-                for lang in set(langs):
-                    found, n = distinct_windows(windows([t for t, x in zip(texts, langs, strict=True) if x == lang], order)[0])
-                    held.setdefault(lang, []).append((gram_keys(list(found.T), lang), found, n))
-                    if len(held[lang]) == 6:
-                        held[lang] = [merged(held[lang])]
+            for part in pieces(batch, "text", PIECE):
+                for lang, texts in _passing(part):
+                    tally.add(lang, tagged(texts))
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                     out.write_batch(part)
-                yield rows(schema, [name], [sink.getvalue().to_pybytes()], [None], [None], [None], [None])
-                size += sum(map(len, texts))
+                yield rows(schema, [name], [sink.getvalue().to_pybytes()], [None], [None])
+                size += part.nbytes
                 if size > BUNDLE:
                     yield from sent()
-                    name, size, held = uuid.uuid4().hex, 0, {}
+                    name, size, tally = uuid.uuid4().hex, 0, Tally()
         yield from sent()
-        held = {}
-        pa.default_memory_pool().release_unused()
 
-    return stored(docs.mapInArrow(run, "bundle string, block binary, lang string, keys array<bigint>, grams array<string>, n array<bigint>"), "bundles")
+    return stored(docs.mapInArrow(run, "bundle string, block binary, lang string, grams array<bigint>"), "bundles")
 
 
-def gram_losses(grams: DataFrame, order: int = ORDER) -> DataFrame:
-    """lang, gram, key, loss: minus the log probability of each n-gram's last symbol after the others, from lang, gram, key, n, a row per n-gram."""
-    levels = [grams.select("lang", "gram", "key", F.col("n").cast("double").alias("a"))]
-    for _ in range(order - 1):
-        shorter = levels[-1].groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.sum("a").alias("plain"), F.count("*").alias("left"))
-        # continuation counts; windows at the start keep their plain counts
-        levels.append(stored(shorter.select("lang", "gram", F.when(F.startswith("gram", F.lit(START)), F.col("plain")).otherwise(F.col("left")).cast("double").alias("a")), "level"))
-    lower = levels[-1].groupBy("lang").agg((1 / (F.count("*") + 1)).alias("below"))  # a row per language
-    for k, level in enumerate(reversed(levels), 1):
-        few = level.groupBy("lang").agg(*(F.count_if(F.col("a") == i).cast("double").alias(f"n{i}") for i in range(1, 5)))
-        y = F.when(F.col("n1") + F.col("n2") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(0.5)
-        d = [F.when((F.col(f"n{i}") > 0) & (F.col(f"n{i + 1}") > 0), F.least(F.lit(float(i)), F.greatest(F.lit(0.1 * i), i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")))).otherwise(0.5 * i) for i in (1, 2, 3)]
-        cut = few.select("lang", *(x.alias(f"d{i}") for i, x in enumerate(d, 1)))
-        each = level.join(F.broadcast(cut), "lang").withColumn("d", F.when(F.col("a") == 1, F.col("d1")).when(F.col("a") == 2, F.col("d2")).otherwise(F.col("d3"))).drop("d1", "d2", "d3")
-        each = each.withColumn("context", F.expr(f"left(gram, {k - 1})"))
-        contexts = each.groupBy("lang", "context").agg(F.sum("a").alias("total"), F.sum("d").alias("gamma"))
-        if k == 1:
-            both = each.join(F.broadcast(contexts), ["lang", "context"]).join(F.broadcast(lower), "lang")
-        else:
-            both = each.join(contexts, ["lang", "context"]).withColumn("shorter", F.expr("substring(gram, 2)")).join(lower.withColumnRenamed("gram", "shorter"), ["lang", "shorter"])
-        p = (F.col("a") - F.col("d")) / F.col("total") + F.col("gamma") / F.col("total") * F.col("below")
-        last = k == order
-        lower = stored(both.select("lang", "gram", *(["key", (-F.log(p)).alias("loss")] if last else [p.alias("below")])), "probabilities")
-    return lower
-
-
-def measure(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """docs: quality_lang, quality_text and any others, which are kept; adds the base counts, quality_base_failed and
-    quality_loss (the mean log loss per character)."""
-    kept = [c for c in docs.columns if c != PREFIX + "text"]
-    whole = bundles(docs, order)
-    blocks, mine = whole.where("block is not null").select("bundle", "block"), whole.where("block is null")
-    counted = mine.select("lang", F.explode(F.arrays_zip("keys", "grams", "n")).alias("x")).select("lang", "x.*").groupBy("lang", F.col("grams").alias("gram")).agg(F.min("keys").alias("key"), F.sum("n").alias("n"))
-    model = gram_losses(stored(counted, "grams"), order).select("key", "loss")
-    wanted = mine.select(F.col("bundle").alias("to"), F.explode("keys").alias("key")).join(model.groupBy("key").agg(F.min("loss").alias("loss")), "key")
-    schema = widened(docs.select(*kept), **{PREFIX + c: "long" for c in COUNTS}, **{PREFIX + "base_failed": "boolean", PREFIX + "loss": "double"})
+def _by_bundles(docs: DataFrame, kept: dict[str, str], model: DataFrame, schema) -> DataFrame:
+    whole = bundles(docs)
+    asked = whole.where("block is null").select(F.col("bundle").alias("to"), F.col("lang").alias("of"), F.explode("grams").alias("asked"))
+    wanted = asked.join(model, F.col("of").eqNullSafe(F.col("lang")) & (F.col("asked") == F.col("gram"))).select("to", "lang", "gram", "loss")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        known, loss = right["key"].to_numpy().view(np.uint64), right["loss"].to_numpy()
-        place = np.argsort(known)
-        places, loss = Places(known[place]), loss[place]
-        out = []
-        for block in left["block"].to_pylist():
-            for part in pa.ipc.open_stream(block):
-                texts, langs = binaries(part, PREFIX + "text"), values(part, PREFIX + "lang")
-                characters = [n or 0 for n in pc.utf8_length(part.column(part.schema.get_field_index(PREFIX + "text"))).to_pylist()]
-                losses = [None] * len(texts)
-                for lang in set(langs):
-                    at = [i for i, x in enumerate(langs) if x == lang]
-                    columns, sizes = windows([texts[i] for i in at], order)
-                    sums = np.concatenate([[0.0], np.cumsum(loss[places.find(gram_keys(columns, lang))])]) if len(columns[0]) else np.zeros(1)
-                    ends = np.cumsum(sizes)
-                    for i, a, b in zip(at, (ends - sizes).tolist(), ends.tolist(), strict=True):
-                        losses[i] = float(sums[b] - sums[a]) / (b - a) if b > a else None
-                counts = [base_counts(t, n, t.split()) for t, n in zip(texts, characters, strict=True)]
-                failed = [c[0] < MIN_WORDS or 100 * c[4] > REPEAT_PERCENT * c[0] for c in counts]
-                old = [part.column(part.schema.get_field_index(c)) for c in kept]
-                new = [*(pa.array(x, pa.int64()) for x in zip(*counts)), pa.array(failed, pa.bool_()), pa.array(losses, pa.float64())]
-                out.append(pa.RecordBatch.from_arrays(old + new, names=[*kept, *(PREFIX + c for c in (*COUNTS, "base_failed", "loss"))]))
-        return pa.Table.from_batches(out)
+        found = {lang: Losses(*x) for lang, x in sorted_losses(right["lang"], right["gram"].to_numpy(), right["loss"].to_numpy()).items()}
+        blocks = (part for block in left["block"].to_pylist() for part in pa.ipc.open_stream(block))
+        return pa.Table.from_batches([_measured(part, kept, found.__getitem__) for part in blocks])
 
+    blocks = whole.where("block is not null").select("bundle", "block")
     return blocks.groupBy("bundle").cogroup(wanted.groupBy("to")).applyInArrow(run, schema)
 
 
-def bands(measured: DataFrame) -> DataFrame:
-    """quality_lang, low, high, below, above: quartiles of the texts that pass the base rules, and how far the band goes beyond them."""
-    q = F.percentile_approx("quality_loss", [0.25, 0.75], 10_000)
-    found = measured.where("not quality_base_failed and quality_loss is not null").groupBy("quality_lang").agg(q.alias("q"), F.count("*").alias("n")).where(F.col("n") >= MIN_DOCS)
+def bands(measured: DataFrame, lang: str) -> DataFrame:
+    """of, low, high, below, above of each language: quartiles of the texts that pass the base rules, and how far the band goes beyond them. A written table."""
+    q = F.percentile_approx("loss", [0.25, 0.75], 10_000)
+    found = measured.where("loss is not null").groupBy(F.col(lang).alias("of")).agg(q.alias("q"), F.count("*").alias("n")).where(F.col("n") >= MIN_DOCS)
     width = F.col("q")[1] - F.col("q")[0]
-    return found.select("quality_lang", F.col("q")[0].alias("quality_low"), F.col("q")[1].alias("quality_high"), (BELOW * width).alias("quality_below"), (ABOVE * width).alias("quality_above"))
+    return stored(found.select("of", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), (BELOW * width).alias("below"), (ABOVE * width).alias("above")), "bands")
 
 
 def judge(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of docs named in keep, the base counts, base_failed, loss and kept, all with the prefix quality_: a row per row of docs."""
-    chosen = docs.select(*keep, F.coalesce(F.col("lang").cast("string"), F.lit("")).alias(PREFIX + "lang"), F.col("text").cast("string").alias(PREFIX + "text"))
-    measured = stored(measure(chosen), "quality")
-    banded = measured.join(F.broadcast(bands(measured)), PREFIX + "lang", "left")  # a row per language
-    wider = F.sqrt(1 + SHORT / F.greatest("quality_n_words", F.lit(1)))
-    inside = F.col("quality_low").isNull() | F.col("quality_loss").isNull() | F.col("quality_loss").between(F.col("quality_low") - F.col("quality_below") * wider, F.col("quality_high") + F.col("quality_above") * wider)
-    return banded.withColumn("quality_kept", ~F.col("quality_base_failed") & inside).drop("quality_lang", "quality_low", "quality_high", "quality_below", "quality_above")
+    """doc (a struct of the columns of docs named in keep), COUNTS, base_failed, loss and kept: a row per row of docs."""
+    chosen = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.struct(*keep).alias("doc"))
+    measured = stored(measure(chosen, {"doc": "doc", "lang": "lang"}), "quality")
+    banded = measured.join(bands(measured, "lang"), F.col("lang").eqNullSafe(F.col("of")), "left")  # a row per language
+    wider = F.sqrt(1 + SHORT / F.greatest("n_words", F.lit(1)))
+    inside = F.col("low").isNull() | F.col("loss").isNull() | F.col("loss").between(F.col("low") - F.col("below") * wider, F.col("high") + F.col("above") * wider)
+    return banded.select("doc", *COUNTS, "base_failed", "loss", (~F.col("base_failed") & inside).alias("kept"))

@@ -38,8 +38,7 @@ def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality_rules.judge(table(spark, sf_dir, "documents"))
-    return judged.select("doc_id", *(F.col("quality_" + c).alias(c) for c in (*quality_rules.COUNTS, "base_failed", "loss", "kept")))
+    return quality_rules.judge(table(spark, sf_dir, "documents")).select("doc.doc_id", *quality_rules.COUNTS, "base_failed", "loss", "kept")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

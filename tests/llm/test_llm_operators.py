@@ -125,59 +125,30 @@ def test_base_counts():
         assert quality_rules.repeated_words(w) == len(cover)
 
 
-def test_kneser_ney_is_a_distribution_and_matches_a_plain_model(spark):
-    texts = ["banana band ban", "nab banana", "band and", "naan nab"]
-    docs = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string")
-    model = quality_rules.train(docs, order=3)
-    letters = sorted(set("".join(texts)) - {" "}) + [quality_rules.END]
-    # a plain recursive model
-    windows = Counter()
-    for w in " ".join(texts).split():
-        p = quality_rules.START * 2 + w + quality_rules.END
-        windows.update(p[i : i + 3] for i in range(len(p) - 2))
-    levels = {3: dict(windows)}
-    for k in (2, 1):
-        lower = defaultdict(int)
-        for g, n in levels[k + 1].items():
-            lower[g[1:]] += n if g[1] == quality_rules.START else 1
-        levels[k] = dict(lower)
-
-    def discounts(k):
-        n = [sum(v == i for v in levels[k].values()) for i in range(1, 5)]
-        y = n[0] / (n[0] + 2 * n[1]) if n[0] + n[1] else 0.5
-        return [0, *(min(i, max(0.1 * i, i - (i + 1) * y * n[i] / n[i - 1])) if n[i - 1] and n[i] else 0.5 * i for i in (1, 2, 3))]
-
-    def p(context, c):
-        k = len(context) + 1
-        below = p(context[1:], c) if context else 1 / model.vocabulary
-        d, mine = discounts(k), {g: v for g, v in levels[k].items() if g[:-1] == context}
-        total = sum(mine.values())
-        if not total:
-            return below
-        a = mine.get(context + c, 0)
-        return (a - d[min(3, a)]) / total + sum(d[min(3, v)] for v in mine.values()) / total * below
-
-    for word in ("banana", "dab", "xx", "n"):
-        padded = quality_rules.START * 2 + word + quality_rules.END
-        want = -sum(math.log(p(padded[i : i + 2], padded[i + 2])) for i in range(len(padded) - 2))
-        assert model.losses("en", [word])[0] == pytest.approx(want, rel=1e-4)
-    assert sum(p("an", c) for c in letters) <= 1 + 1e-9
-
-
 def test_quality_edges(spark):
-    rows = quality_rules.judge(frame(spark, ODD), ("doc_id", "tokens", "n_words")).collect()
+    df = frame(spark, ODD).withColumns({c: quality_rules.F.lit(9) for c in ("kept", "loss", "doc", "quality_kept", "base_failed")})
+    rows = quality_rules.judge(df, tuple(df.columns)).collect()
     assert len(rows) == len(ODD)
     for r in rows:
-        assert r.quality_n_words == len(WORD.findall(ODD[r.doc_id] or "")) and (not r.quality_base_failed or not r.quality_kept) and r.n_words == 7
+        assert r.n_words == len(WORD.findall(ODD[r.doc.doc_id] or "")) and not (r.base_failed and r.kept) and (r.doc.n_words, r.doc.kept, r.doc.doc) == (7, 9, 9)
     assert quality_rules.judge(empty(spark)).count() == 0
+    nulls = spark.createDataFrame([(None, None, None), (1, None, "x y " * 9), (1, "", "x y " * 9)], "doc_id long, lang string, text string")
+    assert sorted(r.base_failed for r in quality_rules.judge(nulls).collect()) == [True, True, True]
 
 
-def test_perplexity_rejects_noise(spark):
+def test_perplexity_bands_are_the_quartiles_widened(spark):
     rng = random.Random(4)
     words = ["".join(rng.choices("aeioulnrst", k=rng.randrange(2, 7))) for _ in range(200)]
     texts = [" ".join(rng.choices(words, k=120)) for _ in range(80)] + [" ".join("".join(rng.choices("#%XQZJ&$", k=6)) for _ in range(120))]
-    rows = {r.doc_id: r for r in quality_rules.judge(frame(spark, texts)).collect()}
-    assert not rows[80].quality_kept and sum(r.quality_kept for r in rows.values()) == 80
+    texts += [" ".join(w + rng.choice(["###", "***", "$$$"]) for w in rng.choices(words, k=120)), " ".join(words[:5] * 40)]
+    rows = {r.doc.doc_id: r for r in quality_rules.judge(frame(spark, texts)).collect()}
+    losses = sorted(r.loss for r in rows.values() if not r.base_failed)
+    low, high = (losses[math.ceil(q * len(losses)) - 1] for q in (0.25, 0.75))
+    for r in rows.values():
+        wide = math.sqrt(1 + quality_rules.SHORT / r.n_words)
+        inside = r.loss is not None and low - quality_rules.BELOW * (high - low) * wide <= r.loss <= high + quality_rules.ABOVE * (high - low) * wide
+        assert r.kept == (not r.base_failed and inside)
+    assert not rows[80].kept and not rows[81].kept and rows[82].base_failed and rows[82].loss is None and sum(r.kept for r in rows.values()) == 80
 
 
 # mixing
