@@ -17,7 +17,7 @@ from strandline.llm.shared import ship, stored, table
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return quality_rules.judge(docs, tuple(docs.columns)).where("quality_kept").select(*docs.columns)
+    return quality_rules.judge(docs, tuple(docs.columns)).where("kept").select("doc.*")
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
