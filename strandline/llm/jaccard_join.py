@@ -13,12 +13,13 @@ already in one component are never compared; what is still apart after the round
 between different components is found. Verification counts the exact intersection of the whole sets.
 
 Edge cases: null or empty text has an empty set, links with nothing and is its own component; fewer than four words
-are one token; rows that repeat a doc_id share its component; an empty table gives an empty result. Null doc_ids are
+are one token; very long texts are hashed in pieces, in linear time; rows that repeat a doc_id share its component; an empty table gives an empty result. Null doc_ids are
 left out of links and get a null component.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from .graph import components
 from .shared import binaries, rows, stored, values
 
-WORDS, PERCENT, COUNTED, FREQUENT, MAX_FREQUENT, MAX_SENT_IDS, HUB_TEXTS, PIVOTS, SMALL, BLOCK = 4, 85, 2, 3, 3_000_000, 1_000_000, 2000, (1, 4), 16, 256
+WORDS, PERCENT, COUNTED, FREQUENT, MAX_FREQUENT, MAX_SENT, HUB_TEXTS, PIVOTS, SMALL, BLOCK = 4, 85, 2, 3, 3_000_000, 32 << 20, 2000, (1, 4), 16, 256
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -42,6 +43,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 PIECE = 1 << 18
 _BYTES = _mix(np.arange(1, 257, dtype=np.uint64) * _Q)
+_A_BLANK = re.compile(rb"[ \t\n\r\v\f]").search
 _BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
@@ -54,11 +56,19 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes and start offsets of the words between ASCII white space, without a loop over words: differences of a running polynomial sum over the bytes."""
-    if len(text) > PIECE:  # in pieces that end between words
-        cut = min((x for x in (text.find(b" ", PIECE), text.find(b"\n", PIECE)) if x >= 0), default=len(text))
-        if cut < len(text):
-            head, tail = word_hashes(text[:cut]), word_hashes(text[cut:])
-            return np.concatenate([head[0], tail[0]]), np.concatenate([head[1], tail[1] + cut])
+    if len(text) <= PIECE:
+        return _piece_hashes(text)
+    found, at = [], 0
+    while at < len(text):  # pieces that end between words
+        blank = _A_BLANK(text, at + PIECE)
+        stop = blank.start() if blank else len(text)
+        key, start = _piece_hashes(text[at:stop])
+        found.append((key, start + at))
+        at = stop
+    return tuple(map(np.concatenate, zip(*found)))
+
+
+def _piece_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     codes = np.frombuffer(text, np.uint8)
     blank = _BLANK[codes]
     edges = np.diff(blank.astype(np.int8), prepend=1, append=1)
@@ -228,8 +238,10 @@ def candidates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> tu
 
 
 def _those(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """docs joined with a written table by doc_id; up to MAX_SENT_IDS rows of it are broadcast, more are shuffled."""
-    return docs.join(F.broadcast(wanted) if wanted.count() <= MAX_SENT_IDS else wanted, "doc_id")
+    """docs joined with a written table by doc_id, which is broadcast up to MAX_SENT bytes (ids, and calls of three numbers each); a larger one is shuffled."""
+    calls = F.sum(F.size("calls")) if "calls" in wanted.columns else F.lit(0)
+    n, more = wanted.agg(F.count("*"), F.coalesce(calls, F.lit(0))).first()
+    return docs.join(F.broadcast(wanted) if 32 * n + 24 * more <= MAX_SENT else wanted, "doc_id")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -373,7 +385,7 @@ def links(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, pivots: tu
         if k:
             ranks = [F.min(F.struct(F.xxhash64("doc_id", F.lit(100 * step + i)).alias("r"), item.alias("x")))["x"] for i in range(k)]
             chosen = open_.groupBy("entry").agg(F.array_distinct(F.array(*ranks)).alias("pivots"))
-            pairs = open_.join(chosen, "entry").select(item.alias("x"), F.explode("pivots").alias("y"))
+            pairs = open_.join(chosen.hint("merge"), "entry").select(item.alias("x"), F.explode("pivots").alias("y"))
         else:  # in full: pairs of entries with few texts, blocks of those with many
             counts = open_.groupBy("entry").agg(F.count("*").alias("k"))
             few = open_.join(counts.where(F.col("k") <= SMALL).select("entry"), "entry")
@@ -394,7 +406,7 @@ def links(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, pivots: tu
         # entries whose texts are in one component have nothing left to compare
         moved = stored(open_.drop("component").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "open")
         apart = moved.groupBy("entry").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("entry")
-        open_ = stored(moved.join(apart, "entry"), "open")
+        open_ = stored(moved.join(apart.hint("merge"), "entry"), "open")
         if open_.isEmpty():
             break
     return labels, every
@@ -416,7 +428,7 @@ def one_of_each(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> D
     """docs without the rows whose doc_id isn't its component's smallest; of rows that repeat a doc_id, the first by text stays."""
     found = stored(join(docs, size, percent), "joined")
     more = stored(found.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
-    few = more.count() <= MAX_SENT_IDS
+    few = 32 * more.count() <= MAX_SENT
     kept = docs.join(F.broadcast(more) if few else more, "doc_id", "left_anti").select(*docs.columns)
     twice = stored(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("jaccard_rows")).where("jaccard_rows > 1").select("doc_id"), "repeated")
     if twice.isEmpty():
