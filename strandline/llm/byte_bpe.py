@@ -6,6 +6,8 @@ into buckets by word hash. The bucket lists are shuffled, so that each word of t
 encodes it once; the ids go back to their chunks, where the references put them in position. Decoding joins the
 token-byte table, which is as large as the vocabulary, and concatenates.
 
+A task holds one bucket's distinct words at a time; there are as many buckets as shuffle partitions.
+
 Edge cases: null or empty text has no ids and decodes to no bytes; rows that repeat a doc_id stay separate rows; an
 empty table gives an empty result. One document must fit in a task's memory.
 """
@@ -26,7 +28,6 @@ from pyspark.sql import functions as F
 from .shared import binaries, bucketed, rows, values, widened
 
 CHUNK_BYTES = 8 << 20
-KNOWN_WORDS = 400_000
 
 
 @lru_cache(maxsize=2)
@@ -105,7 +106,7 @@ def split_chunks(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
 
 
 def encode_words(lists: DataFrame, path: str, pattern: str) -> DataFrame:
-    """lists: chunk, bucket, blob of words. The same rows with a blob of id counts and ids; each word is encoded once in the task that holds its bucket."""
+    """lists: chunk, bucket, blob of words, with all rows of a bucket in a row. The same rows with a blob of id counts and ids; each word is encoded once in the task that holds its bucket."""
     schema = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,11 +115,13 @@ def encode_words(lists: DataFrame, path: str, pattern: str) -> DataFrame:
 
         encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks(path), special_tokens={})
         known: dict[bytes, bytes] = {}
+        at = None
         for batch in batches:
             for chunk, bucket, blob in zip(values(batch, "chunk"), values(batch, "bucket"), binaries(batch, "blob"), strict=True):
                 words = _unpack(blob)
-                if len(known) > KNOWN_WORDS:  # bounds memory; a word may then be encoded again
+                if bucket != at:  # buckets have no word in common
                     known.clear()
+                    at = bucket
                 new = [w for w in words if w not in known]
                 known.update((w, np.array(encoding.encode_ordinary(w.decode("utf-8", "replace")), np.uint32).tobytes()) for w in new)
                 found = [known[w] for w in words]
@@ -141,7 +144,7 @@ def encode(docs: DataFrame, path: str, pattern: str, decoded: bool = False) -> D
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     chunks = bucketed(split_chunks(docs, pattern, buckets), "chunks", "chunk", buckets)  # references never move again
-    lists = chunks.where("bucket is not null").select("chunk", "bucket", "blob").repartition(buckets, "bucket")
+    lists = chunks.where("bucket is not null").select("chunk", "bucket", "blob").repartition(buckets, "bucket").sortWithinPartitions("bucket")
     coded = encode_words(lists, path, pattern)
     dictionary = coded.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "ids"))).alias("lists"))  # a chunk's own words: bounded by its size
     placed = chunks.where("bucket is null").select("chunk", "blob", "doc_ids", "doc_words").join(dictionary.hint("merge"), "chunk", "left")
