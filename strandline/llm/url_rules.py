@@ -2,11 +2,13 @@
 
 A URL's tokens are its host labels and registrable tail, path words, file ending and query keys. FP-growth over the
 labelled URLs finds token combinations; those that point to bad labels with enough support and confidence, and with
-more confidence than every shorter rule inside them, are kept. An inverted index from token to rules matches them: a
+more confidence than every shorter rule inside them, and whose bad labels chance doesn't explain, are kept. An inverted index from token to rules matches them: a
 rule fires where as many of its tokens meet the URL as it has.
 
 Edge cases: a URL that is null or has no :// has empty host and path and no tokens, and is allowed unless a rule says
-else; labels that are null are left out; without labels no rule is mined; equal URLs are judged alike.
+else; labels that are null are left out; without labels no rule is mined; equal URLs are judged alike, and null or repeated
+page_ids each; very long URLs only have more tokens; an empty table gives an empty result. The rules are written, so that
+their size says whether their index is sent to all tasks or joined.
 """
 
 from __future__ import annotations
@@ -15,11 +17,14 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import stored
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Explicit rules: host, path start, verdict.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
-#: Share of the labelled URLs that a rule covers at least, at least so many of them, and how many of those are bad.
-MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE, MAX_TOKENS = 0.002, 5, 0.6, 3
+#: Share of the labelled URLs that a rule covers at least, at least so many of them, how many of those are bad, and the
+#: likelihood ratio (twice its log) against the share of bad URLs as a whole: chance among many rules seldom reaches it.
+MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE, MIN_EVIDENCE = 0.002, 5, 0.6, 12.0
 BAD = "label=bad"
 
 
@@ -47,13 +52,14 @@ def explicit(host_: Column, path_: Column, rules: tuple[tuple[str, str, str], ..
 
 
 def tokens(url: Column, host_: Column, path_: Column) -> Column:
-    """Distinct tokens: host labels, last two labels, path words, file ending, query keys."""
-    labels = F.transform(F.filter(F.split(host_, r"\."), lambda x: x != ""), lambda x: F.concat(F.lit("host:"), x))
-    tail = F.array(F.concat(F.lit("tail:"), F.regexp_extract(host_, r"([^.]*\.[^.]*)$", 1)))
-    words = F.transform(F.regexp_extract_all(F.lower(path_), F.lit(r"([a-z][a-z_-]*)(?=/|$)"), 1), lambda x: F.concat(F.lit("path:"), x))
+    """Distinct tokens, one for each fact: the host's last two labels, the labels before them, path words, file ending, query keys."""
+    labels = F.filter(F.split(F.regexp_replace(host_, r"[^.]*\.[^.]*$", ""), r"\."), lambda x: x != "")
+    before = F.transform(labels, lambda x: F.concat(F.lit("host:"), x))
+    tail = F.array(F.concat(F.lit("tail:"), F.regexp_extract(host_, r"([^.]*\.?[^.]*)$", 1)))
+    words = F.transform(F.regexp_extract_all(F.regexp_replace(F.lower(path_), r"\.[a-z]+$", ""), F.lit(r"([a-z][a-z_-]*)(?=/|$)"), 1), lambda x: F.concat(F.lit("path:"), x))
     ending = F.filter(F.array(F.concat(F.lit("ending:"), F.regexp_extract(path_, r"\.([A-Za-z]+)$", 1))), lambda x: x != "ending:")
     keys = F.transform(F.regexp_extract_all(F.coalesce(url, F.lit("")), F.lit(r"[?&]([^=&#]+)="), 1), lambda x: F.concat(F.lit("key:"), x))
-    return F.when(host_ == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(labels, tail, words, ending, keys)))
+    return F.when(host_ == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(before, tail, words, ending, keys)))
 
 
 def judged(pages: DataFrame) -> DataFrame:
@@ -62,8 +68,8 @@ def judged(pages: DataFrame) -> DataFrame:
     return parts.withColumn("tokens", tokens(F.col("url"), F.col("host"), F.col("path"))).withColumn("explicit", explicit(F.col("host"), F.col("path")))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """labelled: tokens, bad (boolean). rule_id, tokens, size, confidence, support (rows) of the pruned rules."""
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_evidence: float = MIN_EVIDENCE) -> DataFrame:
+    """labelled: tokens, bad (boolean). A written table of rule_id, tokens, size, confidence, support (rows) of the pruned rules."""
     empty = "rule_id long, tokens array<string>, size int, confidence double, support long"
     known = labelled.where(F.col("bad").isNotNull() & (F.size("tokens") > 0))
     rows = known.count()
@@ -71,21 +77,25 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
         return labelled.sparkSession.createDataFrame([], empty)
     items = known.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items"))
     sets = FPGrowth(itemsCol="items", minSupport=max(min_support * min_confidence, MIN_COUNT * min_confidence / rows), minConfidence=min_confidence).fit(items).freqItemsets
-    split = sets.select(F.array_sort(F.array_remove("items", BAD)).alias("tokens"), F.array_contains("items", BAD).alias("with_bad"), "freq").where((F.size("tokens") > 0) & (F.size("tokens") <= MAX_TOKENS))
+    split = sets.select(F.array_sort(F.array_remove("items", BAD)).alias("tokens"), F.array_contains("items", BAD).alias("with_bad"), "freq").where(F.size("tokens") > 0)
     both = split.groupBy("tokens").agg(F.max(F.when(F.col("with_bad"), F.col("freq"))).alias("bad"), F.max(F.when(~F.col("with_bad"), F.col("freq"))).alias("support"))
-    rules = both.where((F.col("support") >= max(min_support * rows, MIN_COUNT)) & (F.col("bad") >= min_confidence * F.col("support"))).select("tokens", F.size("tokens").alias("size"), (F.col("bad") / F.col("support")).alias("confidence"), "support")
-    # a rule says nothing more than a shorter one inside it that is as sure: these subsets number at most 2 ** MAX_TOKENS a rule
-    parts = rules.withColumn("part", F.explode(_proper_subsets(F.col("tokens"))))
+    share, n, k = known.agg(F.avg(F.col("bad").cast("double"))).first()[0], F.col("support"), F.col("bad")
+    good = F.when(n > k, (n - k) * F.log((n - k) / (n * (1 - share)))).otherwise(0.0)
+    sure = (k > n * share) & (2 * (k * F.log(k / (n * share)) + good) >= min_evidence)
+    found = both.where((n >= max(min_support * rows, MIN_COUNT)) & (k >= min_confidence * n) & sure).select("tokens", F.size("tokens").alias("size"), (k / n).alias("confidence"), "support")
+    rules = stored(found, "rules")
+    # a rule says nothing more than a shorter one inside it that is as sure
+    parts = rules.where("size > 1").withColumn("part", F.explode(_proper_subsets(F.col("tokens"))))
     shorter = rules.select(F.col("tokens").alias("part"), F.col("confidence").alias("part_confidence"))
     beaten = parts.join(shorter, "part").where("part_confidence >= confidence").select("tokens").distinct()
     kept = rules.join(beaten, "tokens", "left_anti")
-    return kept.select(F.xxhash64("tokens").alias("rule_id"), "tokens", "size", "confidence", "support")
+    return stored(kept.select(F.xxhash64("tokens").alias("rule_id"), "tokens", "size", "confidence", "support"), "rules")
 
 
 def _proper_subsets(items: Column) -> Column:
-    singles = F.transform(items, lambda x: F.array(x))
-    pairs = F.transform(items, lambda x: F.array_remove(items, x))
-    return F.filter(F.array_distinct(F.concat(singles, pairs)), lambda s: (F.size(s) > 0) & (F.size(s) < F.size(items)))
+    """All of them: as many as FP-growth itself finds inside the set."""
+    chosen = F.sequence(F.lit(1).cast("long"), F.pow(F.lit(2.0), F.size(items)).cast("long") - 2)
+    return F.transform(chosen, lambda mask: F.filter(items, lambda x, i: mask.bitwiseAND(F.pow(F.lit(2.0), i).cast("long")) > 0))
 
 
 def apply_rules(parts: DataFrame, rules: DataFrame) -> DataFrame:
