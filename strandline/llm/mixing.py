@@ -7,7 +7,8 @@ stratified, so the words taken miss the target by about one large document.
 
 Edge cases: null text has size 0; a null source is a source of its own, last in order; rows of size 0 may be emitted
 but add no words; a source without words has target 0 and nothing of it is taken; equal rows are told apart only by
-their place; an empty table gives an empty result. Columns of other names are carried along.
+their place; very long texts only count as large; an empty table gives an empty result. All columns of documents are
+carried along in a struct, so names can't clash. Targets are planned over one row per source, in one task.
 """
 
 from __future__ import annotations
@@ -41,9 +42,9 @@ def targets(sizes: DataFrame, share: float = SHARE, cap: float = CAP, weights: t
 
 
 def mix(docs: DataFrame, share: float = SHARE, cap: float = CAP, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED) -> DataFrame:
-    """docs with doc_id, text, source and any other columns; adds mix_size, mix_source_size, mix_target and mix_copies."""
-    sized = docs.withColumn("mix_size", words(F.col("text"))).withColumn("mix_tie", F.md5(F.coalesce(F.col("text"), F.lit(""))))
-    return _placed(sized, share, cap, weights, seed).drop("mix_tie")
+    """docs: doc_id, text, source and any other columns. doc (a struct of them all), source, mix_size, mix_source_size, mix_target, mix_copies."""
+    sized = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "source", words(F.col("text")).alias("mix_size"), F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("mix_tie"))
+    return _placed(sized, share, cap, weights, seed).drop("mix_tie", "doc_id")
 
 
 def mix_sizes(docs: DataFrame, share: float = SHARE, cap: float = CAP, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED) -> DataFrame:
@@ -59,7 +60,8 @@ def _offset(seed: str, source: Column) -> Column:
 
 def _placed(sized: DataFrame, share: float, cap: float, weights: tuple[int, ...], seed: str) -> DataFrame:
     """The running sum over a range-partitioned, written table: the place in a part comes from the row id, what lies
-    before from the sums per (source, part), of which there are as many as parts and sources together."""
+    before from the sums per (source, part), of which there are as many as parts and sources together; they are written, so
+    that their size says whether they are sent to all tasks or joined."""
     keys = [F.col("source").asc_nulls_last(), "mix_size", "doc_id", "mix_tie"]
     ordered = stored(sized.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("mix_row", F.monotonically_increasing_id()), "mix")
     part = F.shiftright("mix_row", 33)
@@ -71,13 +73,12 @@ def _placed(sized: DataFrame, share: float, cap: float, weights: tuple[int, ...]
         F.col("p.source").alias("mix_source"), F.col("part").alias("mix_part"), F.col("shift").alias("mix_shift"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"),
         F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("mix_rate"),
         _offset(seed, F.col("p.source")).alias("mix_offset"))
-    joined = ordered.join(F.broadcast(small), F.col("source").eqNullSafe(F.col("mix_source")) & (part == F.col("mix_part")))
+    joined = ordered.join(stored(small, "mix-parts"), F.col("source").eqNullSafe(F.col("mix_source")) & (part == F.col("mix_part")))
     rank = F.col("mix_row") + F.col("mix_shift")
     crossed = F.floor(F.col("mix_offset") + (rank + 1) * F.col("mix_rate")) - F.floor(F.col("mix_offset") + rank * F.col("mix_rate"))
     return joined.withColumn("mix_copies", crossed).drop("mix_source", "mix_part", "mix_shift", "mix_rate", "mix_offset", "mix_row")
 
 
 def emitted(mixed: DataFrame) -> DataFrame:
-    """Every row as often as it is taken, without the columns that mix() added."""
-    taken = mixed.where("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))))
-    return taken.drop("mix_copy", "mix_copies", "mix_size", "mix_source_size", "mix_target")
+    """The documents of mix(), with their own columns, every row as often as it is taken."""
+    return mixed.where("mix_copies > 0").select("doc", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))).alias("copy")).select("doc.*")

@@ -14,6 +14,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from strandline.sources.tables import scratch, table
+
+__all__ = ["binaries", "bucketed", "pieces", "rows", "scratch", "ship", "stored", "table", "values", "widened"]
+
 
 _shipped: set[str] = set()
 
@@ -27,21 +31,6 @@ def ship(spark: SparkSession) -> None:
         _shipped.add(context.applicationId)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder that the cluster names in spark.checkpoint.dir.
-
-    Only where that is unset (tests on one machine) a temporary folder stands in for it.
-    """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="strandline-")
-    return f"{base.rstrip('/')}/strandline-{label}-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, label: str, partition_by: tuple[str, ...] = (), codec: str = "zstd") -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it again: lineage is cut and survives lost executors."""
     path = scratch(df.sparkSession, label)

@@ -7,7 +7,9 @@ around an entry that mostly stand in documents that aren't toxic; each cancels i
 divided by a slowly growing function of the length, goes through a logistic curve fitted to the labels.
 
 Edge cases: null or empty text scores as a text without any entry; labels that are null are left out; without labels of
-both kinds the lexicon is empty and every score equals the curve's default; rows that repeat a doc_id are scored alike.
+both kinds the lexicon is empty and every score equals the curve's default; rows that repeat a doc_id are scored by their
+own texts; very long texts are matched whole (one must fit in a task's memory); an empty table gives an empty result; columns
+that are kept may have any names, as they travel in a struct.
 """
 
 from __future__ import annotations
@@ -23,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import rows, stored, values, widened
+from .shared import pieces, rows, stored, values, widened
 
-MIN_SUPPORT, MIN_WEIGHT, MIN_EVIDENCE, STEMS, MAX_ENTRIES, THRESHOLD = 3, 2.5, 30.0, (4, 5, 6), 20_000, 0.7
+MIN_SUPPORT, MIN_WEIGHT, MIN_EVIDENCE, STEMS, THRESHOLD = 3, 2.5, 30.0, (4, 5, 6), 0.7
 EXCEPTION_SUPPORT, EXCEPTION_SHARE, BINS, MAX_SENT_IDS = 5, 0.1, 400, 1_000_000
 #: Look-alikes: Cyrillic and Greek letters, digits and signs that stand for Latin letters.
 LOOKALIKES = {"а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "ɡ": "g", "ӏ": "l", "α": "a", "β": "b", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ſ": "s"}
@@ -126,9 +128,9 @@ def _tally(found) -> callable:
         for batch in batches:
             for toxic, text in zip(values(batch, "toxic"), values(batch, "text"), strict=True):
                 held[toxic].update(found(text or ""))
-            if len(held[0]) + len(held[1]) > 300_000:
-                yield sent()
-                held = (Counter(), Counter())
+                if len(held[0]) + len(held[1]) > 300_000:
+                    yield sent()
+                    held = (Counter(), Counter())
         yield sent()
 
     return run
@@ -145,7 +147,7 @@ def _needed(found: dict[str, tuple[float, int]]) -> dict[str, float]:
 
 
 def learn(labelled: DataFrame) -> Lexicon:
-    """labelled: text, toxic (0 or 1). Counts are over all rows; the lexicon holds the MAX_ENTRIES heaviest entries at most."""
+    """labelled: text, toxic (0 or 1). Counts are over all rows, and all entries and phrases that pass the tests are kept."""
     labelled = labelled.where("toxic in (0, 1)")
     n = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = n.get(1, 0), n.get(0, 0)
@@ -161,7 +163,7 @@ def learn(labelled: DataFrame) -> Lexicon:
     weight = F.log((F.col("toxic") + 0.5) / (bad + 1)) - F.log((F.col("clean") + 0.5) / (good + 1))
     both, share = F.col("toxic") + F.col("clean"), bad / (bad + good)
     evidence = 2 * (F.col("toxic") * F.log(F.col("toxic") / (both * share)) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (both * (1 - share)))).otherwise(0.0))
-    chosen = counted.withColumn("weight", weight).where((F.col("weight") >= MIN_WEIGHT) & (evidence >= MIN_EVIDENCE) & (F.col("toxic") > F.col("clean"))).orderBy(F.desc("weight"), F.desc("toxic"), "entry").limit(MAX_ENTRIES).toPandas()
+    chosen = counted.withColumn("weight", weight).where((F.col("weight") >= MIN_WEIGHT) & (evidence >= MIN_EVIDENCE) & (F.col("toxic") > F.col("clean"))).toPandas()  # entries with that much evidence: each needs several toxic documents of its own
     lexicon = Lexicon(_needed(dict(zip(chosen["entry"], zip(chosen["weight"].astype(float), chosen["toxic"], strict=True), strict=True))))
     if not lexicon.weights:
         return lexicon
@@ -180,7 +182,7 @@ def learn(labelled: DataFrame) -> Lexicon:
                 out.add(padded[start : after + 1])
         return out
 
-    around = _counted(labelled, _tally(phrases)).where((F.col("clean") >= EXCEPTION_SUPPORT) & (F.col("toxic") <= EXCEPTION_SHARE * F.col("clean"))).orderBy(F.desc("clean"), "entry").limit(MAX_ENTRIES).toPandas()
+    around = _counted(labelled, _tally(phrases)).where((F.col("clean") >= EXCEPTION_SUPPORT) & (F.col("toxic") <= EXCEPTION_SHARE * F.col("clean"))).toPandas()
     for phrase in around["entry"]:
         held = max((w for _, e, w in lexicon.hits(phrase.strip()) if w > 0), default=0.0)
         lexicon.exceptions[phrase] = -held
@@ -211,19 +213,17 @@ def fitted(labelled: DataFrame, lexicon: Lexicon) -> Lexicon:
 
 
 def score(docs: DataFrame, lexicon: Lexicon, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of docs named in keep, and toxicity, 0 to 1: a row per row of docs."""
+    """doc (a struct of the columns of docs named in keep) and toxicity, 0 to 1: a row per row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in range(0, batch.num_rows, 1000):
-                part = batch.slice(b, 1000)
-                scores = [shared.value.score(fold(t or "")) for t in values(part, "toxicity_text")]
-                old = [part.column(part.schema.get_field_index(c)) for c in keep]
-                yield pa.RecordBatch.from_arrays([*old, pa.array(scores, pa.float64())], names=[*keep, "toxicity"])
+            for part in pieces(batch, "text", 4 << 20):
+                scores = [shared.value.score(fold(t or "")) for t in values(part, "text")]
+                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc")), pa.array(scores, pa.float64())], names=["doc", "toxicity"])
 
-    chosen = docs.select(*keep, F.col("text").cast("string").alias("toxicity_text"))
-    return chosen.mapInArrow(run, widened(docs.select(*keep), toxicity="double"))
+    chosen = docs.select(F.struct(*keep).alias("doc"), F.col("text").cast("string").alias("text"))
+    return chosen.mapInArrow(run, widened(chosen.select("doc"), toxicity="double"))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -231,7 +231,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train_and_score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Learns from the labels of rows that aren't held out and scores all rows: the columns named in keep, and toxicity. labels: doc_id, toxic."""
+    """Learns from the labels of rows that aren't held out and scores all rows: doc (a struct of the columns named in keep) and toxicity. labels: doc_id, toxic."""
     known = labels.where(F.col("toxic").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(True))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = stored(known, "labels")
     few = known.count() <= MAX_SENT_IDS  # more labels than that are shuffled, and the labelled texts written once
