@@ -62,18 +62,43 @@ def test_toxicity_learns_and_holds_out(spark):
         docs.append((i, " ".join(words)))
         labels.append((i, int(bad)))
     df, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([*labels, (7, None), (3, 0)], "doc_id long, toxic int")
-    got = {r.doc_id: r.toxicity for r in toxicity.train_and_score(df, lab).collect()}
+    got = {r.doc.doc_id: r.toxicity for r in toxicity.train_and_score(df, lab).collect()}
     assert len(got) == 600 and all((got[i] >= toxicity.THRESHOLD) == bool(t) for i, t in labels)
 
 
 def test_toxicity_edges(spark):
     df = frame(spark, ODD)
     labels = spark.createDataFrame([], "doc_id long, toxic int")
-    rows = toxicity.train_and_score(df, labels, ("doc_id", "tokens")).collect()
+    df = df.withColumn("toxicity", toxicity.F.lit("clash")).withColumn("doc", toxicity.F.lit(1))
+    rows = toxicity.train_and_score(df, labels, tuple(df.columns)).collect()
+    assert {(r.doc.tokens, r.doc.toxicity, r.doc.doc) for r in rows} == {("clash", "clash", 1)}
     assert len(rows) == len(ODD) and len({r.toxicity for r in rows}) == 1 and all(0 <= r.toxicity < toxicity.THRESHOLD for r in rows)
     assert toxicity.train_and_score(empty(spark), labels).count() == 0
 
 
+def test_scores_equal_a_plain_match():
+    """Every entry looked for one by one, in place of the automaton."""
+    rng = random.Random(3)
+    weights = {e: rng.uniform(1, 5) for w in ("grump", "moron", "mo", "wretch") for e in toxicity.entries(w)}
+    phrases = {" no moron ": -2.0, " moron here ": -1.5}
+    lexicon = toxicity.Lexicon(weights, phrases)
+    for _ in range(200):
+        words = rng.choices(["grump", "grumpy", "moron", "morons", "mo", "no", "here", "wretched", "fine", "x"], k=rng.randrange(0, 12))
+        text = f" {' '.join(words)} "
+        best, total = {}, 0.0
+        for e, w in (weights | phrases).items():
+            for at in range(len(text)):
+                if text.startswith(e, at):
+                    if w < 0:
+                        total += w
+                    else:
+                        best[at] = max(best.get(at, 0.0), w)
+        want = max(0.0, total + sum(best.values())) / (1 + math.log1p(max(1, len(words))) / 10)
+        assert lexicon.raw(text[1:-1]) == pytest.approx(want)
+        padded = rng.choice(["", "y " * 50_000])
+        assert lexicon.raw((padded + text).strip()) >= 0
+
+
 def test_exception_phrases_cancel():
     lexicon = toxicity.Lexicon({" kill ": 5.0}, {" kill switch ": -5.0})
     assert lexicon.raw("press kill switch now") == 0 and lexicon.raw("they kill now") > 0
@@ -99,17 +124,46 @@ def test_mined_rules_equal_brute_force(spark):
         items = [t for t in "abcdef" if rng.random() < 0.4] or ["a"]
         bad = ("a" in items and "b" in items) if rng.random() < 0.9 else rng.random() < 0.3
         rows.append((items, bad))
-    got = {tuple(r.tokens): (round(r.confidence, 9), r.support) for r in url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), 0.02, 0.6).collect()}
+    got = {tuple(r.tokens): (round(r.confidence, 9), r.support) for r in url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), 0.02, 0.6, 6.0).collect()}
     import itertools
 
-    rules = {}
-    for n in (1, 2, 3):
+    rules, share = {}, sum(b for _, b in rows) / len(rows)
+
+    def evidence(n, k):
+        return 2 * (k * math.log(k / (n * share)) + ((n - k) * math.log((n - k) / (n * (1 - share))) if n > k else 0)) if k > n * share else 0
+
+    for n in range(1, 7):
         for s in itertools.combinations("abcdef", n):
             hit = [b for items, b in rows if set(s) <= set(items)]
-            if len(hit) >= max(0.02 * len(rows), url_rules.MIN_COUNT) and sum(hit) >= 0.6 * len(hit):
+            if len(hit) >= max(0.02 * len(rows), url_rules.MIN_COUNT) and sum(hit) >= 0.6 * len(hit) and evidence(len(hit), sum(hit)) >= 6:
                 rules[s] = (round(sum(hit) / len(hit), 9), len(hit))
     pruned = {s: v for s, v in rules.items() if not any(t in rules and rules[t][0] >= v[0] for n in range(1, len(s)) for t in itertools.combinations(s, n))}
-    assert got == pruned
+    assert got == pruned and got
+    # the inverted index against plain subsets
+    rules = spark.createDataFrame([(i, list(t), len(t), c, n) for i, (t, (c, n)) in enumerate(got.items())], "rule_id long, tokens array<string>, size int, confidence double, support long")
+    pages = [(i % 300 if i % 7 else None, f"u{i}" if i % 11 else None, items) for i, (items, _) in enumerate(rows)]
+    parts = spark.createDataFrame([*pages, (5, "none", [])], "page_id long, url string, tokens array<string>")
+    judged = {(r.page_id, r.url, tuple(r.tokens)): r.mined_confidence for r in url_rules.apply_rules(parts, rules).collect()}
+    for page, url, items in [*pages, (5, "none", [])]:
+        if url is not None:  # null urls have no tokens
+            assert judged[page, url, tuple(items)] == max((c for t, (c, _) in got.items() if set(t) <= set(items)), default=None)
+    assert url_rules.filter_urls(spark.createDataFrame([], "page_id long, url string"), spark.createDataFrame([], "label_id long, bad boolean"), url_rules.F.lit(None).cast("long")).count() == 0
+
+
+def test_rules_learned_on_one_half_hold_on_the_other(spark):
+    """Held-out lift where hosts do point to bad pages; no rule where labels are drawn at random."""
+    rng = random.Random(11)
+    hosts = ["casino-win", "a", "b", "c", "d"]
+    urls = [f"https://{rng.choice(['www', 'm'])}.{rng.choice(hosts)}.example.com/{rng.choice(['en', 'fr'])}/{i}" for i in range(1200)]
+    bad = [rng.random() < (0.8 if "casino" in u else 0.1) for u in urls]
+    number = url_rules.F.expr("cast(regexp_extract(path, '([0-9]+)$', 1) as bigint)")
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, b) for i, b in enumerate(bad) if i % 2], "label_id long, bad boolean")
+    blocked = {r.page_id for r in url_rules.filter_urls(pages, labels, number).collect() if r.mined}
+    held = [bad[i] for i in blocked if i % 2 == 0]
+    assert sum(held) > 0.7 * len(held) > 0.7 * 80
+    random_labels = spark.createDataFrame([(i, rng.random() < 0.25) for i in range(1200)], "label_id long, bad boolean")
+    assert not [r for r in url_rules.filter_urls(pages, random_labels, number).collect() if r.mined]
 
 
 # quality rules
@@ -155,7 +209,7 @@ def test_perplexity_bands_are_the_quartiles_widened(spark):
 def test_mixing_targets_and_copies(spark):
     rng = random.Random(6)
     rows = [(i, "w " * rng.randrange(1, 40), rng.choice(["a", "a", "a", "b", "c", "d", None])) for i in range(900)] + [(900, None, "z"), (5, "twice " * 4, "a"), (5, "twice " * 4, "a")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: mixing.F.lit(1) for c in ("size", "target", "rate", "shift", "part", "offset", "source_size")})
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: mixing.F.lit(1) for c in ("size", "target", "part", "doc", "copy", "mix_size", "mix_target", "mix_copies", "mix_row")})
     got = mixing.mix(df).collect()
     sizes = defaultdict(int)
     for _, t, s in rows:
@@ -178,8 +232,9 @@ def test_mixing_targets_and_copies(spark):
         taken[r.source] += r.mix_copies * r.mix_size
     assert len(got) == len(rows) and all(abs(taken[s] - want[s]) <= 60 for s in order)
     again = mixing.mix(df).collect()
-    assert sorted((r.doc_id, r.mix_copies) for r in got) == sorted((r.doc_id, r.mix_copies) for r in again)
-    assert mixing.emitted(mixing.mix(df)).count() == sum(r.mix_copies for r in got)
+    assert sorted((r.doc.doc_id, r.mix_copies) for r in got) == sorted((r.doc.doc_id, r.mix_copies) for r in again)
+    out = mixing.emitted(mixing.mix(df))
+    assert out.columns == df.columns and out.count() == sum(r.mix_copies for r in got) and out.first().mix_size == 1
     assert mixing.mix(empty(spark)).count() == 0
 
 
@@ -249,6 +304,19 @@ def test_jaccard_join_equals_brute_force(spark, monkeypatch, frequent, small, pi
     assert got == dict(enumerate(clusters(texts, 4, 85)))
 
 
+def test_a_long_text_is_hashed_in_linear_memory():
+    import tracemalloc
+
+    text = b"some words of a very long text " * 600_000  # 19 MB
+    tracemalloc.start()
+    key, start = jaccard_join.word_hashes(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(key) == 7 * 600_000 and len(np.unique(key)) == 7 and start[7] == 31 and peak < 30 * len(text)
+    short, at = jaccard_join.word_hashes(text[:310])
+    assert (short == key[:70]).all() and (at == start[:70]).all()
+
+
 def test_entries_are_complete():
     rng = np.random.default_rng(3)
     for n in (2, 3, 7, 40, 200, 1500):
@@ -302,8 +370,14 @@ def test_fuzzy_matches_equal_a_full_scan():
         for _ in range(rng.randrange(5)):
             notice[rng.randrange(len(notice))] = rng.choice("xyz")
         text += "".join(notice) + " tail"
-        found = {i for i, *_ in licenses.find_notices(text, notices)}
-        assert found == {i for i, p in enumerate(patterns) if p.search(text)}
+        found = licenses.find_notices(text, notices)
+        assert {i for i, *_ in found} == {i for i, p in enumerate(patterns) if p.search(text)}
+        for i, a, b, errors in found:  # spans and edits: the piece alone matches with these errors, and no fewer
+            assert regex.fullmatch(f"(?:{regex.escape(notices[i][0])}){{e<={errors}}}", text[a:b])
+            assert not errors or not regex.fullmatch(f"(?:{regex.escape(notices[i][0])}){{e<={errors - 1}}}", text[a:b])
+        for i in range(len(notices)):  # hits of one notice don't overlap
+            spans = sorted((a, b) for j, a, b, _ in found if j == i)
+            assert all(x[1] <= y[0] for x, y in zip(spans, spans[1:]))
 
 
 # top-k
@@ -322,3 +396,21 @@ def test_top_inner_equals_brute_force(spark):
         want |= {(q, r + 1, c, -s) for r, (s, c) in enumerate(scored)}
     assert {(r.query_id, r.rank, r.vec_id, r.score) for r in rows} == want
     assert top_inner.search_table(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+@pytest.mark.parametrize("sent", [0, 32 << 20])  # query blocks shuffled; broadcast
+def test_top_inner_in_blocks_with_huge_vectors(spark, monkeypatch, sent):
+    monkeypatch.setattr(top_inner, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(top_inner, "VECTOR_BLOCK", 16)
+    monkeypatch.setattr(top_inner, "SEED_ROWS", 8)
+    monkeypatch.setattr(top_inner, "MAX_SENT", sent)
+    rng = np.random.default_rng(2)
+    vectors = [(i, (rng.normal(size=20) * rng.choice([0.1, 1, 4])).tolist()) for i in range(600)]
+    huge = [(50, [1e8] + [0.0] * 19), (7, [1e30] * 20), (8, [8e6] * 20), (9, [-3e38] * 20)]  # scaled lengths from 2 ** 31 on take no part
+    df = spark.createDataFrame([*vectors[:50], *vectors[51:], *huge], "vec_id long, embedding array<float>").withColumns({c: top_inner.F.lit(1) for c in ("norm", "v", "block", "score")})
+    m = {i: np.floor(256 * np.array(v, np.float32).astype(float)).astype(np.int64) for i, v in vectors if i not in (50,)}
+    want = set()
+    for q in (i for i in m if i % 50 == 0):
+        scored = sorted((-int(m[q] @ m[c]), c) for c in m if c != q)[:5]
+        want |= {(q, r + 1, c, -s) for r, (s, c) in enumerate(scored)}
+    assert {(r.query_id, r.rank, r.vec_id, r.score) for r in top_inner.search_table(df).collect()} == want
