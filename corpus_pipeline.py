@@ -22,7 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scored = toxicity.train_and_score(docs, table(spark, sf_dir, "labels"), tuple(docs.columns))
-    return scored.where(F.col("toxicity") < toxicity.THRESHOLD).select(*docs.columns)
+    return scored.where(F.col("toxicity") < toxicity.THRESHOLD).select("doc.*")
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.emitted(mixing.mix(docs)).select(*docs.columns)
+    return mixing.emitted(mixing.mix(docs))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

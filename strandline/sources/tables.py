@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,12 +13,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+def _folder(spark: SparkSession) -> str:
+    """This application's folder in the shared folder that the cluster names in spark.checkpoint.dir.
+
+    Only where that is unset and all runs on one machine, a temporary folder stands in for it.
+    """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="strandline-")
-    return f"{base.rstrip('/')}/strandline-{label}-{uuid.uuid4().hex}"
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("executors share no folder: set spark.checkpoint.dir")
+        base = f"file://{tempfile.gettempdir()}"
+    return f"{base.rstrip('/')}/strandline-{spark.sparkContext.applicationId}"
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in this application's folder."""
+    return f"{_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Deletes all tables that this application has written to cut lineage. For when their results are no longer read."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
