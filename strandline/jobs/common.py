@@ -9,7 +9,7 @@ from strandline.functions import seq
 from strandline.operators import align
 from strandline.sources.tables import table
 
-PERIOD, SEED_LENGTH, READ_LENGTH, READ_STEP = 3, 12, 36, 2
+PERIOD, SEED_LENGTH, READ_LENGTH, READ_STEP = 3, 12, 36, 97
 
 
 def reference(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,14 +17,9 @@ def reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq_id"), F.coalesce(seq.normalize(F.col("text"), "keep_upper"), F.lit("")).alias("dna"))
 
 
-def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """seq_id, dna of the benchmark passages."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("seq_id"), F.coalesce(seq.normalize(F.col("text"), "keep_upper"), F.lit("")).alias("dna"))
-
-
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reads taken from the passages: natural patterns, some of which stand in the documents."""
-    return align.simulated(passages(spark, sf_dir), READ_LENGTH, READ_STEP, PERIOD)
+    """Reads taken from the documents at every READ_STEP-th position."""
+    return align.simulated(reference(spark, sf_dir), READ_LENGTH, READ_STEP, PERIOD)
 
 
 DNA = "reference AS (SELECT doc_id AS seq_id, coalesce(regexp_replace(translate(text, 'acgtn', 'ACGTN'), '[^ACGT]', '', 'g'), '') AS dna FROM documents)"
@@ -32,4 +27,3 @@ DNA = "reference AS (SELECT doc_id AS seq_id, coalesce(regexp_replace(translate(
 
 def windows_sql(size: int, source: str = "reference", text: str = "dna", key: str = "seq_id") -> str:
     return f"SELECT {key}, p AS pos, substr({text}, p + 1, {size}) AS gram FROM (SELECT {key}, {text}, unnest(range(0, length({text}) - {size} + 1)) AS p FROM {source})"
-PASSAGES = "passages AS (SELECT item_id AS seq_id, coalesce(regexp_replace(translate(text, 'acgtn', 'ACGTN'), '[^ACGT]', '', 'g'), '') AS dna FROM benchmark)"

@@ -26,7 +26,13 @@ def qgram_lookup(spark, d):
 
 
 def kmer_similarity(spark, d):
-    return grams.similarity(reference(spark, d), "dna", 14, "seq_id", 8)
+    """Pairs of documents, one of each class of equal ones, that share half of the smaller one's 14-grams."""
+    return grams.similarity(reference(spark, d), "dna", 14, "seq_id", 0.5)[0]
+
+
+def kmer_classes(spark, d):
+    """The class of each document; rows of one class have similarity 1, as each has with itself."""
+    return grams.classes(grams.gram_counts(reference(spark, d), "dna", 14, "seq_id"), "seq_id")
 
 
 def seed_multiplicity(spark, d):
@@ -99,11 +105,13 @@ def _sa(period: int) -> str:
 
 
 _BWT3 = "bwt AS (SELECT seq_id, rank, pos, CASE WHEN pos >= 3 THEN substr(dna, pos - 2, 1) ELSE '$' END AS bwt FROM sa)"
+_CLASSES = "c0 AS (SELECT gram, seq_id, count(*) AS cnt FROM w GROUP BY 1, 2), l AS (SELECT seq_id, sum(cnt)::BIGINT AS total, list(struct_pack(gram, cnt) ORDER BY gram) AS content FROM c0 GROUP BY 1), k AS (SELECT seq_id, min(seq_id) OVER (PARTITION BY content) AS class, total FROM l)"
 JOBS = {
     "qgram_counts": (qgram_counts, f"WITH {DNA}, w AS ({windows_sql(3)}) SELECT gram, seq_id, count(*) AS cnt FROM w GROUP BY 1, 2"),
     "qgram_dir": (qgram_dir, f"WITH {DNA}, w AS ({windows_sql(4)}), c AS (SELECT gram, count(*) AS cnt FROM w GROUP BY 1) SELECT gram, cnt, coalesce(sum(cnt) OVER (ORDER BY gram ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first FROM c"),
     "qgram_lookup": (qgram_lookup, f"WITH {DNA}, w AS ({windows_sql(4)}), n AS (SELECT p_partkey, regexp_replace(translate(p_name, 'acgtn', 'ACGTN'), '[^ACGT]', '', 'g') AS dna FROM part), k AS (SELECT DISTINCT gram FROM ({windows_sql(4, 'n', 'dna', 'p_partkey')})) SELECT gram, count(*) AS n, count(DISTINCT seq_id) AS n_seqs FROM w WHERE gram IN (SELECT gram FROM k) GROUP BY 1"),
-    "kmer_similarity": (kmer_similarity, f"WITH {DNA}, w AS ({windows_sql(14)}), c AS (SELECT gram, seq_id, count(*) AS cnt FROM w GROUP BY 1, 2), t AS (SELECT seq_id, sum(cnt) AS total FROM c GROUP BY 1), r AS (SELECT gram FROM c GROUP BY 1 HAVING count(*) BETWEEN 2 AND 8), k AS (SELECT * FROM c JOIN r USING (gram)), s AS (SELECT x.seq_id AS a, y.seq_id AS b, sum(least(x.cnt, y.cnt)) AS common FROM k x JOIN k y ON x.gram = y.gram AND x.seq_id < y.seq_id GROUP BY 1, 2) SELECT a, b, common::DOUBLE / least(ta.total, tb.total)::DOUBLE AS sim FROM s JOIN t ta ON ta.seq_id = a JOIN t tb ON tb.seq_id = b"),
+    "kmer_similarity": (kmer_similarity, f"WITH {DNA}, w AS ({windows_sql(14)}), {_CLASSES}, c AS (SELECT gram, seq_id, cnt FROM c0 WHERE seq_id IN (SELECT class FROM k)), s AS (SELECT x.seq_id AS a, y.seq_id AS b, sum(least(x.cnt, y.cnt)) AS common FROM c x JOIN c y ON x.gram = y.gram AND x.seq_id < y.seq_id GROUP BY 1, 2) SELECT a, b, common::DOUBLE / least(ta.total, tb.total)::DOUBLE AS sim FROM s JOIN k ta ON ta.seq_id = a JOIN k tb ON tb.seq_id = b WHERE common >= 0.5 * least(ta.total, tb.total) - 1e-9"),
+    "kmer_classes": (kmer_classes, f"WITH {DNA}, w AS ({windows_sql(14)}), {_CLASSES} SELECT seq_id, class, total FROM k"),
     "seed_multiplicity": (seed_multiplicity, f"WITH {DNA}, w AS ({windows_sql(22)}), s AS (SELECT regexp_replace(gram, '(.).{{0,2}}', '\\1', 'g') AS seed, count(*) AS multiplicity FROM w GROUP BY 1) SELECT multiplicity, count(*) AS n_seeds FROM s GROUP BY 1"),
     "freq_substrings": (freq_substrings, f"WITH {DNA}, w AS ({' UNION ALL '.join(windows_sql(n) for n in (4, 5, 6))}) SELECT gram, count(DISTINCT seq_id) AS n_seqs, count(*) AS n FROM w GROUP BY 1 HAVING count(DISTINCT seq_id) >= 40"),
     "spaced_sa_p3": (spaced_sa_p3, f"WITH {DNA}, {_sa(3)} SELECT seq_id, rank, pos FROM sa"),

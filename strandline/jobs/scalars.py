@@ -78,8 +78,8 @@ def lcp_neighbours(spark, d):
 
 
 def window_hamming(spark, d):
-    """Histogram of the Hamming distance of a 24-base window and the one 24 further on, at every 24th position."""
-    w = windows(reference(spark, d), "dna", 48, "seq_id").where(F.col("pos") % 24 == 0)
+    """Histogram of the Hamming distance of a 24-base window and the one 24 further on, at every position."""
+    w = windows(reference(spark, d), "dna", 48, "seq_id")
     return w.groupBy(seq.hamming(F.substring("gram", 1, 24), F.substring("gram", 25, 24)).cast("long").alias("mismatches")).agg(F.count("*").alias("n"))
 
 
@@ -101,6 +101,6 @@ JOBS = {
     "shape_hashes": (shape_hashes, f"WITH {DNA}, w AS ({windows_sql(4)}), c AS (SELECT translate(gram, 'ACGT', '0123') AS c FROM w) SELECT substr(c, 1, 1)::BIGINT * 16 + substr(c, 2, 1)::BIGINT * 4 + substr(c, 4, 1)::BIGINT AS hash, count(*) AS n FROM c GROUP BY 1"),
     "spelled_hashes": (spelled_hashes, f"WITH {DNA}, w AS ({windows_sql(3)}), c AS (SELECT gram, translate(gram, 'ACGT', '0123') AS c FROM w) SELECT substr(c, 1, 1)::BIGINT * 16 + substr(c, 2, 1)::BIGINT * 4 + substr(c, 3, 1)::BIGINT AS hash, gram, count(*) AS n FROM c GROUP BY 1, 2"),
     "lcp_neighbours": (lcp_neighbours, "WITH p AS (SELECT a.doc_id, a.text AS s, b.text AS t FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1) SELECT doc_id, CASE WHEN length(s) = 0 OR length(t) = 0 THEN 0 ELSE coalesce(list_position(list_transform(list_zip(string_split(s, ''), string_split(t, '')), lambda x: x[1] IS NOT DISTINCT FROM x[2]), false) - 1, least(length(s), length(t))) END::BIGINT AS lcp FROM p WHERE s IS NOT NULL AND t IS NOT NULL"),
-    "window_hamming": (window_hamming, f"WITH {DNA}, w AS (SELECT dna, unnest(range(0, length(dna) - 47, 24)) AS p FROM reference) SELECT hamming(substr(dna, p + 1, 24), substr(dna, p + 25, 24))::BIGINT AS mismatches, count(*) AS n FROM w GROUP BY 1"),
+    "window_hamming": (window_hamming, f"WITH {DNA}, w AS (SELECT dna, unnest(range(0, length(dna) - 47)) AS p FROM reference) SELECT hamming(substr(dna, p + 1, 24), substr(dna, p + 25, 24))::BIGINT AS mismatches, count(*) AS n FROM w GROUP BY 1"),
     "string_cases": (string_cases, "SELECT p_partkey, upper(p_name) AS up, lower(p_name) AS low, reverse(p_name) AS rev, left(p_name, 4) AS pre, right(p_name, 4) AS suf, starts_with(p_name, 'p') AS has_p FROM part"),
 }

@@ -18,8 +18,8 @@ def find_exact_all(spark, d):
 
 
 def find_multi(spark, d):
-    """The DNA letters of part names, four to six of them, in the documents' DNA."""
-    names = table(spark, d, "part").select(F.substring(seq.normalize(F.col("p_name"), "keep_upper"), 1, 6).alias("pattern")).where(F.length("pattern") >= 4).distinct()
+    """The DNA letters of part names, four or more of them, in the documents' DNA."""
+    names = table(spark, d, "part").select(seq.normalize(F.col("p_name"), "keep_upper").alias("pattern")).where(F.length("pattern") >= 4).distinct()
     return search.find_multi(reference(spark, d), "dna", names.withColumn("pattern_id", F.col("pattern")), "seq_id", 4).select("pattern_id", "seq_id", "pos")
 
 
@@ -52,7 +52,7 @@ def guess_formats(spark, d):
 
 JOBS = {
     "find_exact_all": (find_exact_all, f"WITH {DNA}, w AS ({windows_sql(4)}) SELECT seq_id, pos FROM w WHERE gram = 'ACAC'"),
-    "find_multi": (find_multi, f"WITH {DNA}, n AS (SELECT DISTINCT left(regexp_replace(translate(p_name, 'acgtn', 'ACGTN'), '[^ACGT]', '', 'g'), 6) AS pattern FROM part), w AS ({' UNION ALL '.join(windows_sql(n) for n in (4, 5, 6))}) SELECT pattern AS pattern_id, seq_id, pos FROM n JOIN w ON gram = pattern WHERE length(pattern) >= 4"),
+    "find_multi": (find_multi, f"WITH {DNA}, n AS (SELECT DISTINCT regexp_replace(translate(p_name, 'acgtn', 'ACGTN'), '[^ACGT]', '', 'g') AS pattern FROM part), w AS (SELECT seq_id, dna, p AS pos, substr(dna, p + 1, 4) AS head FROM (SELECT seq_id, dna, unnest(range(0, length(dna) - 3)) AS p FROM reference)) SELECT pattern AS pattern_id, seq_id, pos FROM n JOIN w ON head = left(pattern, 4) AND substr(dna, pos + 1, length(pattern)) = pattern WHERE length(pattern) >= 4"),
     "find_wildcard": (find_wildcard, f"WITH {DNA}, w AS ({windows_sql(6)}) SELECT seq_id, pos + 5 AS end_pos FROM w WHERE regexp_full_match(gram, 'A[CG].{{2}}T[AC]')"),
     "edit_pairs_k2": (edit_pairs_k2, "SELECT a.p_partkey AS a, b.p_partkey AS b, levenshtein(a.p_name, b.p_name)::INTEGER AS distance FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey WHERE length(a.p_name) >= 6 AND length(b.p_name) >= 6 AND levenshtein(a.p_name, b.p_name) <= 2"),
     "find_approximate": (find_approximate, "WITH s AS (SELECT p_partkey, name, unnest(range(1, length(name) + 1)) AS e FROM (SELECT p_partkey, lower(p_name) AS name FROM part)), d AS (SELECT p_partkey, e - 1 AS end_pos, least(levenshtein(substr(name, greatest(1, e - 2), least(3, e)), 'ring'), levenshtein(substr(name, greatest(1, e - 3), least(4, e)), 'ring'), levenshtein(substr(name, greatest(1, e - 4), least(5, e)), 'ring'))::INTEGER AS distance FROM s) SELECT * FROM d WHERE distance <= 1"),

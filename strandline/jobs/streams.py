@@ -75,11 +75,8 @@ def global_starts(spark, d):
 
 
 def pos_localize(spark, d):
-    """Document and offset of every 997th position of the concatenation."""
-    rows = global_starts(spark, d)
-    first = F.ceil(F.col("start") / 997) * 997
-    inside = rows.where(first < F.col("start") + F.col("n"))
-    return inside.select("seq_id", F.explode(F.sequence(first, F.col("start") + F.col("n") - 1, F.lit(997).cast("long"))).alias("pos"), "start").select("pos", "seq_id", (F.col("pos") - F.col("start")).alias("off"))
+    """Document and offset of every position of the concatenation."""
+    return S.localized(global_starts(spark, d), "seq_id", "n")
 
 
 def _names(spark, d):
@@ -109,7 +106,7 @@ JOBS = {
     "pipe_mapper": (pipe_mapper, "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) - 1 AS ord FROM events"),
     "pipe_sorter": (pipe_sorter, "SELECT event_id, row_number() OVER (ORDER BY value ASC NULLS FIRST, event_id) - 1 AS place FROM events"),
     "global_starts": (global_starts, f"WITH {DNA} SELECT seq_id, length(dna) AS n, coalesce(sum(length(dna)) OVER (ORDER BY seq_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM reference"),
-    "pos_localize": (pos_localize, f"WITH {DNA}, s AS (SELECT seq_id, length(dna) AS n, coalesce(sum(length(dna)) OVER (ORDER BY seq_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM reference), p AS (SELECT unnest(range(0, (SELECT sum(n) FROM s)::BIGINT, 997)) AS pos) SELECT pos, seq_id, pos - start AS off FROM p JOIN s ON pos >= start AND pos < start + n"),
+    "pos_localize": (pos_localize, f"WITH {DNA}, s AS (SELECT seq_id, length(dna) AS n, coalesce(sum(length(dna)) OVER (ORDER BY seq_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM reference), e AS (SELECT seq_id, start, unnest(range(0, n)) AS off FROM s) SELECT start + off AS pos, seq_id, off FROM e"),
     "pipe_hamming_env": (pipe_hamming_env, f"WITH {_NAMES} {_HAMMING}"),
     "pipe_edit_env": (pipe_edit_env, f"WITH {_NAMES} SELECT DISTINCT p_partkey, variant FROM ({_HAMMING} UNION ALL SELECT p_partkey, left(dna, i - 1) || substr(dna, i + 1) FROM (SELECT p_partkey, dna, unnest(range(1, length(dna) + 1)) AS i FROM n) UNION ALL SELECT p_partkey, left(dna, i) || x || substr(dna, i + 1) FROM (SELECT p_partkey, dna, unnest(range(0, length(dna) + 1)) AS i FROM n) q, l)"),
 }

@@ -5,45 +5,83 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.sources.tables import stored
+
+from .streams import global_starts
+
 CHUNK = 256
 
 
+def chunks(df: DataFrame, text: str, overlap: int, *keys: str, size: int = CHUNK) -> DataFrame:
+    """keys, chunk_no, piece: each text in chunks of size characters, with the next overlap characters behind each."""
+    cut = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    behind = 1 + (overlap - 1) // size if overlap else 0
+    lapped = F.transform("cut", lambda p, i: F.concat(p, F.left(F.concat(*(F.coalesce(F.get("cut", i + 1 + n), F.lit("")) for n in range(behind)), F.lit("")), F.lit(overlap))))
+    return df.select(*keys, cut.alias("cut")).select(*keys, F.posexplode(lapped).alias("chunk_no", "piece"))
+
+
 def windows(df: DataFrame, text: str, size: int, *keys: str) -> DataFrame:
     """keys, pos (from 0), gram: every window of size characters. Texts shorter than size have none.
 
     Substrings deep in a long text cost its length, so texts are cut into chunks with an overlap first.
     """
     chunk = max(CHUNK, size)
-    cut = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0))
-    lapped = F.transform("cut", lambda p, i: F.concat(p, F.coalesce(F.left(F.get("cut", i + 1), F.lit(size - 1)), F.lit(""))))
-    pieces = df.select(*keys, cut.alias("cut")).select(*keys, F.posexplode(lapped).alias("chunk_no", "piece")).where(F.length("piece") >= size)
+    pieces = chunks(df, text, size - 1, *keys, size=chunk).where(F.length("piece") >= size)
     last = F.least(F.length("piece") - size, F.lit(chunk - 1))
     each = pieces.select(*keys, "chunk_no", "piece", F.explode(F.sequence(F.lit(0), last)).alias("off"))
     return each.select(*keys, (F.col("chunk_no").cast("long") * chunk + F.col("off")).alias("pos"), F.expr(f"substring(piece, off + 1, {size})").alias("gram"))
 
 
+def at_places(places: DataFrame, df: DataFrame, text: str, key: str, longest: int) -> DataFrame:
+    """places (key, pos, size up to longest) with site: the size characters at pos; those that run out of the text are left out. Joined chunk by chunk."""
+    held = chunks(df, text, longest - 1, key).withColumnRenamed("chunk_no", "site_chunk")
+    met = places.withColumn("site_chunk", F.floor(F.col("pos") / CHUNK).cast("int")).join(held, [key, "site_chunk"])
+    return met.withColumn("site", F.expr(f"substring(piece, cast(pos % {CHUNK} as int) + 1, size)")).where(F.length("site") == F.col("size")).drop("site_chunk", "piece")
+
+
 def gram_counts(df: DataFrame, text: str, size: int, key: str) -> DataFrame:
     """gram, key, cnt."""
     return windows(df, text, size, key).groupBy("gram", key).agg(F.count("*").alias("cnt"))
 
 
 def directory(df: DataFrame, text: str, size: int, key: str) -> DataFrame:
-    """gram, cnt, first: counts over all texts and where each gram's block starts. The running sum is over distinct grams only."""
+    """gram, cnt, first: counts over all texts and where each gram's block starts, by sums per range of grams."""
     total = windows(df, text, size, key).groupBy("gram").agg(F.count("*").alias("cnt"))
-    before = Window.orderBy("gram").rowsBetween(Window.unboundedPreceding, -1)
-    return total.withColumn("first", F.coalesce(F.sum("cnt").over(before), F.lit(0)))
-
-
-def similarity(df: DataFrame, text: str, size: int, key: str, most: int) -> DataFrame:
-    """a, b, sim: sum of least counts of shared grams over the smaller text's total, for pairs that share a gram of most texts or fewer (commoner grams are switched off)."""
-    counts = gram_counts(df, text, size, key)
-    totals = counts.groupBy(key).agg(F.sum("cnt").alias("total"))
-    rare = counts.groupBy("gram").agg(F.count("*").alias("texts")).where((F.col("texts") > 1) & (F.col("texts") <= most)).select("gram")
-    kept = counts.join(rare, "gram")
-    x, y = kept.alias("x"), kept.alias("y")
-    shared = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col(f"x.{key}") < F.col(f"y.{key}"))).groupBy(F.col(f"x.{key}").alias("a"), F.col(f"y.{key}").alias("b")).agg(F.sum(F.least("x.cnt", "y.cnt")).alias("common"))
-    ta, tb = totals.select(F.col(key).alias("a"), F.col("total").alias("ta")), totals.select(F.col(key).alias("b"), F.col("total").alias("tb"))
-    return shared.join(ta, "a").join(tb, "b").select("a", "b", (F.col("common") / F.least("ta", "tb")).alias("sim"))
+    return global_starts(total, "cnt", "gram", "first")
+
+
+def classes(counts: DataFrame, key: str) -> DataFrame:
+    """counts: gram, key, cnt. key, class (smallest key with the same grams and counts), total: a row per text that has grams."""
+    prints = counts.groupBy(key).agg(F.sum("cnt").alias("total"), F.count("*").alias("grams"), F.bit_xor(F.xxhash64("gram", "cnt")).alias("one"), F.bit_xor(F.xxhash64(F.lit(7), "cnt", "gram")).alias("two"))
+    alike = ["total", "grams", "one", "two"]
+    return prints.join(prints.groupBy(*alike).agg(F.min(key).alias("class")), alike).select(key, "class", "total")
+
+
+def similarity(df: DataFrame, text: str, size: int, key: str, least: float) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b, sim) of classes of texts with a similarity of least (above 0) or more; the classes (key, class, total).
+
+    Similarity is the sum of least counts of shared grams over the smaller text's total. Texts with equal counts are one
+    class, of similarity 1 within. Of two similar texts, the smaller one shares least of its total, so one of the grams of
+    its prefix at least: its rarest grams, up to the rest of the total. Prefixes meet all texts' grams, and pairs so found
+    are counted in full. No gram is left out.
+    """
+    counts = stored(gram_counts(df, text, size, key), "grams")
+    groups = stored(classes(counts, key), "classes")
+    ours = stored(counts.join(groups.where(F.col(key) == F.col("class")), key).select(F.col(key).alias("id"), "gram", "cnt", "total"), "class-grams")
+    spread = ours.groupBy("gram").agg(F.count("*").alias("texts"))
+    rare_first = Window.partitionBy("id").orderBy("texts", "gram")
+    before = F.sum("cnt").over(rare_first.rowsBetween(Window.unboundedPreceding, -1))
+    prefix = ours.join(spread.where("texts > 1"), "gram").withColumn("before", F.coalesce(before, F.lit(0)))
+    # grams of one text alone come first in the prefix, and meet nothing
+    alone = ours.join(spread.where("texts = 1"), "gram").groupBy("id").agg(F.sum("cnt").alias("alone"))
+    asked = prefix.join(alone, "id", "left").where(F.col("before") + F.coalesce("alone", F.lit(0)) <= F.col("total") - F.ceil(F.col("total") * least - 1e-9)).select("id", "gram", "total")
+    x, y = asked.alias("x"), ours.alias("y")
+    larger = (F.col("x.total") < F.col("y.total")) | ((F.col("x.total") == F.col("y.total")) & (F.col("x.id") < F.col("y.id")))
+    pairs = stored(x.join(y, (F.col("x.gram") == F.col("y.gram")) & larger).select(F.col("x.id").alias("small"), F.col("y.id").alias("large"), F.col("x.total").alias("of")).distinct(), "pairs")
+    mine = pairs.join(ours.select(F.col("id").alias("small"), "gram", F.col("cnt").alias("n")), "small")
+    both = mine.join(ours.select(F.col("id").alias("large"), "gram", "cnt"), ["large", "gram"])
+    found = both.groupBy("small", "large", "of").agg(F.sum(F.least("n", "cnt")).alias("common")).where(F.col("common") >= F.col("of") * least - 1e-9)
+    return found.select(F.least("small", "large").alias("a"), F.greatest("small", "large").alias("b"), (F.col("common") / F.col("of")).alias("sim")), groups
 
 
 def seed_histogram(df: DataFrame, text: str, period: int, length: int, key: str, seed: Column) -> DataFrame:

@@ -31,6 +31,11 @@ def global_starts(df: DataFrame, length: str, key: str, name: str = "start") ->
     return placed.join(F.broadcast(before), "stream_part").withColumn(name, (F.col("shift") + F.coalesce(F.sum(length).over(inner), F.lit(0))).cast("long")).drop("stream_part", "shift")
 
 
+def localized(df: DataFrame, key: str, length: str, start: str = "start") -> DataFrame:
+    """pos, key, off: each position of the concatenation as a text and a place in it."""
+    return df.where(F.col(length) > 0).select(key, start, F.explode(F.sequence(F.lit(0).cast("long"), F.col(length) - 1)).alias("off")).select((F.col(start) + F.col("off")).alias("pos"), key, "off")
+
+
 def namer(df: DataFrame, *keys: str, name: str = "name_id") -> DataFrame:
     """Appends the dense id, from 0, of the keys' sorted distinct values."""
     ids = counter(df.select(*keys).distinct(), *keys, name=name)
