@@ -31,17 +31,43 @@ def is_reverse_complement(a: Column, b: Column) -> Column:
 
 
 def packed_words(s: Column, width: int = 31) -> Column:
-    """Array of longs, width bases in each (31 at most, so none is negative), first base in the highest bits."""
+    """Array of longs, width bases in each, first base in the highest bits. With 32 bases the highest bit is one of theirs."""
     digits = F.regexp_extract_all(F.translate(s, CODE_LETTERS, CODE_DIGITS), F.lit(f".{{1,{width}}}"), F.lit(0))
-    return F.transform(digits, lambda d: F.conv(d, 4, 10).cast("long"))
+    if width <= 31:
+        return F.transform(digits, lambda d: F.conv(d, 4, 10).cast("long"))
+    halves = lambda d: F.shiftleft(F.conv(F.left(d, F.length(d) - 16), 4, 10).cast("long"), 32).bitwiseOR(F.conv(F.right(d, F.lit(16)), 4, 10).cast("long"))
+    return F.transform(digits, lambda d: F.when(F.length(d) > 16, halves(d)).otherwise(F.conv(d, 4, 10).cast("long")))
 
 
-def packed_hamming(x: Column, y: Column) -> Column:
-    """Bases that differ between two packed words of equal length."""
+def packed_hamming(x: Column, y: Column, mask: Column | None = None) -> Column:
+    """Bases that differ between two packed words. mask: words with both bits set at the bases that count, for words that are not full."""
     d = x.bitwiseXOR(y)
+    d = d if mask is None else d.bitwiseAND(mask)
     return F.bit_count((F.shiftright(d, 1).bitwiseOR(d)).bitwiseAND(F.lit(0x5555555555555555)))
 
 
+def tail_mask(bases: Column) -> Column:
+    """A word whose bits are set at the last bases bases of 31 at most."""
+    return F.pow(F.lit(4.0), bases).cast("long") - 1
+
+
+def packed_reverse_complement(word: Column, bases: Column) -> Column:
+    """The packed reverse complement of a word of bases bases (31 at most): pairs turned round by halves, then complemented (codes two apart)."""
+    out = word
+    for shift, mask in ((2, 0x3333333333333333), (4, 0x0F0F0F0F0F0F0F0F), (8, 0x00FF00FF00FF00FF), (16, 0x0000FFFF0000FFFF)):
+        out = F.shiftleft(out.bitwiseAND(F.lit(mask)), shift).bitwiseOR(F.shiftrightunsigned(out, shift).bitwiseAND(F.lit(mask)))
+    out = F.shiftleft(out, 32).bitwiseOR(F.shiftrightunsigned(out, 32))
+    kept = F.call_function("shiftrightunsigned", out, (F.lit(64) - bases * 2).cast("int"))
+    return kept.bitwiseXOR(F.lit(0x2AAAAAAAAAAAAAAA).bitwiseAND(tail_mask(bases)))
+
+
+def packed_shift(words: Column, bases: int, width: int = 31) -> Column:
+    """Packed words moved right by bases bases (fewer than width): zeros come in, what leaves a word enters the next, the last word's end is dropped."""
+    low, full = (1 << 2 * bases) - 1, 2 * (width - bases)
+    before = F.concat(F.array(F.lit(0).cast("long")), F.slice(words, F.lit(1), F.size(words) - 1))
+    return F.zip_with(before, words, lambda p, w: F.shiftleft(p.bitwiseAND(F.lit(low)), full).bitwiseOR(F.shiftright(w, 2 * bases)))
+
+
 def hamming(a: Column, b: Column) -> Column:
     """Places at which two strings of equal length differ."""
     return F.size(F.filter(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x != y), lambda d: d))
@@ -74,6 +100,48 @@ def spell(value: Column, length: int) -> Column:
     return F.translate(F.lpad(F.conv(value.cast("string"), 10, 4), length, "0"), "0123", BASES)
 
 
+def hash_range(prefix: Column, q: int) -> Column:
+    """struct(low, high): the base-4 numbers of the q-grams that start with a prefix of up to q letters are from low to high - 1."""
+    step = F.pow(F.lit(4.0), q - F.length(prefix)).cast("long")
+    low = F.when(F.length(prefix) == 0, F.lit(0).cast("long")).otherwise(F.conv(F.translate(prefix, BASES, "0123"), 4, 10).cast("long") * step)
+    return F.struct(low.alias("low"), (low + step).alias("high"))
+
+
+def hash_with_length(gram: Column, q: int) -> Column:
+    """A number for texts of up to q letters: shorter ones before longer ones, each length by its base-4 number."""
+    shorter = ((F.pow(F.lit(4.0), F.length(gram)) - 1) / 3).cast("long")
+    return F.when(F.length(gram) <= q, shorter + F.coalesce(F.conv(F.nullif(F.translate(gram, BASES, "0123"), F.lit("")), 4, 10).cast("long"), F.lit(0)))
+
+
 def letter_class(c: Column) -> Column:
     """1 for A, C, G, T; 2 for other IUPAC codes and the gap sign; else 0. Either case."""
     return F.when(c.rlike("^[ACGTacgt]$"), 1).when(c.rlike("^[RYMKSWBDHVNrymkswbdhvn-]$"), 2).otherwise(0)
+
+
+def end_high(s: Column) -> Column:
+    """A key that orders texts with their end above every letter: AC comes after ACT."""
+    return F.concat(s, F.lit("~"))
+
+
+def replaced(s: Column, begin: Column, size: Column, with_: Column) -> Column:
+    """s with size characters from begin (0-based) replaced: insertion where size is 0, erasure where with_ is empty."""
+    return F.concat(F.left(s, begin), with_, F.substring(s, begin + size + 1, F.length(s)))
+
+
+def fitted(s: Column, size: int, pad: str) -> Column:
+    """s cut, or filled with pad, to size characters."""
+    return F.rpad(F.left(s, F.lit(size)), size, pad)
+
+
+# fixed values: alphabets in the order of their codes, as published for nucleic and amino acids
+DNA5, IUPAC, AMINO = "ACGTN", "UTAWCYMHGKRDSBVN", "ARNDCQEGHILKMFPSTWYVBZX*"
+
+
+def coded(c: Column, alphabet: str, unknown: str) -> Column:
+    """A letter's code in an alphabet, either case; letters it lacks count as unknown."""
+    at = F.instr(F.lit(alphabet), F.upper(c))
+    return F.when((at > 0) & (F.length(c) == 1), at - 1).otherwise(alphabet.index(unknown)).cast("int")
+
+
+# fixed values: published gapped seeds
+SHAPES = {"patternhunter": "111010010100110111", "patternhunter2_1": "111101011101111", "patternhunter2_2": "1111000100010011010111"}

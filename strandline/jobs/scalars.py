@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from strandline.functions import seq
 from strandline.operators.grams import windows
+from strandline.operators.streams import counter, cut_runs
+from strandline.sources.formats import fasta_lines
 from strandline.sources.tables import table
 
 from .common import DNA, reference, windows_sql
@@ -32,11 +34,92 @@ def pack2bit(spark, d):
 
 
 def packed_hamming(spark, d):
-    """Each full word against the next, in packed form; the SQL compares characters."""
-    words = reference(spark, d).select("seq_id", F.filter(F.regexp_extract_all(F.col("dna"), F.lit(".{1,31}"), F.lit(0)), lambda x: F.length(x) == 31).alias("full"))
-    packed = words.select("seq_id", seq.packed_words(F.concat_ws("", "full")).alias("w"))
-    pairs = packed.where(F.size("w") > 1).select("seq_id", F.posexplode(F.zip_with(F.slice(F.col("w"), F.lit(1), F.size("w") - 1), F.slice(F.col("w"), F.lit(2), F.size("w") - 1), seq.packed_hamming)).alias("word_no", "mismatches"))
-    return pairs
+    """Each word of 31 bases against the next, in packed form, the last one by its own length; the SQL compares characters."""
+    words = reference(spark, d).select("seq_id", F.length("dna").alias("n"), seq.packed_words(F.col("dna")).alias("w")).where(F.size("w") > 1)
+    pairs = words.select("seq_id", "n", F.posexplode(F.zip_with(F.slice(F.col("w"), F.lit(1), F.size("w") - 1), F.slice(F.col("w"), F.lit(2), F.size("w") - 1), lambda x, y: F.struct(x.alias("x"), y.alias("y")))).alias("word_no", "p"))
+    size = F.least(F.lit(31), F.col("n") - 31 * (F.col("word_no") + 1))
+    # a short last word stands for as many first bases of the word before
+    first = F.call_function("shiftright", F.col("p.x"), (62 - 2 * size).cast("int"))
+    return pairs.select("seq_id", "word_no", seq.packed_hamming(first, F.col("p.y"), seq.tail_mask(size)).alias("mismatches"))
+
+
+def pack32(spark, d):
+    """Full words of 64 bits, compared as the letters that they spell."""
+    return reference(spark, d).select("seq_id", F.posexplode(seq.packed_words(F.col("dna"), 32)).alias("word_no", "word"))
+
+
+def packed_revcomp(spark, d):
+    """Reverse complements of packed words, on the packed form; the SQL turns letters round and packs them."""
+    words = reference(spark, d).select("seq_id", F.length("dna").alias("n"), F.posexplode(seq.packed_words(F.col("dna"))).alias("word_no", "word"))
+    return words.select("seq_id", "word_no", seq.packed_reverse_complement(F.col("word"), F.least(F.lit(31), F.col("n") - 31 * F.col("word_no"))).alias("word"))
+
+
+def packed_shift(spark, d):
+    """Packed texts of full words moved right by five bases."""
+    full = reference(spark, d).select("seq_id", F.expr("left(dna, length(dna) - length(dna) % 31)").alias("dna")).where("dna <> ''")
+    return full.select("seq_id", F.posexplode(seq.packed_shift(seq.packed_words(F.col("dna")), 5)).alias("word_no", "word"))
+
+
+def hash_ranges(spark, d):
+    """Numbers of each part's DNA cut to four letters: the range of 6-grams that start with it, and its number with length."""
+    s = table(spark, d, "part").select("p_partkey", F.left(seq.normalize(F.col("p_name"), "keep_upper"), F.lit(4)).alias("s"))
+    return s.select("p_partkey", seq.hash_range(F.col("s"), 6).alias("r"), seq.hash_with_length(F.col("s"), 6).alias("with_length")).select("p_partkey", "r.low", "r.high", "with_length")
+
+
+def predefined_shapes(spark, d):
+    """Counts of the documents' windows by hash of each predefined shape."""
+    out = None
+    for name, shape in seq.SHAPES.items():
+        one = windows(reference(spark, d), "dna", len(shape), "seq_id").groupBy(F.lit(name).alias("shape"), seq.shape_hash(F.col("gram"), shape).alias("hash")).agg(F.count("*").alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def end_high_order(spark, d):
+    """Neighbouring part names compared with the end above all letters."""
+    names = table(spark, d, "part").select("p_partkey", F.col("p_name").alias("a"))
+    after = names.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("a").alias("b"))
+    a, b = seq.end_high(F.col("a")), seq.end_high(F.col("b"))
+    return names.join(after, "p_partkey").select("p_partkey", (a < b).alias("lower"), (a > b).alias("higher"), (F.col("a") < F.col("b")).alias("plain_lower"))
+
+
+def string_edits(spark, d):
+    """Insertion, replacement, erasure, infix, and fitting of part names."""
+    n, three, two = F.col("p_name"), F.lit(3), F.lit(2)
+    return table(spark, d, "part").select("p_partkey", seq.replaced(n, three, F.lit(0), F.lit("XY")).alias("inserted"), seq.replaced(n, three, two, F.lit("XYZ")).alias("swapped"), seq.replaced(n, three, two, F.lit("")).alias("erased"), F.substring(n, 3, 4).alias("infix"), seq.fitted(n, 12, ".").alias("fitted"), F.concat(n, F.lit("!")).alias("appended"))
+
+
+def alphabet_codes(spark, d):
+    """How often each code of four alphabets stands in part names."""
+    letters = windows(table(spark, d, "part"), "p_name", 1, "p_partkey").select(F.col("gram").alias("c"))
+    kinds = F.array(*(F.struct(F.lit(name).alias("alphabet"), seq.coded(F.col("c"), letters_, unknown).alias("code")) for name, letters_, unknown in (("dna", "ACGT", "A"), ("dna5", seq.DNA5, "N"), ("iupac", seq.IUPAC, "N"), ("amino", seq.AMINO, "X"))))
+    return letters.select(F.inline(kinds)).groupBy("alphabet", "code").agg(F.count("*").alias("n"))
+
+
+def letter_kinds(spark, d):
+    """Whether part names' characters are DNA letters, Ns, or digits, and the number that a name's digits make."""
+    n = F.col("p_name")
+    return table(spark, d, "part").select("p_partkey", n.rlike("^[ACGT]*$").alias("is_dna"), n.rlike("^N+$").alias("is_n"), F.expr("try_cast(nullif(regexp_replace(p_name, '[^0-9]', ''), '') as bigint)").alias("number"))
+
+
+def positional_hamming(spark, d):
+    """Document i's first 64 bases against those of document i + 1, by ordinal."""
+    rows = counter(reference(spark, d).select("seq_id", F.left("dna", F.lit(64)).alias("s")), "seq_id")
+    after = rows.select((F.col("ord") - 1).alias("ord"), F.col("s").alias("t"))
+    size = F.least(F.length("s"), F.length("t"))
+    return rows.join(after, "ord").select("seq_id", F.when(size == 0, 0).otherwise(seq.hamming(F.expr("left(s, least(length(s), length(t)))"), F.expr("left(t, least(length(s), length(t)))"))).cast("long").alias("mismatches"))
+
+
+def run_cutoffs(spark, d):
+    """The runs of DNA letters of all documents, in order, as far as 20,000 bases and 3,000 runs reach; the last run is cut."""
+    runs = table(spark, d, "documents").select(F.col("doc_id").alias("seq_id"), F.posexplode(F.regexp_extract_all(F.translate("text", "acgtn", "ACGTN"), F.lit("[ACGT]+"), F.lit(0))).alias("run_no", "run"))
+    sized = runs.select("seq_id", "run_no", F.length("run").cast("long").alias("n"), (F.col("seq_id") * 1_000_000 + F.col("run_no")).alias("place"))
+    return cut_runs(sized, "n", "place", 20_000, 3_000).select("seq_id", "run_no", "n")
+
+
+def cleaned_lines(spark, d):
+    """Documents' DNA with Ns taken out, in lines of 70."""
+    return fasta_lines(reference(spark, d).select(F.col("seq_id").alias("record_no"), F.col("seq_id").cast("string").alias("header"), F.col("dna").alias("seq"))).select("record_no", "line_no", "line")
 
 
 def letter_classes(spark, d):
@@ -94,7 +177,19 @@ JOBS = {
     "revcomp_packed": (revcomp_packed, "WITH s AS (SELECT doc_id AS seq_id, regexp_replace(translate(text, 'acgtn', 'ACGTN'), '[^ACGTN]', '', 'g') AS s FROM documents) SELECT seq_id, reverse(translate(s, 'ACGTN', 'TGCAC')) AS rc, reverse(translate(s, 'ACGTN', 'TGCAC')) = reverse(translate(translate(s, 'N', 'G'), 'ACGT', 'TGCA')) AS is_rc FROM s"),
     "normalize_modes": (normalize_modes, "SELECT doc_id, length(regexp_replace(text, '[^ACGT]', '', 'g')) AS \"drop\", length(regexp_replace(translate(text, 'acgtn', 'ACGTN'), '[^ACGT]', '', 'g')) AS keep_upper, length(regexp_replace(translate(text, 'acgtn', 'ACGTN'), '[^ACGTN]', '', 'g')) AS n_to_a FROM documents"),
     "pack2bit": (pack2bit, f"WITH {DNA}, w AS (SELECT seq_id, i AS word_no, substr(translate(dna, 'ACTG', '0123'), i * 31 + 1, 31) AS c FROM (SELECT seq_id, dna, unnest(range(0, (length(dna) + 30) // 31)) AS i FROM reference)) SELECT seq_id, word_no::INTEGER AS word_no, list_reduce(list_transform(string_split(c, ''), lambda x: x::BIGINT), lambda a, b: a * 4 + b) AS word FROM w"),
-    "packed_hamming": (packed_hamming, f"WITH {DNA}, w AS (SELECT seq_id, i, substr(dna, i * 31 + 1, 31) AS c, substr(dna, i * 31 + 32, 31) AS n FROM (SELECT seq_id, dna, unnest(range(0, length(dna) // 31 - 1)) AS i FROM reference)) SELECT seq_id, i::INTEGER AS word_no, hamming(c, n)::INTEGER AS mismatches FROM w"),
+    "packed_hamming": (packed_hamming, f"WITH {DNA}, w AS (SELECT seq_id, i, substr(dna, i * 31 + 1, 31) AS c, substr(dna, i * 31 + 32, 31) AS n FROM (SELECT seq_id, dna, unnest(range(0, (length(dna) + 30) // 31 - 1)) AS i FROM reference)) SELECT seq_id, i::INTEGER AS word_no, hamming(left(c, length(n)), n)::INTEGER AS mismatches FROM w"),
+    "pack32": (pack32, f"WITH {DNA}, w AS (SELECT seq_id, i AS word_no, substr(translate(dna, 'ACTG', '0123'), i * 32 + 1, 32) AS c FROM (SELECT seq_id, dna, unnest(range(0, (length(dna) + 31) // 32)) AS i FROM reference)), v AS (SELECT seq_id, word_no, list_reduce(list_transform(string_split(c, ''), lambda x: x::HUGEINT), lambda a, b: a * 4 + b) AS u FROM w) SELECT seq_id, word_no::INTEGER AS word_no, (CASE WHEN u >= 9223372036854775808::HUGEINT THEN u - 18446744073709551616::HUGEINT ELSE u END)::BIGINT AS word FROM v"),
+    "packed_revcomp": (packed_revcomp, f"WITH {DNA}, w AS (SELECT seq_id, i AS word_no, translate(reverse(translate(substr(dna, i * 31 + 1, 31), 'ACGT', 'TGCA')), 'ACTG', '0123') AS c FROM (SELECT seq_id, dna, unnest(range(0, (length(dna) + 30) // 31)) AS i FROM reference)) SELECT seq_id, word_no::INTEGER AS word_no, list_reduce(list_transform(string_split(c, ''), lambda x: x::BIGINT), lambda a, b: a * 4 + b) AS word FROM w"),
+    "packed_shift": (packed_shift, f"WITH {DNA}, f AS (SELECT seq_id, 'AAAAA' || left(dna, (length(dna) // 31) * 31 - 5) AS dna FROM reference WHERE length(dna) >= 31), w AS (SELECT seq_id, i AS word_no, substr(translate(dna, 'ACTG', '0123'), i * 31 + 1, 31) AS c FROM (SELECT seq_id, dna, unnest(range(0, length(dna) // 31)) AS i FROM f)) SELECT seq_id, word_no::INTEGER AS word_no, list_reduce(list_transform(string_split(c, ''), lambda x: x::BIGINT), lambda a, b: a * 4 + b) AS word FROM w"),
+    "hash_ranges": (hash_ranges, "WITH s AS (SELECT p_partkey, translate(left(regexp_replace(translate(p_name, 'acgtn', 'ACGTN'), '[^ACGT]', '', 'g'), 4), 'ACGT', '0123') AS s FROM part), h AS (SELECT *, CASE WHEN s = '' THEN 0 ELSE list_reduce(list_transform(string_split(s, ''), lambda x: x::BIGINT), lambda a, b: a * 4 + b) END AS h, (4 ^ (6 - length(s)))::BIGINT AS step FROM s) SELECT p_partkey, h * step AS low, (h + 1) * step AS high, ((4 ^ length(s))::BIGINT - 1) // 3 + h AS with_length FROM h"),
+    "predefined_shapes": (predefined_shapes, f"WITH {DNA} " + " UNION ALL ".join(f"SELECT '{name}' AS shape, " + " + ".join(f"{4 ** (shape.count('1') - 1 - k)} * substr(c, {at + 1}, 1)::BIGINT" for k, at in enumerate([i for i, x in enumerate(shape) if x == '1'])) + f" AS hash, count(*) AS n FROM (SELECT translate(gram, 'ACGT', '0123') AS c FROM ({windows_sql(len(shape))})) GROUP BY 2" for name, shape in seq.SHAPES.items())),
+    "end_high_order": (end_high_order, "SELECT a.p_partkey, a.p_name || '~' < b.p_name || '~' AS lower, a.p_name || '~' > b.p_name || '~' AS higher, a.p_name < b.p_name AS plain_lower FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1"),
+    "string_edits": (string_edits, "SELECT p_partkey, left(p_name, 3) || 'XY' || substr(p_name, 4) AS inserted, left(p_name, 3) || 'XYZ' || substr(p_name, 6) AS swapped, left(p_name, 3) || substr(p_name, 6) AS erased, substr(p_name, 3, 4) AS infix, rpad(left(p_name, 12), 12, '.') AS fitted, p_name || '!' AS appended FROM part"),
+    "alphabet_codes": (alphabet_codes, "WITH c AS (SELECT upper(unnest(string_split(p_name, ''))) AS c FROM part), a AS (SELECT unnest([{'a': 'dna', 'l': 'ACGT', 'u': 0}, {'a': 'dna5', 'l': 'ACGTN', 'u': 4}, {'a': 'iupac', 'l': 'UTAWCYMHGKRDSBVN', 'u': 15}, {'a': 'amino', 'l': 'ARNDCQEGHILKMFPSTWYVBZX*', 'u': 22}]) AS x) SELECT x.a AS alphabet, (CASE WHEN instr(x.l, c) > 0 THEN instr(x.l, c) - 1 ELSE x.u END)::INTEGER AS code, count(*) AS n FROM c, a GROUP BY 1, 2"),
+    "letter_kinds": (letter_kinds, "SELECT p_partkey, regexp_full_match(p_name, '[ACGT]*') AS is_dna, regexp_full_match(p_name, 'N+') AS is_n, try_cast(nullif(regexp_replace(p_name, '[^0-9]', '', 'g'), '') AS BIGINT) AS number FROM part"),
+    "positional_hamming": (positional_hamming, f"WITH {DNA}, r AS (SELECT seq_id, left(dna, 64) AS s, lead(left(dna, 64)) OVER (ORDER BY seq_id) AS t FROM reference) SELECT seq_id, CASE WHEN least(length(s), length(t)) = 0 THEN 0 ELSE hamming(left(s, least(length(s), length(t))), left(t, least(length(s), length(t)))) END::BIGINT AS mismatches FROM r WHERE t IS NOT NULL"),
+    "run_cutoffs": (run_cutoffs, "WITH p AS (SELECT doc_id, regexp_extract_all(translate(text, 'acgtn', 'ACGTN'), '[ACGT]+') AS l FROM documents), e AS (SELECT doc_id AS seq_id, unnest(range(len(l)))::INTEGER AS run_no, length(unnest(l)) AS n FROM p), s AS (SELECT *, sum(n) OVER (ORDER BY seq_id, run_no) - n AS before, row_number() OVER (ORDER BY seq_id, run_no) AS k FROM e) SELECT seq_id, run_no, least(n, 20000 - before)::BIGINT AS n FROM s WHERE before < 20000 AND k <= 3000"),
+    "cleaned_lines": (cleaned_lines, f"WITH {DNA}, l AS (SELECT seq_id, [('>' || seq_id)] || list_transform(range(0, (length(dna) + 69) // 70), lambda i: substr(dna, i * 70 + 1, 70)) AS l FROM reference) SELECT seq_id AS record_no, unnest(range(len(l)))::INTEGER AS line_no, unnest(l) AS line FROM l"),
     "letter_classes": (letter_classes, "SELECT doc_id, length(regexp_replace(t, '[^ACGTacgt]', '', 'g')) AS n_bases, length(regexp_replace(t, '[^RYMKSWBDHVNrymkswbdhvn-]', '', 'g')) AS n_ambiguous, length(t) - length(regexp_replace(t, '[^ACGTacgt]', '', 'g')) - length(regexp_replace(t, '[^RYMKSWBDHVNrymkswbdhvn-]', '', 'g')) AS n_other FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)"),
     "dna_runs": (dna_runs, "WITH p AS (SELECT doc_id, regexp_extract_all(translate(text, 'acgtn', 'ACGTN'), '[^ACGT]*[ACGT]+') AS l FROM documents), e AS (SELECT unnest(range(len(l))) AS run_no, unnest(l) AS piece FROM p) SELECT length(piece) - length(regexp_extract(piece, '[ACGT]+$')) AS gap_len, length(regexp_extract(piece, '[ACGT]+$')) AS run_len, count(*) AS n, sum(run_no)::BIGINT AS sum_run_no FROM e GROUP BY 1, 2"),
     "count_dna": (count_dna, "SELECT sum(length(regexp_replace(translate(text, 'acgtn', 'ACGTN'), '[^ACGTN]', '', 'g')))::BIGINT AS n_bases FROM documents"),

@@ -31,6 +31,13 @@ def global_starts(df: DataFrame, length: str, key: str, name: str = "start") ->
     return placed.join(F.broadcast(before), "stream_part").withColumn(name, (F.col("shift") + F.coalesce(F.sum(length).over(inner), F.lit(0))).cast("long")).drop("stream_part", "shift")
 
 
+def cut_runs(df: DataFrame, length: str, order: str, bases: int, runs: int) -> DataFrame:
+    """The rows in order until bases in all, or so many runs, are reached; the run that reaches the bases is cut."""
+    placed = counter(global_starts(df, length, order, "cut_start"), order, name="cut_ord")
+    left = placed.where((F.col("cut_start") < bases) & (F.col("cut_ord") < runs))
+    return left.withColumn(length, F.least(F.col(length), bases - F.col("cut_start"))).drop("cut_start", "cut_ord")
+
+
 def localized(df: DataFrame, key: str, length: str, start: str = "start") -> DataFrame:
     """pos, key, off: each position of the concatenation as a text and a place in it."""
     return df.where(F.col(length) > 0).select(key, start, F.explode(F.sequence(F.lit(0).cast("long"), F.col(length) - 1)).alias("off")).select((F.col(start) + F.col("off")).alias("pos"), key, "off")
