@@ -82,6 +82,8 @@ def common_prefix(a: Column, b: Column) -> Column:
 
 def spaced(s: Column, period: int, length: int | None = None) -> Column:
     """Every period-th character of s from its start, length of them at most."""
+    if period == 1:
+        return s if length is None else F.substring(s, 1, length)
     # one character and up to period - 1 skipped ones at a time
     kept = F.regexp_replace(s, f"(?s)(.).{{0,{period - 1}}}", "$1")
     return kept if length is None else F.substring(kept, 1, length)

@@ -72,9 +72,27 @@ def first_column(spark, d):
 
 
 def lcp_table(spark, d):
-    """Part names' suffixes with the common prefix of neighbours in suffix order."""
-    parts = stored(table(spark, d, "part").select("p_partkey", F.lower("p_name").alias("name")), "parts")
-    return suffixes.common_prefixes(parts, suffixes.suffix_array(parts, "name", "p_partkey"), "name", "p_partkey")
+    """The documents' suffixes with the common prefix of neighbours in suffix order."""
+    ref, order = _suffix(spark, d, 1)
+    return suffixes.common_prefixes(ref, order, "dna", "seq_id")
+
+
+def limited_sa(spark, d):
+    """Suffixes by their first eight characters, three apart."""
+    return suffixes.limited_order(reference(spark, d), "dna", "seq_id", 8, 3)
+
+
+def sa_blocks(spark, d):
+    """Ranks of the suffixes of each document that start with each pair of letters three apart."""
+    ref, order = _suffix(spark, d, 3)
+    return suffixes.blocks(order, ref, "dna", "seq_id", 2, 3)
+
+
+def sa_ranges(spark, d):
+    """Ranks of the suffixes that start with each part's DNA of four letters or more."""
+    ref, order = _suffix(spark, d, 1)
+    names = table(spark, d, "part").select(seq.normalize(F.col("p_name"), "keep_upper").alias("pattern")).where(F.length("pattern") >= 4).distinct()
+    return suffixes.pattern_ranges(order, ref, "dna", "seq_id", names, 4)
 
 
 def homopolymers(spark, d):
@@ -99,6 +117,41 @@ def unique_matches(spark, d):
     return repeats.unique_matches(parts, "name", 3, "p_partkey", "family")
 
 
+def _families(spark, d):
+    return table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("family"), F.lower("p_name").alias("name"))
+
+
+def repeats_all(spark, d):
+    """Maximal repeats of 20 bases or more over all documents."""
+    return repeats.maximal_repeats(reference(spark, d), "dna", "seq_id", 20).drop("scope")
+
+
+def supermax_repeats(spark, d):
+    """Supermaximal repeats of 20 bases or more over all documents."""
+    return repeats.supermaximal_repeats(reference(spark, d), "dna", "seq_id", 20)
+
+
+def name_repeats(spark, d):
+    """Maximal repeats of three characters or more of the part names of each brand."""
+    return repeats.maximal_repeats(_families(spark, d), "name", "p_partkey", 3, "family").withColumnRenamed("scope", "family")
+
+
+def name_mems(spark, d):
+    """Those of them that stand in three to ten names."""
+    return name_repeats(spark, d).where(F.col("n_seqs").between(3, 10))
+
+
+def name_mums(spark, d):
+    """Maximal substrings that stand exactly once in every part of the same brand, type and size."""
+    parts = table(spark, d, "part").select("p_partkey", F.concat_ws("|", "p_brand", "p_type", F.col("p_size").cast("string")).alias("family"), F.lower("p_name").alias("name"))
+    return repeats.unique_everywhere(parts, "name", "p_partkey", "family", 2)
+
+
+def name_supermax(spark, d):
+    """Supermaximal repeats of four characters or more over all part names."""
+    return repeats.supermaximal_repeats(table(spark, d, "part").select("p_partkey", F.lower("p_name").alias("name")), "name", "p_partkey", 4)
+
+
 def _sa(period: int) -> str:
     key = "substr(dna, p + 1)" if period == 1 else f"regexp_replace(substr(dna, p + 1), '(.).{{0,{period - 1}}}', '\\1', 'g')"
     return f"sa AS (SELECT seq_id, dna, p AS pos, row_number() OVER (PARTITION BY seq_id ORDER BY {key}, p) - 1 AS rank FROM (SELECT seq_id, dna, unnest(range(0, length(dna))) AS p FROM reference))"
@@ -106,7 +159,15 @@ def _sa(period: int) -> str:
 
 _BWT3 = "bwt AS (SELECT seq_id, rank, pos, CASE WHEN pos >= 3 THEN substr(dna, pos - 2, 1) ELSE '$' END AS bwt FROM sa)"
 _CLASSES = "c0 AS (SELECT gram, seq_id, count(*) AS cnt FROM w GROUP BY 1, 2), l AS (SELECT seq_id, sum(cnt)::BIGINT AS total, list(struct_pack(gram, cnt) ORDER BY gram) AS content FROM c0 GROUP BY 1), k AS (SELECT seq_id, min(seq_id) OVER (PARTITION BY content) AS class, total FROM l)"
+_SUBSTRINGS = """e AS (SELECT p_partkey, family, name, b, unnest(range(b + {least}, length(name) + 1)) AS e FROM (SELECT p_partkey, family, name, unnest(range(0, length(name))) AS b FROM q)), g AS (SELECT p_partkey, family, substr(name, b + 1, e - b) AS gram, CASE WHEN b = 0 THEN '^' || p_partkey ELSE substr(name, b, 1) END AS l, CASE WHEN e = length(name) THEN '$' || p_partkey ELSE substr(name, e + 1, 1) END AS r FROM e), m AS (SELECT family, gram, count(*) AS n, count(DISTINCT p_partkey) AS n_seqs, count(DISTINCT l) AS ls, count(DISTINCT r) AS rs FROM g GROUP BY 1, 2 HAVING count(*) >= 2 AND count(DISTINCT l) >= 2 AND count(DISTINCT r) >= 2)"""
+_BRANDS = "q AS (SELECT p_partkey, p_brand AS family, lower(p_name) AS name FROM part)"
 JOBS = {
+    "repeats_all": (repeats_all, None),
+    "supermax_repeats": (supermax_repeats, None),
+    "name_repeats": (name_repeats, f"WITH {_BRANDS}, {_SUBSTRINGS.format(least=3)} SELECT family, gram, n, n_seqs FROM m"),
+    "name_mems": (name_mems, f"WITH {_BRANDS}, {_SUBSTRINGS.format(least=3)} SELECT family, gram, n, n_seqs FROM m WHERE n_seqs BETWEEN 3 AND 10"),
+    "name_mums": (name_mums, f"WITH q AS (SELECT p_partkey, p_brand || '|' || p_type || '|' || p_size AS family, lower(p_name) AS name FROM part), c AS (SELECT family, count(*) AS members FROM q GROUP BY 1 HAVING count(*) > 1), {_SUBSTRINGS.format(least=2)} SELECT family, gram FROM m JOIN c USING (family) WHERE n = members AND n_seqs = members"),
+    "name_supermax": (name_supermax, f"WITH q AS (SELECT p_partkey, 0 AS family, lower(p_name) AS name FROM part), {_SUBSTRINGS.format(least=4)} SELECT gram, n FROM m WHERE n = ls AND n = rs"),
     "qgram_counts": (qgram_counts, f"WITH {DNA}, w AS ({windows_sql(3)}) SELECT gram, seq_id, count(*) AS cnt FROM w GROUP BY 1, 2"),
     "qgram_dir": (qgram_dir, f"WITH {DNA}, w AS ({windows_sql(4)}), c AS (SELECT gram, count(*) AS cnt FROM w GROUP BY 1) SELECT gram, cnt, coalesce(sum(cnt) OVER (ORDER BY gram ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first FROM c"),
     "qgram_lookup": (qgram_lookup, f"WITH {DNA}, w AS ({windows_sql(4)}), n AS (SELECT p_partkey, regexp_replace(translate(p_name, 'acgtn', 'ACGTN'), '[^ACGT]', '', 'g') AS dna FROM part), k AS (SELECT DISTINCT gram FROM ({windows_sql(4, 'n', 'dna', 'p_partkey')})) SELECT gram, count(*) AS n, count(DISTINCT seq_id) AS n_seqs FROM w WHERE gram IN (SELECT gram FROM k) GROUP BY 1"),
@@ -119,7 +180,10 @@ JOBS = {
     "spaced_bwt_p3": (spaced_bwt_p3, f"WITH {DNA}, {_sa(3)}, {_BWT3} SELECT seq_id, rank, pos, bwt FROM bwt"),
     "occ_table": (occ_table, f"WITH {DNA}, {_sa(3)}, {_BWT3} SELECT seq_id, rank, bwt, " + ", ".join(f"(sum((bwt = '{b}')::BIGINT) OVER (PARTITION BY seq_id ORDER BY rank))::BIGINT AS occ_{b.lower()}" for b in "ACGT") + " FROM bwt"),
     "first_column": (first_column, f"WITH {DNA}, l AS (SELECT seq_id, dna, unnest(['A', 'C', 'G', 'T']) AS letter FROM reference WHERE dna <> '') SELECT seq_id, letter, length(regexp_replace(left(dna, length(dna) - 1), CASE letter WHEN 'A' THEN '.' WHEN 'C' THEN '[^A]' WHEN 'G' THEN '[^AC]' ELSE '[^ACG]' END, '', 'g')) AS first FROM l"),
-    "lcp_table": (lcp_table, "WITH s AS (SELECT p_partkey, p AS pos, substr(lower(p_name), p + 1) AS suffix FROM (SELECT p_partkey, p_name, unnest(range(0, length(p_name))) AS p FROM part)), r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY suffix, pos) - 1 AS rank, lag(suffix) OVER (PARTITION BY p_partkey ORDER BY suffix, pos) AS before FROM s) SELECT p_partkey, rank, pos, CASE WHEN before IS NULL THEN 0 ELSE coalesce(list_position(list_transform(list_zip(string_split(before, ''), string_split(suffix, '')), lambda x: x[1] IS NOT DISTINCT FROM x[2]), false) - 1, least(length(before), length(suffix))) END::BIGINT AS lcp FROM r"),
+    "lcp_table": (lcp_table, f"WITH {DNA}, {_sa(1)}, s AS (SELECT seq_id, rank, pos, substr(dna, pos + 1) AS suffix, lag(substr(dna, pos + 1)) OVER (PARTITION BY seq_id ORDER BY rank) AS before FROM sa) SELECT seq_id, rank, pos, CASE WHEN before IS NULL THEN 0 ELSE coalesce(list_position(list_transform(list_zip(string_split(before, ''), string_split(suffix, '')), lambda x: x[1] IS NOT DISTINCT FROM x[2]), false) - 1, least(length(before), length(suffix))) END::BIGINT AS lcp FROM s"),
+    "limited_sa": (limited_sa, f"WITH {DNA}, p AS (SELECT seq_id, unnest(range(0, length(dna))) AS pos, dna FROM reference) SELECT seq_id, pos, row_number() OVER (PARTITION BY seq_id ORDER BY regexp_replace(substr(dna, pos + 1, 22), '(.).{{0,2}}', '\\1', 'g'), pos) - 1 AS rank FROM p"),
+    "sa_blocks": (sa_blocks, f"WITH {DNA}, {_sa(3)} SELECT seq_id, substr(dna, pos + 1, 1) || substr(dna, pos + 4, 1) AS head, min(rank) AS first, max(rank) AS last FROM sa GROUP BY 1, 2"),
+    "sa_ranges": (sa_ranges, f"WITH {DNA}, {_sa(1)}, n AS (SELECT DISTINCT regexp_replace(translate(p_name, 'acgtn', 'ACGTN'), '[^ACGT]', '', 'g') AS pattern FROM part) SELECT pattern, seq_id, min(rank) AS first, max(rank) AS last FROM n JOIN sa ON substr(dna, pos + 1, 4) = left(pattern, 4) AND substr(dna, pos + 1, length(pattern)) = pattern WHERE length(pattern) >= 4 GROUP BY 1, 2"),
     "homopolymers": (homopolymers, f"WITH {DNA}, r AS (SELECT seq_id, unnest(regexp_extract_all(dna, 'A{{4,}}|C{{4,}}|G{{4,}}|T{{4,}}')) AS run FROM reference) SELECT seq_id, left(run, 1) AS letter, length(run)::INTEGER AS run_len, count(*) AS n FROM r GROUP BY 1, 2, 3"),
     "tandem_repeats": (tandem_repeats, f"WITH {DNA}, w AS ({windows_sql(3)}), e AS (SELECT seq_id, pos, pos - row_number() OVER (PARTITION BY seq_id ORDER BY pos) AS island FROM w WHERE substr(gram, 1, 1) = substr(gram, 3, 1)) SELECT seq_id, min(pos) AS pos, count(*) + 2 AS len FROM e GROUP BY seq_id, island HAVING count(*) + 2 >= 8"),
     "maximal_repeats": (maximal_repeats, f"WITH {DNA}, p AS (SELECT seq_id, '^' || dna || '$' AS dna FROM reference), w AS ({windows_sql(11, 'p')}), g AS (SELECT substr(gram, 2, 9) AS gram, count(*) AS n, count(DISTINCT left(gram, 1)) AS l, count(DISTINCT right(gram, 1)) AS r, count(*) FILTER (left(gram, 1) = '^') AS s, count(*) FILTER (right(gram, 1) = '$') AS e FROM w GROUP BY 1) SELECT gram, n FROM g WHERE n >= 2 AND (l >= 2 OR s >= 2) AND (r >= 2 OR e >= 2)"),

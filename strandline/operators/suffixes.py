@@ -1,45 +1,168 @@
-"""Suffix order, transforms, occurrence and common-prefix tables of many texts."""
+"""Suffix order, transforms, occurrence and common-prefix tables of many texts, however long each is.
+
+Suffixes are ordered within a scope: each text's own (the key), or all texts of a collection. No text or scope is
+gathered in one task: rows are dealt by ranges, and what lies before a range comes from a row per range.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import seq
 from strandline.sources.tables import stored
 
+from .grams import CHUNK, chunks, windows
 
-def suffix_array(df: DataFrame, text: str, key: str, period: int = 1) -> DataFrame:
-    """key, rank, pos: suffixes of each text in the order of every period-th character of theirs; ties by position.
+HEAD, PAD = 24, "\x00"
+
+
+def _runs(columns: list[pa.ChunkedArray]) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of sorted columns the first row that equals it, and how many do."""
+    n = len(columns[0])
+    new = np.ones(n, bool)
+    if n > 1:
+        new[1:] = False
+        for c in columns:
+            c = c.combine_chunks()
+            new[1:] |= pc.not_equal(c.slice(1), c.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+    first = np.flatnonzero(new)
+    sizes = np.diff(np.append(first, n))
+    return np.repeat(first, sizes), np.repeat(sizes, sizes)
+
+
+def _part(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Table | None, int]:
+    """A range of rows as a table (ranges are sized by the number of shuffle partitions), and its number."""
+    held = [b for b in batches if b.num_rows]
+    return (pa.Table.from_batches(held) if held else None), TaskContext.get().partitionId()
+
+
+def _heads(df: DataFrame, text: str, key: str, scope: str | None, period: int, head: int) -> DataFrame:
+    """scope, id, pos, gram: each suffix's first head characters, period apart (fewer where the text ends)."""
+    span = (head - 1) * period + 1
+    padded = df.where(F.length(text) > 0).select(F.lit(0).alias("scope") if scope is None else F.col(scope).alias("scope"), F.col(key).alias("id"), F.concat(F.col(text), F.lit(PAD * (span - 1))).alias("padded"))
+    every = windows(padded, "padded", span, "scope", "id")
+    return every.select("scope", "id", "pos", F.rtrim(seq.spaced(F.col("gram"), period), F.lit(PAD)).alias("gram"))
 
-    Prefix doubling: a suffix's name at depth d and that of the one d * period on make its name at depth 2 d. Names are
-    ranks among the text's suffixes; each round is two sorts by numbers, and the table is written.
+
+def names(df: DataFrame, text: str, key: str, scope: str | None, period: int = 1, head: int = HEAD) -> DataFrame:
+    """scope, id, pos, name, size: names order the suffixes of a scope; size suffixes have the same name, as they are equal.
+
+    Prefix doubling: at first a name is the place of the first suffix with the same first characters. Then, round by
+    round, the suffixes of a name are ordered by the names of those that start where the characters known so far end,
+    and move on within the room of their name. Suffixes that are alone with their name are done.
     """
-    chars = df.select(key, F.posexplode(F.split(F.col(text), "")).alias("p", "c")).where("c <> ''").select(key, F.col("p").cast("long").alias("pos"), F.col("c"))
-    names = stored(chars.select(key, "pos", F.dense_rank().over(Window.partitionBy(key).orderBy("c")).cast("long").alias("name")), "suffixes")
-    depth = 1
-    while True:
-        ahead = names.select(key, (F.col("pos") - depth * period).alias("pos"), F.col("name").alias("next"))
-        both = names.join(ahead, [key, "pos"], "left").select(key, "pos", "name", F.coalesce("next", F.lit(0)).alias("next"))
-        names = stored(both.select(key, "pos", F.dense_rank().over(Window.partitionBy(key).orderBy("name", "next")).cast("long").alias("name"), F.col("next")), "suffixes")
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, part = _part(batches)
+        if table is not None:
+            at, size = _runs([table["scope"], table["gram"]])
+            yield from pa.table([*(table[c] for c in ("scope", "id", "pos")), pa.array((part << 40) + at), pa.array(size)], names=["scope", "id", "pos", "name", "size"]).to_batches(50_000)
+
+    def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, part = _part(batches)
+        if table is not None:
+            at, size = _runs([table["name"], table["next"]])
+            of_name, _ = _runs([table["name"]])
+            columns = [*(table[c] for c in ("scope", "id", "pos", "name", "next")), pa.array(size), pa.array(at - of_name), pa.array(np.full(len(at), part)), pa.array(of_name == 0)]
+            yield from pa.table(columns, names=["scope", "id", "pos", "name", "next", "size", "step", "part", "opens"]).to_batches(50_000)
+
+    heads = _heads(df, text, key, scope, period, head)
+    kinds = {f.name: f.dataType.simpleString() for f in heads.schema}
+    base = f"scope {kinds['scope']}, id {kinds['id']}, pos long, name long"
+    dealt = heads.repartitionByRange("scope", "gram").sortWithinPartitions("scope", "gram")
+    active = stored(dealt.mapInArrow(first, f"{base}, size long"), "names")
+    done, depth = active.where("size = 1"), head
+    active = active.where("size > 1")
+    while not active.isEmpty():
+        ahead = done.unionByName(active).select("id", (F.col("pos") - depth * period).alias("pos"), F.col("name").alias("next"))
+        # the few that are still open meet all names in an inner join, so that only they need to move
+        reached = ahead.join(active.select("id", "pos"), ["id", "pos"])
+        both = active.drop("size").join(reached, ["id", "pos"], "left").withColumn("next", F.coalesce("next", F.lit(-1)))
+        sorted_ = both.repartitionByRange("name", "next").sortWithinPartitions("name", "next")
+        refined = stored(sorted_.mapInArrow(refine, f"{base}, next long, size long, step long, part long, opens boolean"), "names")
+        # a name's rows in the ranges before: a row per range and its first or last name
+        ends = refined.groupBy("part").agg(F.max("name").alias("last")).join(refined.groupBy("part", "name").agg(F.count("*").alias("n")), "part").where("name = last")
+        before = Window.partitionBy("name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        opening = refined.where("opens").select("part", "name").distinct().withColumn("n", F.lit(0).cast("long"))
+        spread = ends.select("part", "name", "n").unionByName(opening).groupBy("part", "name").agg(F.max("n").alias("n")).withColumn("shift", F.coalesce(F.sum("n").over(before), F.lit(0))).select("part", "name", "shift")
+        moved = refined.join(stored(spread, "shifts"), ["part", "name"], "left").select("scope", "id", "pos", (F.col("name") + F.col("step") + F.coalesce("shift", F.lit(0))).alias("name"), "size", "next")
+        # equal suffixes that end within the characters known can't be told apart
+        done = done.unionByName(moved.where("size = 1 or next < 0").drop("next"))
+        active = moved.where("size > 1 and next >= 0").drop("next")
         depth *= 2
-        # once no suffix reaches beyond its depth, names can't change
-        if names.where("next > 0").isEmpty():
-            break
-        names = names.select(key, "pos", "name")
-    return names.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("name", "pos")) - 1).cast("long").alias("rank"), "pos")
+    return done
+
+
+def ordered(df: DataFrame, text: str, key: str, scope: str | None, period: int = 1) -> DataFrame:
+    """scope, id, pos, rank: suffixes of each scope in the order of every period-th character of theirs; ties by id and position."""
+    found = stored(names(df, text, key, scope, period), "named")
+    tie = F.row_number().over(Window.partitionBy("name").orderBy("id", "pos")) - 1  # equal suffixes: one at most for each text and place in the period
+    placed = found.where("size = 1").withColumn("tie", F.lit(0)).unionByName(found.where("size > 1").withColumn("tie", tie))
+    place = F.col("name").bitwiseAND(F.lit((1 << 40) - 1)) + F.col("tie")
+    placed = placed.select("scope", "id", "pos", F.shiftright("name", 40).alias("part"), place.alias("place"))
+    parts = placed.groupBy("scope", "part").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    before = Window.partitionBy("scope").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = parts.select("scope", "part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    return placed.join(shifts, ["scope", "part"]).select("scope", "id", "pos", (F.col("place") + F.col("shift")).alias("rank"))
+
+
+def suffix_array(df: DataFrame, text: str, key: str, period: int = 1) -> DataFrame:
+    """key, rank, pos: suffixes of each text in the order of every period-th character of theirs; ties by position."""
+    return ordered(df, text, key, key, period).select(F.col("scope").alias(key), "rank", "pos")
+
+
+def collection_array(df: DataFrame, text: str, key: str) -> DataFrame:
+    """key, pos, rank: suffixes of all texts together; ties by key and position."""
+    return ordered(df, text, key, None).select(F.col("id").alias(key), "pos", "rank")
+
+
+def limited_order(df: DataFrame, text: str, key: str, length: int, period: int = 1) -> DataFrame:
+    """key, rank, pos: suffixes of each text by their first length characters (period apart) alone; ties by position."""
+    heads = _heads(df, text, key, key, period, length)
+    placed = stored(heads.repartitionByRange("scope", "gram", "pos").sortWithinPartitions("scope", "gram", "pos").withColumn("row", F.monotonically_increasing_id()), "limited")
+    parts = placed.groupBy("scope", F.shiftright("row", 33).alias("part")).agg(F.count("*").alias("n"), F.min("row").alias("first"))
+    before = Window.partitionBy("scope").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = parts.select("scope", "part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    return placed.withColumn("part", F.shiftright("row", 33)).join(shifts, ["scope", "part"]).select(F.col("scope").alias(key), (F.col("row") + F.col("shift")).alias("rank"), "pos")
+
+
+def blocks(order: DataFrame, df: DataFrame, text: str, key: str, length: int, period: int = 1) -> DataFrame:
+    """key, head, first, last: the ranks of the suffixes that start with each head of length characters (period apart)."""
+    heads = _heads(df, text, key, key, period, length).select(F.col("scope").alias(key), "pos", F.col("gram").alias("head"))
+    return order.join(heads, [key, "pos"]).groupBy(key, "head").agg(F.min("rank").alias("first"), F.max("rank").alias("last"))
+
+
+def pattern_ranges(order: DataFrame, df: DataFrame, text: str, key: str, patterns: DataFrame, q: int) -> DataFrame:
+    """patterns: pattern (q characters or more). pattern, key, first, last: the ranks of the suffixes that start with it."""
+    from .search import find_multi
+
+    places = find_multi(df, text, patterns.select("pattern", F.col("pattern").alias("pattern_id")), key, q)
+    return places.join(order, [key, "pos"]).groupBy(F.col("pattern_id").alias("pattern"), key).agg(F.min("rank").alias("first"), F.max("rank").alias("last"))
 
 
 def transform(df: DataFrame, order: DataFrame, text: str, key: str, period: int = 1) -> DataFrame:
     """order with bwt: the character period places before each suffix, $ where there is none."""
-    chars = df.select(key, F.posexplode(F.split(F.col(text), "")).alias("p", "bwt")).where("bwt <> ''").select(key, (F.col("p").cast("long") + period).alias("pos"), "bwt")
+    chars = windows(df, text, 1, key).select(key, (F.col("pos") + period).alias("pos"), F.col("gram").alias("bwt"))
     return order.join(chars, [key, "pos"], "left").select(key, "rank", "pos", F.coalesce("bwt", F.lit("$")).alias("bwt"))
 
 
 def occurrences(transformed: DataFrame, key: str) -> DataFrame:
     """transformed with occ_a, occ_c, occ_g, occ_t: how often each letter stands in bwt up to and with this rank."""
-    upto = Window.partitionBy(key).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    return transformed.select("*", *(F.sum((F.col("bwt") == b).cast("long")).over(upto).alias(f"occ_{b.lower()}") for b in seq.BASES))
+    names_ = {b: f"occ_{b.lower()}" for b in seq.BASES}
+    dealt = stored(transformed.repartitionByRange(key, "rank").withColumn("occ_part", F.spark_partition_id()), "occurrences")
+    sums = dealt.groupBy(key, "occ_part").agg(*(F.count_if(F.col("bwt") == b).alias(b) for b in names_))
+    before = Window.partitionBy(key).orderBy("occ_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sums.select(key, "occ_part", *(F.coalesce(F.sum(b).over(before), F.lit(0)).alias(f"before_{b}") for b in names_))
+    upto = Window.partitionBy(key, "occ_part").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)  # the part of one range
+    inner = dealt.select("*", *(F.sum((F.col("bwt") == b).cast("long")).over(upto).alias(n) for b, n in names_.items()))
+    return inner.join(shifts, [key, "occ_part"]).select(*transformed.columns, *((F.col(n) + F.col(f"before_{b}")).alias(n) for b, n in names_.items()))
 
 
 def first_column(df: DataFrame, text: str, key: str, period: int = 1) -> DataFrame:
@@ -56,8 +179,29 @@ def first_column(df: DataFrame, text: str, key: str, period: int = 1) -> DataFra
     return letters.select(key, F.inline(F.array(*rows)))
 
 
-def common_prefixes(df: DataFrame, order: DataFrame, text: str, key: str) -> DataFrame:
-    """order with lcp: characters shared with the suffix of the rank before (0 for the first)."""
-    held = order.join(df.select(key, text), key).select(key, "rank", "pos", F.expr(f"substring({text}, pos + 1)").alias("suffix"))
-    before = F.lag("suffix").over(Window.partitionBy(key).orderBy("rank"))
-    return held.withColumn("before", before).select(key, "rank", "pos", F.coalesce(seq.common_prefix(F.col("before"), F.col("suffix")), F.lit(0)).alias("lcp"))
+def common_prefixes(df: DataFrame, order: DataFrame, text: str, key: str, scope: str | None = None) -> DataFrame:
+    """order (key, pos, rank, and scope where it isn't the key) with lcp: characters shared with the suffix of the rank before in its scope (0 for the first).
+
+    Neighbours are compared piece by piece, 24 characters first; only those equal so far go on, in steps up to CHUNK.
+    """
+    by = F.lit(0) if scope == "" else F.col(scope or key)
+    rows = stored(order.select(by.alias("scope"), F.col(key).alias("id"), "pos", "rank"), "order")
+    before = rows.select("scope", (F.col("rank") + 1).alias("rank"), F.col("id").alias("other"), F.col("pos").alias("other_pos"))
+    open_ = rows.join(before, ["scope", "rank"])
+    held = chunks(df, text, CHUNK, key).select(F.col(key).alias("held"), "chunk_no", "piece")
+    off, found = 0, rows.where("rank = 0").select("scope", "id", "pos", "rank", F.lit(0).cast("long").alias("lcp"))
+
+    def site(at: Column, size: int) -> Column:
+        return F.substring("piece", (at % CHUNK).cast("int") + 1, F.lit(size))
+
+    for size in (24, *[CHUNK] * 1_000_000):
+        at, other_at = F.col("pos") + off, F.col("other_pos") + off
+        mine = open_.join(held, [F.col("id") == F.col("held"), F.floor(at / CHUNK).cast("int") == F.col("chunk_no")], "left").select("scope", "id", "pos", "rank", "other", "other_pos", F.coalesce(site(at, size), F.lit("")).alias("s"))
+        both = mine.join(held, [F.col("other") == F.col("held"), F.floor(other_at / CHUNK).cast("int") == F.col("chunk_no")], "left").select("scope", "id", "pos", "rank", "other", "other_pos", seq.common_prefix(F.col("s"), F.coalesce(site(other_at, size), F.lit(""))).alias("more"))
+        compared = stored(both, "prefixes")
+        found = found.unionByName(compared.where(F.col("more") < size).select("scope", "id", "pos", "rank", (F.col("more") + off).alias("lcp")))
+        open_ = compared.where(F.col("more") == size).drop("more")
+        off += size
+        if open_.isEmpty():
+            break
+    return found.select(*([] if scope in (None, "") else [F.col("scope").alias(scope)]), F.col("id").alias(key), "rank", "pos", "lcp")
