@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignments, indexes, scalars, searches, streams
+from . import alignments, files, indexes, scalars, searches, streams
 
-MODULES = (scalars, streams, indexes, alignments, searches)
+MODULES = (scalars, streams, indexes, alignments, searches, files)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

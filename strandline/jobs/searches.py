@@ -46,6 +46,23 @@ def find_scored(spark, d):
     return search.find_scored(table(spark, d, "part").select("p_partkey", F.lower("p_name").alias("name")), "name", "widget", 3, "p_partkey")
 
 
+def find_pex(spark, d):
+    """Ends in part names within one edit of the first seven letters of a part name."""
+    names = table(spark, d, "part").select("p_partkey", F.lower("p_name").alias("name"))
+    patterns = names.select(F.left("name", F.lit(7)).alias("pattern")).where(F.length("pattern") == 7).distinct().withColumn("pattern_id", F.col("pattern"))
+    return search.find_pieces(names, "name", patterns, 1, "p_partkey")
+
+
+def find_patterns(spark, d):
+    """Ends of matches of a pattern with optional, repeated and counted letters in part names."""
+    return search.find_wildcards(table(spark, d, "part").select("p_partkey", F.lower("p_name").alias("name")), "name", "[a-m]+r?.{1,2}[gt]e*", "p_partkey")
+
+
+def find_patterns_dna(spark, d):
+    """The same in the documents' DNA; counted by document."""
+    return search.find_wildcards(reference(spark, d), "dna", "AC?[GT]{2,3}A+", "seq_id").groupBy("seq_id").agg(F.count("*").alias("n"), F.max("end_pos").alias("last"))
+
+
 def guess_formats(spark, d):
     return table(spark, d, "documents").groupBy(guess_format(F.col("text")).alias("format")).agg(F.count("*").alias("n"))
 
@@ -57,6 +74,13 @@ JOBS = {
     "edit_pairs_k2": (edit_pairs_k2, "SELECT a.p_partkey AS a, b.p_partkey AS b, levenshtein(a.p_name, b.p_name)::INTEGER AS distance FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey WHERE length(a.p_name) >= 6 AND length(b.p_name) >= 6 AND levenshtein(a.p_name, b.p_name) <= 2"),
     "find_approximate": (find_approximate, "WITH s AS (SELECT p_partkey, name, unnest(range(1, length(name) + 1)) AS e FROM (SELECT p_partkey, lower(p_name) AS name FROM part)), d AS (SELECT p_partkey, e - 1 AS end_pos, least(levenshtein(substr(name, greatest(1, e - 2), least(3, e)), 'ring'), levenshtein(substr(name, greatest(1, e - 3), least(4, e)), 'ring'), levenshtein(substr(name, greatest(1, e - 4), least(5, e)), 'ring'))::INTEGER AS distance FROM s) SELECT * FROM d WHERE distance <= 1"),
     "swift_filter": (swift_filter, f"WITH {READS}, o AS (SELECT read_id, p AS off, substr(seq, p + 1, 8) AS gram FROM (SELECT read_id, seq, unnest(range(0, length(seq) - 7)) AS p FROM reads)), t AS ({windows_sql(8)}), h AS (SELECT read_id, seq_id, pos, off, pos - off AS diagonal FROM o JOIN t USING (gram)), b AS (SELECT read_id, seq_id, pos, off, diagonal >> 4 AS bucket FROM h WHERE diagonal >= 0 UNION ALL SELECT read_id, seq_id, pos, off, -((15 - diagonal) >> 4) FROM h WHERE diagonal < 0 UNION ALL SELECT read_id, seq_id, pos, off, (CASE WHEN diagonal >= 0 THEN diagonal >> 4 ELSE -((15 - diagonal) >> 4) END) - 1 FROM h WHERE ((diagonal % 16) + 16) % 16 < 2), n AS (SELECT *, coalesce((pos - lag(pos) OVER (PARTITION BY read_id, seq_id, bucket ORDER BY pos, off) >= 31)::INTEGER, 0) AS new FROM b), s AS (SELECT *, sum(new) OVER (PARTITION BY read_id, seq_id, bucket ORDER BY pos, off) AS stretch FROM n) SELECT read_id, seq_id, bucket, count(*) AS hits, min(pos) AS first_pos FROM s GROUP BY read_id, seq_id, bucket, stretch HAVING count(*) >= 13"),
-    "find_scored": (find_scored, None),
+    "find_scored": (find_scored, """WITH RECURSIVE d AS (SELECT p_partkey, lower(p_name) AS name, 0 AS j, [0, -2, -4, -6, -8, -10, -12] AS col FROM part UNION ALL
+SELECT p_partkey, name, j + 1, list_transform(range(1, 8), lambda i: list_max(list_transform(range(1, i + 1), lambda k: (CASE WHEN k = 1 THEN 0 ELSE greatest(col[k - 1] + CASE WHEN substr('widget', (k - 1)::INTEGER, 1) = substr(name, j + 1, 1) THEN 1 ELSE -1 END, col[k] - 2) END - 2 * (i - k))::INTEGER))) FROM d WHERE j < length(name))
+SELECT p_partkey, (j - 1)::BIGINT AS end_pos, col[7] AS score FROM d WHERE j > 0 AND col[7] >= 3"""),
+    "find_pex": (find_pex, """WITH n AS (SELECT p_partkey, lower(p_name) AS name FROM part), p AS (SELECT DISTINCT left(name, 7) AS pattern FROM n WHERE length(name) >= 7), s AS (SELECT p_partkey, name, unnest(range(1, length(name) + 1)) AS e FROM n)
+SELECT pattern AS pattern_id, p_partkey, e - 1 AS end_pos, least(levenshtein(substr(name, greatest(1, e - 5), least(6, e)), pattern), levenshtein(substr(name, greatest(1, e - 6), least(7, e)), pattern), levenshtein(substr(name, greatest(1, e - 7), least(8, e)), pattern))::INTEGER AS distance FROM s, p
+WHERE least(levenshtein(substr(name, greatest(1, e - 5), least(6, e)), pattern), levenshtein(substr(name, greatest(1, e - 6), least(7, e)), pattern), levenshtein(substr(name, greatest(1, e - 7), least(8, e)), pattern)) <= 1"""),
+    "find_patterns": (find_patterns, "WITH e AS (SELECT p_partkey, lower(p_name) AS name, unnest(range(1, length(p_name) + 1)) AS e FROM part) SELECT p_partkey, e - 1 AS end_pos FROM e WHERE regexp_matches(left(name, e), '[a-m]+r?.{1,2}[gt]e*$')"),
+    "find_patterns_dna": (find_patterns_dna, f"WITH {DNA}, s AS (SELECT seq_id, dna, unnest(range(0, length(dna))) AS p FROM reference), e AS (SELECT DISTINCT seq_id, p + length(x) AS e FROM (SELECT seq_id, p, unnest([regexp_extract(substr(dna, p + 1, 60), '^AC?[GT]{{2}}A+'), regexp_extract(substr(dna, p + 1, 60), '^AC?[GT]{{3}}A+')]) AS x FROM s) WHERE x <> ''), a AS (SELECT e.seq_id, e.e, unnest(range(0, 60)) AS back FROM e), h AS (SELECT DISTINCT a.seq_id, a.e - back - 1 AS end_pos FROM a JOIN reference USING (seq_id) WHERE substr(dna, a.e - back, back + 1) = repeat('A', back + 1) AND regexp_matches(substr(dna, greatest(1, a.e - back - 60), least(60, a.e - back - 1) + 1), 'AC?[GT]{{2,3}}A+$')) SELECT seq_id, count(*) AS n, max(end_pos) AS last FROM h GROUP BY 1"),
     "guess_formats": (guess_formats, "SELECT CASE left(text, 1) WHEN '>' THEN 'fasta' WHEN 'L' THEN 'genbank' WHEN 'I' THEN 'embl' ELSE 'raw' END AS format, count(*) AS n FROM documents GROUP BY 1"),
 }

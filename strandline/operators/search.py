@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .grams import windows
+from .grams import at_places, windows
+
+TOGETHER, NONE = 512, "\x00"
 
 
 def find_exact(df: DataFrame, text: str, pattern: str, key: str) -> DataFrame:
@@ -47,28 +52,149 @@ def close_pairs(df: DataFrame, text: str, key: str, block: list[str], k: int, le
     return met.withColumn("distance", F.levenshtein("s", "t", k)).where("distance >= 0").select("a", "b", "distance")
 
 
+def _by_columns(df: DataFrame, text: str, pattern: str, key: str, value: str, start: np.ndarray, step, hit) -> DataFrame:
+    """key, end_pos and the last cell of each dynamic-programming column that hit() accepts. Texts of like length advance together, a character at a time."""
+    codes = np.frombuffer(pattern.encode("utf-32-le"), "<u4")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keys = batch["k"].to_numpy()
+            texts = [np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), "<u4") for t in batch["t"]]
+            order = np.argsort([len(t) for t in texts], kind="stable")
+            for b in range(0, len(order), TOGETHER):
+                some = order[b : b + TOGETHER]
+                sizes = np.array([len(texts[i]) for i in some])
+                column = np.repeat(start[None, :], len(some), axis=0)
+                ends, rows, cells = [], [], []
+                for j in range(int(sizes[-1])):
+                    open_ = int(np.searchsorted(sizes, j, "right"))  # shorter texts are done
+                    letters = np.array([texts[i][j] for i in some[open_:]], np.uint32)
+                    column[open_:] = step(column[open_:], letters[:, None] == codes[None, :])
+                    at = open_ + np.flatnonzero(hit(column[open_:, -1]))
+                    rows.append(some[at])
+                    ends.append(np.full(len(at), j))
+                    cells.append(column[at, -1])
+                found = [np.concatenate([np.zeros(0, np.int64), *x]) for x in (rows, ends, cells)]
+                yield pd.DataFrame({key: keys[found[0]], "end_pos": found[1], value: found[2]})
+
+    return df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInPandas(run, f"{key} long, end_pos long, {value} int")
+
+
 def find_approximate(df: DataFrame, text: str, pattern: str, k: int, key: str) -> DataFrame:
-    """key, end_pos, distance: every end of a substring within edit distance k of the pattern (Sellers columns, vectorised over a batch's texts)."""
+    """key, end_pos, distance: every end of a substring within edit distance k of the pattern."""
+    places = np.arange(len(pattern) + 1)
+
+    def step(column: np.ndarray, same: np.ndarray) -> np.ndarray:
+        best = np.minimum(column[:, :-1] + ~same, column[:, 1:] + 1)
+        # deletions run down the column: a prefix minimum of value less place
+        return np.minimum.accumulate(np.pad(best, ((0, 0), (1, 0))) - places, axis=1) + places
+
+    return _by_columns(df, text, pattern, key, "distance", places, step, lambda x: x <= k)
+
+
+def find_scored(df: DataFrame, text: str, pattern: str, limit: int, key: str, match: int = 1, mismatch: int = -1, gap: int = -2) -> DataFrame:
+    """key, end_pos, score: ends of substrings that align with the whole pattern at a score of limit or more, gaps linear."""
+    falls = np.arange(len(pattern) + 1) * gap
+
+    def step(column: np.ndarray, same: np.ndarray) -> np.ndarray:
+        best = np.maximum(column[:, :-1] + np.where(same, match, mismatch), column[:, 1:] + gap)
+        return np.maximum.accumulate(np.pad(best, ((0, 0), (1, 0))) - falls, axis=1) + falls
 
-    def run(batches):
-        m = len(pattern)
+    return _by_columns(df, text, pattern, key, "score", falls, step, lambda x: x >= limit)
+
+
+def find_pieces(df: DataFrame, text: str, patterns: DataFrame, k: int, key: str) -> DataFrame:
+    """patterns: pattern_id, pattern (all longer than k). pattern_id, key, end_pos, distance: ends within edit distance k.
+
+    Of k + 1 pieces of a pattern, one stands unchanged where the pattern is within k edits. Pieces are joined with the
+    text's windows; around a hit, the pattern is compared in a window that holds every such place.
+    """
+    size = F.floor(F.length("pattern") / (k + 1)).cast("int")
+    cut = patterns.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(k)))).withColumn("at", F.col("i") * size).withColumn("piece", F.when(F.col("i") == k, F.expr("substring(pattern, at + 1)")).otherwise(F.substring(F.col("pattern"), F.col("at") + 1, size)))
+    q = patterns.agg(F.min(size)).first()[0] or 1
+    hits = find_multi(df, text, cut.select(F.struct("pattern_id", "pattern", "at").alias("pattern_id"), F.col("piece").alias("pattern")), key, q)
+    m = F.length("pattern_id.pattern")
+    begin = F.greatest(F.lit(0), F.col("pos") - F.col("pattern_id.at") - k)
+    asked = hits.select(key, "pattern_id.pattern_id", F.col("pattern_id.pattern").alias("pattern"), begin.alias("pos"), (m + 2 * k).cast("int").alias("size")).distinct()
+    longest = (patterns.agg(F.max(F.length("pattern"))).first()[0] or 1) + 2 * k
+    padded = df.select(key, F.concat(F.col(text), F.lit(NONE * longest)).alias("padded"))
+    sites = at_places(asked, padded, "padded", key, longest)
+    verify = sites.select(key, "pattern_id", "pattern", "pos", "site").mapInPandas(_verified(k, key), f"pattern_id {dict(patterns.dtypes)['pattern_id']}, {key} long, end_pos long, distance int")
+    return verify.groupBy("pattern_id", key, "end_pos").agg(F.min("distance").alias("distance"))
+
+
+def _verified(k: int, key: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            out = []
+            for pattern, some in batch.groupby("pattern"):
+                codes, places = np.frombuffer(pattern.encode("utf-32-le"), "<u4"), np.arange(len(pattern) + 1)
+                text = np.stack([np.frombuffer(s.encode("utf-32-le", "surrogatepass"), "<u4") for s in some["site"]])
+                column = np.repeat(places[None, :], len(text), axis=0)
+                for j in range(text.shape[1]):
+                    best = np.minimum(column[:, :-1] + (text[:, j, None] != codes), column[:, 1:] + 1)
+                    column = np.minimum.accumulate(np.pad(best, ((0, 0), (1, 0))) - places, axis=1) + places
+                    at = np.flatnonzero((column[:, -1] <= k) & (text[:, j] != ord(NONE)))
+                    out.append(pd.DataFrame({"pattern_id": some["pattern_id"].to_numpy()[at], key: some[key].to_numpy()[at], "end_pos": some["pos"].to_numpy()[at] + j, "distance": column[at, -1]}))
+            yield pd.concat(out) if out else pd.DataFrame({"pattern_id": [], key: [], "end_pos": [], "distance": []})
+
+    return run
+
+
+def wildcards(pattern: str) -> list[tuple[str | None, bool, bool]]:
+    """(letters, or None for any; may be left out; may repeat) of each place of a pattern of letters, ., [a-z], and * + ? {n,m} after them."""
+    out = []
+    for part in re.finditer(r"(\\.|\[[^\]]+\]|.)([*+?]|\{\d+(?:,\d+)?\})?", pattern, re.S):
+        item, times = part.groups()
+        if item == ".":
+            letters = None
+        elif item[0] == "[":
+            letters = "".join("".join(map(chr, range(ord(a), ord(b) + 1))) if b else c for a, b, c in re.findall(r"(.)-(.)|(.)", item[1:-1], re.S))
+        else:
+            letters = item[-1]
+        low, high = {None: (1, 1), "*": (0, None), "+": (1, None), "?": (0, 1)}.get(times, (0, 0)) if times is None or times[0] != "{" else (lambda n: (int(n[0]), int(n[-1])))(times[1:-1].split(","))
+        out += [(letters, False, False)] * low
+        if high is None:
+            out = [*out[:-1], (letters, False, True)] if low else [*out, (letters, True, True)]
+        else:
+            out += [(letters, True, False)] * (high - low)
+    return out
+
+
+def find_wildcards(df: DataFrame, text: str, pattern: str, key: str) -> DataFrame:
+    """key, end_pos: every place where a substring that matches the pattern ends. The pattern's places are bits of a number that moves on with each character."""
+    places = wildcards(pattern)
+    may_skip, may_stay = (sum(1 << i for i, p in enumerate(places) if p[n]) for n in (1, 2))
+    final = 1 << len(places) - 1
+
+    def entered(bits: int) -> int:
+        """Places that may be read next where those before them are done (bit i: place i is next)."""
+        while more := (bits & may_skip) << 1 & ~bits & ((final << 1) - 1):
+            bits |= more
+        return bits
+
+    ends = final
+    for i in reversed(range(1, len(places))):  # places that all others behind may leave out are ends too
+        if not places[i][1]:
+            break
+        ends |= 1 << i - 1
+    fixed = {c for p in places if p[0] for c in p[0]}
+    masks = {c: sum(1 << i for i, p in enumerate(places) if p[0] is None or c in p[0]) for c in fixed}
+    other, first = sum(1 << i for i, p in enumerate(places) if p[0] is None), entered(1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keys, found = [], []
             for row_key, t in zip(batch["k"], batch["t"]):
-                column = np.arange(m + 1)
-                ends, found = [], []
+                state = 0
                 for j, c in enumerate(t or ""):
-                    diagonal = column[:-1] + (np.frombuffer(pattern.encode("utf-32-le"), "<u4") != ord(c))
-                    best = np.minimum(diagonal, column[1:] + 1)
-                    # deletions run down the column: a prefix minimum of value less place
-                    steps = np.concatenate([[0], best]) - np.arange(m + 1)
-                    column = np.minimum.accumulate(steps) + np.arange(m + 1)
-                    if column[m] <= k:
-                        ends.append(j)
-                        found.append(int(column[m]))
-                yield pd.DataFrame({key: [row_key] * len(ends), "end_pos": ends, "distance": found})
+                    state = (entered(state << 1) | first | state & may_stay) & masks.get(c, other)
+                    if state & ends:
+                        keys.append(row_key)
+                        found.append(j)
+            yield pd.DataFrame({key: keys, "end_pos": found})
 
-    chosen = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    return chosen.mapInPandas(run, f"{key} long, end_pos long, distance int")
+    return df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInPandas(run, f"{key} long, end_pos long")
 
 
 def swift_filter(reads: DataFrame, reference: DataFrame, q: int, length: int, rate: float) -> DataFrame:
@@ -90,22 +216,3 @@ def swift_filter(reads: DataFrame, reference: DataFrame, q: int, length: int, ra
     opened = spread.withColumn("new", F.coalesce((F.col("pos") - F.lag("pos").over(w) >= gap).cast("int"), F.lit(0)))
     staged = opened.withColumn("stretch", F.sum("new").over(w))
     return staged.groupBy("read_id", "seq_id", "bucket", "stretch").agg(F.count("*").alias("hits"), F.min("pos").alias("first_pos")).where(F.col("hits") >= threshold).drop("stretch")
-
-
-def find_scored(df: DataFrame, text: str, pattern: str, limit: int, key: str, match: int = 1, mismatch: int = -1, gap: int = -2) -> DataFrame:
-    """key, end_pos, score: ends of substrings that align with the whole pattern at a score of limit or more, gaps linear."""
-
-    def run(batches):
-        codes, places = np.frombuffer(pattern.encode("utf-32-le"), "<u4"), np.arange(len(pattern) + 1)
-        for batch in batches:
-            for row_key, t in zip(batch["k"], batch["t"]):
-                column, ends, found = places * gap, [], []
-                for j, c in enumerate(t or ""):
-                    best = np.maximum(column[:-1] + np.where(codes == ord(c), match, mismatch), column[1:] + gap)
-                    column = np.maximum.accumulate(np.concatenate([[0], best]) - places * gap) + places * gap
-                    if column[-1] >= limit:
-                        ends.append(j)
-                        found.append(int(column[-1]))
-                yield pd.DataFrame({key: [row_key] * len(ends), "end_pos": ends, "score": found})
-
-    return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"{key} long, end_pos long, score int")

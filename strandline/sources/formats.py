@@ -1,10 +1,18 @@
-"""Sequence file formats as DataFrames. Every row comes from text lines; records are made by grouping, per file."""
+"""Sequence file formats as DataFrames.
+
+Spark cuts files at record separators (or lines) and reads their splits side by side; a record's number in its file comes
+from ranges of splits. Compressed files are one split each, but still read record by record.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.streams import counter
+
+from .tables import stored
+
 
 def guess_format(content: Column) -> Column:
     """fasta, genbank, embl or raw, by the first character."""
@@ -13,32 +21,50 @@ def guess_format(content: Column) -> Column:
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    """file, content: whole files; a record format needs all lines of a file in order."""
+    """file, content: whole files, for formats without records."""
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("content"))
 
 
-def _lines(files: DataFrame) -> DataFrame:
-    return files.select("file", F.posexplode(F.split("content", r"\r?\n")).alias("line_no", "line"))
+def _records(spark: SparkSession, path: str, separator: str) -> DataFrame:
+    """file, split, at, value: what lies between separators; split and at order a file's rows."""
+    rows = spark.read.text(path, lineSep=separator)
+    return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), "value")
+
+
+def _numbered(rows: DataFrame, name: str) -> DataFrame:
+    """rows (file, split, at and others) with their number in the file, from 0."""
+    placed = stored(counter(rows, "file", "split", "at"), "records")
+    first = placed.groupBy("file").agg(F.min("ord").alias("first"))
+    return placed.join(first, "file").withColumn(name, (F.col("ord") - F.col("first")).cast("int")).drop("split", "at", "ord", "first")
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """file, record_no, name (first word of the header), header, seq; sequences may span lines, and lines before the first header are left out."""
-    records = _files(spark, path).select("file", F.filter(F.split("content", r"(?:^|\r?\n)>"), lambda r: r != "").alias("r"), F.startswith("content", F.lit(">")).alias("starts"))
-    each = records.select("file", F.posexplode(F.when(F.col("starts"), F.col("r")).otherwise(F.slice("r", 2, 1_000_000_000))).alias("record_no", "record"))
+    cut = _records(spark, path, "\n>")
+    # only a file's first piece still has its sign
+    starts = (F.col("split") > 0) | F.startswith("value", F.lit(">")) | (F.row_number().over(Window.partitionBy("file", "split").orderBy("at")) > 1)
+    kept = cut.where("value <> ''").withColumn("starts", starts).where("starts").withColumn("record", F.regexp_replace("value", "^>", "")).drop("starts", "value")
     header = F.regexp_extract("record", r"^[^\r\n]*", 0)
-    return each.select("file", "record_no", F.regexp_extract(header, r"^\s*(\S*)", 1).alias("name"), header.alias("header"), F.regexp_replace(F.expr("substring(record, length(regexp_extract(record, '^[^\\\\r\\\\n]*', 0)) + 1)"), r"\s", "").alias("seq"))
-
-
-def first_records(records: DataFrame) -> DataFrame:
-    return records.where("record_no = 0")
+    sequence = F.regexp_replace(F.expr("substring(record, length(regexp_extract(record, '^[^\\\\r\\\\n]*', 0)) + 1)"), r"\s", "")
+    return _numbered(kept, "record_no").select("file", "record_no", F.regexp_extract(header, r"^\s*(\S*)", 1).alias("name"), header.alias("header"), sequence.alias("seq"))
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """file, record_no, name, seq of four-line records; compressed files are read as they are."""
-    rows = _lines(_files(spark, path)).where("line <> ''")
-    w = Window.partitionBy("file").orderBy("line_no")
-    placed = rows.withColumn("at", F.row_number().over(w) - 1)
-    return placed.groupBy("file", F.floor(F.col("at") / 4).cast("int").alias("record_no")).agg(F.max(F.when(F.col("at") % 4 == 0, F.expr("substring(line, 2)"))).alias("name"), F.max(F.when(F.col("at") % 4 == 1, F.col("line"))).alias("seq"))
+    lines = _records(spark, path, "\n").withColumn("line", F.rtrim("value", F.lit("\r"))).where("line <> ''").drop("value")
+    placed = _numbered(lines, "line_no")
+    at = F.col("line_no") % 4
+    return placed.groupBy("file", F.floor(F.col("line_no") / 4).cast("int").alias("record_no")).agg(F.max(F.when(at == 0, F.expr("substring(line, 2)"))).alias("name"), F.max(F.when(at == 1, F.col("line"))).alias("seq"))
+
+
+def read_entries(spark: SparkSession, path: str) -> DataFrame:
+    """file, record_no, content of the entries of GenBank or EMBL files, which end with lines of //."""
+    cut = _records(spark, path, "\n//").withColumn("content", F.regexp_replace("value", r"^[^\S\n]*\r?\n|^\s+$", "")).where("content <> ''").drop("value")
+    return _numbered(cut, "record_no").select("file", "record_no", "content")
+
+
+def first_records(records: DataFrame) -> DataFrame:
+    return records.where("record_no = 0")
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
