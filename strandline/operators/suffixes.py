@@ -20,7 +20,7 @@ from strandline.sources.tables import stored
 
 from .grams import CHUNK, chunks, windows
 
-HEAD, PAD = 24, "\x00"
+HEAD, FOLD, PAD = 24, 4, "\x00"
 
 
 def _runs(columns: list[pa.ChunkedArray]) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +54,7 @@ def _heads(df: DataFrame, text: str, key: str, scope: str | None, period: int, h
 def names(df: DataFrame, text: str, key: str, scope: str | None, period: int = 1, head: int = HEAD) -> DataFrame:
     """scope, id, pos, name, size: names order the suffixes of a scope; size suffixes have the same name, as they are equal.
 
-    Prefix doubling: at first a name is the place of the first suffix with the same first characters. Then, round by
+    Prefix doubling, by FOLD at a time: at first a name is the place of the first suffix with the same first characters. Then, round by
     round, the suffixes of a name are ordered by the names of those that start where the characters known so far end,
     and move on within the room of their name. Suffixes that are alone with their name are done.
     """
@@ -68,35 +68,37 @@ def names(df: DataFrame, text: str, key: str, scope: str | None, period: int = 1
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, part = _part(batches)
         if table is not None:
-            at, size = _runs([table["name"], table["next"]])
+            at, size = _runs([table[c] for c in ("name", *nexts)])
             of_name, _ = _runs([table["name"]])
-            columns = [*(table[c] for c in ("scope", "id", "pos", "name", "next")), pa.array(size), pa.array(at - of_name), pa.array(np.full(len(at), part)), pa.array(of_name == 0)]
-            yield from pa.table(columns, names=["scope", "id", "pos", "name", "next", "size", "step", "part", "opens"]).to_batches(50_000)
+            columns = [*(table[c] for c in ("scope", "id", "pos", "name", nexts[-1])), pa.array(size), pa.array(at - of_name), pa.array(np.full(len(at), part)), pa.array(of_name == 0)]
+            yield from pa.table(columns, names=["scope", "id", "pos", "name", "beyond", "size", "step", "part", "opens"]).to_batches(50_000)
 
     heads = _heads(df, text, key, scope, period, head)
     kinds = {f.name: f.dataType.simpleString() for f in heads.schema}
     base = f"scope {kinds['scope']}, id {kinds['id']}, pos long, name long"
     dealt = heads.repartitionByRange("scope", "gram").sortWithinPartitions("scope", "gram")
     active = stored(dealt.mapInArrow(first, f"{base}, size long"), "names")
+    nexts = [f"next{i}" for i in range(1, FOLD)]
     done, depth = active.where("size = 1"), head
     active = active.where("size > 1")
     while not active.isEmpty():
-        ahead = done.unionByName(active).select("id", (F.col("pos") - depth * period).alias("pos"), F.col("name").alias("next"))
-        # the few that are still open meet all names in an inner join, so that only they need to move
-        reached = ahead.join(active.select("id", "pos"), ["id", "pos"])
-        both = active.drop("size").join(reached, ["id", "pos"], "left").withColumn("next", F.coalesce("next", F.lit(-1)))
-        sorted_ = both.repartitionByRange("name", "next").sortWithinPartitions("name", "next")
-        refined = stored(sorted_.mapInArrow(refine, f"{base}, next long, size long, step long, part long, opens boolean"), "names")
+        # the few that are still open ask for the names further on, so that only they need to move
+        asked = active.select("id", "pos", F.explode(F.array(*map(F.lit, range(1, FOLD)))).alias("step")).withColumn("at", F.col("pos") + F.col("step") * depth * period)
+        every = done.unionByName(active).select(F.col("id").alias("of"), F.col("pos").alias("there"), F.col("name").alias("further"))
+        reached = asked.join(every, (F.col("id") == F.col("of")) & (F.col("at") == F.col("there"))).groupBy("id", "pos").agg(*(F.max(F.when(F.col("step") == i, F.col("further"))).alias(n) for i, n in enumerate(nexts, 1)))
+        both = active.drop("size").join(reached, ["id", "pos"], "left").withColumns({n: F.coalesce(n, F.lit(-1)) for n in nexts})
+        sorted_ = both.repartitionByRange("name", *nexts).sortWithinPartitions("name", *nexts)
+        refined = stored(sorted_.mapInArrow(refine, f"{base}, beyond long, size long, step long, part long, opens boolean"), "names")
         # a name's rows in the ranges before: a row per range and its first or last name
         ends = refined.groupBy("part").agg(F.max("name").alias("last")).join(refined.groupBy("part", "name").agg(F.count("*").alias("n")), "part").where("name = last")
         before = Window.partitionBy("name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
         opening = refined.where("opens").select("part", "name").distinct().withColumn("n", F.lit(0).cast("long"))
         spread = ends.select("part", "name", "n").unionByName(opening).groupBy("part", "name").agg(F.max("n").alias("n")).withColumn("shift", F.coalesce(F.sum("n").over(before), F.lit(0))).select("part", "name", "shift")
-        moved = refined.join(stored(spread, "shifts"), ["part", "name"], "left").select("scope", "id", "pos", (F.col("name") + F.col("step") + F.coalesce("shift", F.lit(0))).alias("name"), "size", "next")
+        moved = refined.join(stored(spread, "shifts"), ["part", "name"], "left").select("scope", "id", "pos", (F.col("name") + F.col("step") + F.coalesce("shift", F.lit(0))).alias("name"), "size", "beyond")
         # equal suffixes that end within the characters known can't be told apart
-        done = done.unionByName(moved.where("size = 1 or next < 0").drop("next"))
-        active = moved.where("size > 1 and next >= 0").drop("next")
-        depth *= 2
+        done = done.unionByName(moved.where("size = 1 or beyond < 0").drop("beyond"))
+        active = moved.where("size > 1 and beyond >= 0").drop("beyond")
+        depth *= FOLD
     return done
 
 

@@ -218,3 +218,79 @@ def test_repeats(ref, texts):
     assert got == want
     runs = {(r.seq_id, r.letter, r.run_len) for r in repeats.homopolymers(ref, "dna", "ACGT", 3, "seq_id").collect()}
     assert (6, "A", 4) in runs
+
+
+def test_suffix_order_of_one_long_text(spark):
+    base = dna(3000, 11)
+    long_ = base + "ACGT" * 400 + base[:2500] + "A" * 700 + dna(12_000, 12)
+    texts = {1: long_, 2: "A" * 90, 3: base[100:400]}
+    df = spark.createDataFrame(list(texts.items()), "seq_id long, dna string")
+    rows = suffixes.suffix_array(df, "dna", "seq_id").collect()
+    for i, t in texts.items():
+        mine = [r.pos for r in sorted((r for r in rows if r.seq_id == i), key=lambda r: r.rank)]
+        assert mine == sorted(range(len(t)), key=lambda p: t[p:])
+    every = [(r.seq_id, r.pos) for r in suffixes.collection_array(df, "dna", "seq_id").orderBy("rank").collect()]
+    assert every == sorted(((i, p) for i, t in texts.items() for p in range(len(t))), key=lambda x: (texts[x[0]][x[1] :], x))
+
+
+def brute_repeats(texts, least):
+    """gram: n, n_seqs, and whether it is supermaximal."""
+    from collections import defaultdict
+
+    places = defaultdict(list)
+    for i, t in texts.items():
+        for b in range(len(t)):
+            for e in range(b + least, len(t) + 1):
+                places[t[b:e]].append((i, t[b - 1] if b else f"^{i}", t[e] if e < len(t) else f"${i}"))
+    out = {}
+    for g, found in places.items():
+        n, seqs, left, right = len(found), *({x[k] for x in found} for k in range(3))
+        if n >= 2 and len(left) >= 2 and len(right) >= 2:
+            out[g] = (n, len(seqs), len(left) == n == len(right))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_repeats_of_every_length(spark, seed):
+    rng = random.Random(seed)
+    core = "".join(rng.choices("ACGT", k=60))
+    texts = {i: "".join(rng.choices("AC", k=rng.randrange(0, 40))) + core[rng.randrange(20) : rng.randrange(20, 61)] + "".join(rng.choices("ACGT", k=30)) for i in range(12)}
+    texts |= {20: texts[3], 21: "AAAAAAAAAA", 22: "", 23: "AC"}
+    df = spark.createDataFrame(list(texts.items()), "k long, t string")
+    want = brute_repeats(texts, 4)
+    assert {(r.gram, r.n, r.n_seqs) for r in repeats.maximal_repeats(df, "t", "k", 4).collect()} == {(g, n, s) for g, (n, s, _) in want.items()}
+    assert {(r.gram, r.n) for r in repeats.supermaximal_repeats(df, "t", "k", 4).collect()} == {(g, n) for g, (n, _, top) in want.items() if top}
+
+
+@pytest.mark.parametrize("pattern", ["A", "AC*G", "A+C?T", "[AC]{2,3}.T", "A.*T", "G{3}", "A?C?G?"])
+def test_wildcards(spark, pattern):
+    import re
+
+    texts = [dna(40, s) for s in range(5)] + ["", None, "AAAA"]
+    got = {(r.k, r.end_pos) for r in search.find_wildcards(spark.createDataFrame(list(enumerate(texts)), "k long, t string"), "t", pattern, "k").collect()}
+    assert got == {(k, e) for k, t in enumerate(texts) for e in range(len(t or "")) if any(re.fullmatch(pattern, t[b : e + 1]) for b in range(e + 1))}
+
+
+def test_pieces_equal_approximate_search(spark, ref):
+    patterns = [dna(24, 1), dna(700, 1)[100:130], "ACACACACAT", dna(12, 77)]
+    df = spark.createDataFrame(list(enumerate(patterns)), "pattern_id long, pattern string")
+    got = {(r.pattern_id, r.seq_id, r.end_pos, r.distance) for r in search.find_pieces(ref, "dna", df, 2, "seq_id").collect()}
+    want = {(i, r.seq_id, r.end_pos, r.distance) for i, p in enumerate(patterns) for r in search.find_approximate(ref, "dna", p, 2, "seq_id").collect()}
+    assert got == want and got
+
+
+def test_similarity_equals_brute_force(spark):
+    from collections import Counter
+
+    texts = {i: dna(60, i // 3) + dna(30, 100 + i) for i in range(12)} | {50: dna(60, 0) + dna(30, 100), 51: "ACACACACACACAC", 52: "ACACAC", 53: "", 54: "AC"}
+    pairs, groups = grams.similarity(spark.createDataFrame(list(texts.items()), "k long, t string"), "t", 5, "k", 0.4)
+    counts = {i: Counter(t[p : p + 5] for p in range(len(t) - 4)) for i, t in texts.items() if len(t) > 4}
+    heads = {i: min(j for j in counts if counts[j] == c) for i, c in counts.items()}
+    assert {r.k: r["class"] for r in groups.collect()} == heads
+    want = {}
+    for a in set(heads.values()):
+        for b in set(heads.values()):
+            sim = sum((counts[a] & counts[b]).values()) / min(sum(counts[a].values()), sum(counts[b].values()))
+            if a < b and sim >= 0.4:
+                want[a, b] = pytest.approx(sim)
+    assert {(r.a, r.b): r.sim for r in pairs.collect()} == want
