@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.sources.code import ship
+
 from .grams import at_places, windows
 
 TOGETHER, NONE = 512, "\x00"
@@ -77,6 +79,7 @@ def _by_columns(df: DataFrame, text: str, pattern: str, key: str, value: str, st
                 found = [np.concatenate([np.zeros(0, np.int64), *x]) for x in (rows, ends, cells)]
                 yield pd.DataFrame({key: keys[found[0]], "end_pos": found[1], value: found[2]})
 
+    ship(df.sparkSession)
     return df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInPandas(run, f"{key} long, end_pos long, {value} int")
 
 
@@ -119,6 +122,7 @@ def find_pieces(df: DataFrame, text: str, patterns: DataFrame, k: int, key: str)
     longest = (patterns.agg(F.max(F.length("pattern"))).first()[0] or 1) + 2 * k
     padded = df.select(key, F.concat(F.col(text), F.lit(NONE * longest)).alias("padded"))
     sites = at_places(asked, padded, "padded", key, longest)
+    ship(df.sparkSession)
     verify = sites.select(key, "pattern_id", "pattern", "pos", "site").mapInPandas(_verified(k, key), f"pattern_id {dict(patterns.dtypes)['pattern_id']}, {key} long, end_pos long, distance int")
     return verify.groupBy("pattern_id", key, "end_pos").agg(F.min("distance").alias("distance"))
 
@@ -194,6 +198,7 @@ def find_wildcards(df: DataFrame, text: str, pattern: str, key: str) -> DataFram
                         found.append(j)
             yield pd.DataFrame({key: keys, "end_pos": found})
 
+    ship(df.sparkSession)
     return df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInPandas(run, f"{key} long, end_pos long")
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import seq
+from strandline.sources.code import ship
 from strandline.sources.tables import stored
 
 from .grams import CHUNK, chunks, windows
@@ -73,6 +74,7 @@ def names(df: DataFrame, text: str, key: str, scope: str | None, period: int = 1
             columns = [*(table[c] for c in ("scope", "id", "pos", "name", nexts[-1])), pa.array(size), pa.array(at - of_name), pa.array(np.full(len(at), part)), pa.array(of_name == 0)]
             yield from pa.table(columns, names=["scope", "id", "pos", "name", "beyond", "size", "step", "part", "opens"]).to_batches(50_000)
 
+    ship(df.sparkSession)
     heads = _heads(df, text, key, scope, period, head)
     kinds = {f.name: f.dataType.simpleString() for f in heads.schema}
     base = f"scope {kinds['scope']}, id {kinds['id']}, pos long, name long"
