@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, jaccard_join, licenses, mixing, quality_rules, token_files, top_inner, toxicity, url_rules, weak_labels
+from . import byte_bpe, filter_audit, jaccard_join, licenses, mixing, packing, quality_rules, token_files, token_links, top_inner, toxicity, url_rules, weak_labels
 from .oracles import ORACLE_SQL
 from .shared import ship, table
 
@@ -62,6 +62,19 @@ def op10_top_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_inner.search_table(table(spark, sf_dir, "embeddings"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op13_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_links.link(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def _shipping(query):
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,4 +84,8 @@ def _shipping(query):
     return run
 
 
-QUERIES = {f.__name__: _shipping(f) for f in (op1_token_files, op2_byte_bpe, op3_toxicity, op4_url_rules, op5_quality_rules, op6_mixing, op7_weak_labels, op8_jaccard_join, op9_licenses, op10_top_inner)}
+NUMBERED = (
+    op1_token_files, op2_byte_bpe, op3_toxicity, op4_url_rules, op5_quality_rules, op6_mixing, op7_weak_labels, op8_jaccard_join, op9_licenses, op10_top_inner,
+    op11_filter_audit, op12_packing, op13_token_links,
+)
+QUERIES = {f.__name__: _shipping(f) for f in NUMBERED}
