@@ -60,7 +60,8 @@ def mask_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     and come back by a join whose crowded keys adaptive execution splits.
     """
     narrow = stored(facts(docs), "filter-facts")
-    smallest = narrow.groupBy("print").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).where("copies > 1").select(F.col("print").alias("of"), "least")
+    copied = narrow.groupBy("print").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).where("copies > 1")
+    smallest = stored(copied.select(F.col("print").alias("of"), "least"), "copied-texts")  # a side with its own exchange, so that a crowded print is split
     marked = labels.groupBy(F.col("doc_id").cast("long").alias("labelled")).agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     known = narrow.join(marked, F.col("doc_id") == F.col("labelled"), "left").join(smallest, F.col("print") == F.col("of"), "left")
     copy = F.when(F.col("doc_id") > F.col("least"), 1 << FILTERS.index("E")).otherwise(0)
