@@ -35,6 +35,14 @@ def pipe_joiner(spark, d):
     return S.joiner(left, right).select("ord", "event_id", "conv_id", "turn")
 
 
+def pipe_joiner3(spark, d):
+    """Three streams side by side, as long as the shortest."""
+    events = S.counter(_events(spark, d), "event_id").select("ord", "event_id")
+    turns = S.counter(table(spark, d, "conversations").select("conv_id", "turn"), "conv_id", "turn")
+    pages = S.counter(table(spark, d, "pages").select("page_id"), "page_id")
+    return S.joiner(events, turns, pages).select("ord", "event_id", "conv_id", "turn", "page_id")
+
+
 def pipe_shifter(spark, d):
     return S.shifter(_events(spark, d), "event_type", 2, GROUP, ORDER, blank="-").select("event_id", "shifted")
 
@@ -57,11 +65,8 @@ def pipe_sampler_dc7(spark, d):
 
 def pipe_mapper(spark, d):
     """Each user's stream turned round: the new ordinal is the number of later rows."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id")
-    rows = _events(spark, d).withColumn("ord", F.row_number().over(w.orderBy(*ORDER)) - 1).withColumn("n", F.count("*").over(w))
-    return S.mapper(rows, F.col("n") - 1 - F.col("ord")).select("event_id", "ord")
+    rows = S.placed(_events(spark, d), GROUP, ORDER, "ord", "left")
+    return S.mapper(rows, F.col("left") - 1).select("event_id", "ord")
 
 
 def pipe_sorter(spark, d):
@@ -99,6 +104,7 @@ JOBS = {
     "pipe_counter": (pipe_counter, "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS ord FROM events"),
     "pipe_namer": (pipe_namer, "SELECT event_id, dense_rank() OVER (ORDER BY user_id) - 1 AS name_id FROM events"),
     "pipe_joiner": (pipe_joiner, "WITH a AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS ord, event_id FROM events), b AS (SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS ord, conv_id, turn FROM conversations) SELECT ord, event_id, conv_id, turn FROM a JOIN b USING (ord)"),
+    "pipe_joiner3": (pipe_joiner3, "WITH a AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS ord, event_id FROM events), b AS (SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS ord, conv_id, turn FROM conversations), c AS (SELECT row_number() OVER (ORDER BY page_id) - 1 AS ord, page_id FROM pages) SELECT ord, event_id, conv_id, turn, page_id FROM a JOIN b USING (ord) JOIN c USING (ord)"),
     "pipe_shifter": (pipe_shifter, f"SELECT event_id, lead(event_type, 2, '-') {W} AS shifted FROM events"),
     "pipe_echoer": (pipe_echoer, f"SELECT event_id, echo FROM (SELECT event_id, event_type || '|' || lag(event_type, 1) {W} || '|' || lag(event_type, 2) {W} AS echo FROM events) WHERE echo IS NOT NULL"),
     "pipe_tupler": (pipe_tupler, f"SELECT event_id, tuple FROM (SELECT event_id, event_type || '|' || lead(event_type, 1) {W} || '|' || lead(event_type, 2) {W} AS tuple FROM events) WHERE tuple IS NOT NULL"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,38 +51,79 @@ def namer(df: DataFrame, *keys: str, name: str = "name_id") -> DataFrame:
     return df.join(ids, list(keys))
 
 
-def joiner(left: DataFrame, right: DataFrame, on: str = "ord") -> DataFrame:
-    """Positional zip: as long as the shorter stream."""
-    return left.join(right, on)
+def joiner(*streams: DataFrame, on: str = "ord") -> DataFrame:
+    """Positional zip of two streams or more: as long as the shortest."""
+    out = streams[0]
+    for other in streams[1:]:
+        out = out.join(other, on)
+    return out
+
+
+BLOCK = 1 << 16
+
+
+def _beside(df: DataFrame, group: list[str], order: list[str], before: int, after: int, columns: dict[str, Callable[[Callable[[Column, int], Column]], Column]]) -> DataFrame:
+    """df with columns made of rows up to before places before and after places behind each row in its group.
+
+    All rows are numbered in the order of group and order and cut into blocks of BLOCK rows, whatever group they are of;
+    rows near a block's edge also go to the blocks that look at them. So no group stands in one task as a whole.
+    columns: name and a function of at(value, places), which is null outside the group.
+    """
+    numbered = counter(df, *group, *order, name="stream_ord")
+    first, last = F.floor((F.col("stream_ord") - after) / BLOCK), F.floor((F.col("stream_ord") + before) / BLOCK)
+    spread = numbered.withColumn("stream_block", F.explode(F.sequence(first, last)))
+    w = Window.partitionBy("stream_block").orderBy("stream_ord")
+
+    def at(value: Column, places: int) -> Column:
+        move = (lambda c: F.lead(c, places).over(w)) if places >= 0 else (lambda c: F.lag(c, -places).over(w))
+        same = F.lit(True) if places == 0 else move(F.lit(True)).isNotNull()
+        for g in group:
+            same = same & (F.lit(True) if places == 0 else move(F.col(g)).eqNullSafe(F.col(g)))
+        return F.when(same, value if places == 0 else move(value))
+
+    made = spread.select("*", *(make(at).alias(name) for name, make in columns.items()))
+    return made.where(F.col("stream_block") == F.floor(F.col("stream_ord") / BLOCK)).drop("stream_ord", "stream_block")
+
+
+def placed(df: DataFrame, group: list[str], order: list[str], start: str = "from_start", end: str = "from_end") -> DataFrame:
+    """Appends each row's place in its group, from 0, and how many rows are left with it, from 1.
+
+    Places are differences to the group's first and last number. Those are joined, and a crowded group is split.
+    """
+    numbered = counter(df, *group, *order, name="stream_ord")
+    edges = stored(numbered.groupBy(*(F.col(g).alias(f"stream_{g}") for g in group)).agg(F.min("stream_ord").alias("stream_first"), F.max("stream_ord").alias("stream_last")), "edges")
+    same = F.lit(True)
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"stream_{g}"))
+    joined = numbered.join(edges, same)
+    return joined.select(*df.columns, (F.col("stream_ord") - F.col("stream_first")).alias(start), (F.col("stream_last") - F.col("stream_ord") + 1).alias(end))
 
 
 def shifter(df: DataFrame, value: str, delta: int, group: list[str], order: list[str], blank=None, name: str = "shifted") -> DataFrame:
-    """Appends the value delta places on (back, if negative) in its group, or the blank."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn(name, F.lead(value, delta, blank).over(w) if delta >= 0 else F.lag(value, -delta, blank).over(w))
+    """Appends the value delta places on (back, if negative) in its group, or the blank where there is no such row."""
+    def make(at):
+        return F.when(at(F.lit(True), delta), at(F.col(value), delta)).otherwise(F.lit(blank))
+
+    return _beside(df, group, order, max(0, -delta), max(0, delta), {name: make})
 
 
 def echoer(df: DataFrame, value: str, k: int, group: list[str], order: list[str], name: str = "echo") -> DataFrame:
     """Appends the array of the value and the k - 1 values before it, newest first; rows without so many are left out."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn(name, F.array(F.col(value), *(F.lag(value, i).over(w) for i in range(1, k)))).withColumn("echo_at", F.row_number().over(w)).where(F.col("echo_at") >= k).drop("echo_at")
+    columns = {name: lambda at: F.array(*(at(F.col(value), -i) for i in range(k))), "echo_full": lambda at: at(F.lit(True), 1 - k)}
+    return _beside(df, group, order, k - 1, 0, columns).where("echo_full").drop("echo_full")
 
 
 def tupler(df: DataFrame, value: str, k: int, group: list[str], order: list[str], name: str = "tuple", keep_last: bool = False) -> DataFrame:
     """Appends the array of the value and the k - 1 values after it. keep_last: rows near the end stay, with blanks (nulls)."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    out = df.withColumn(name, F.array(F.col(value), *(F.lead(value, i).over(w) for i in range(1, k))))
-    if keep_last:
-        return out
-    left = F.count("*").over(w.rowsBetween(0, Window.unboundedFollowing))
-    return out.withColumn("tuple_left", left).where(F.col("tuple_left") >= k).drop("tuple_left")
+    columns = {name: lambda at: F.array(*(at(F.col(value), i) for i in range(k))), "tuple_full": lambda at: at(F.lit(True), k - 1)}
+    out = _beside(df, group, order, 0, k - 1, columns)
+    return (out if keep_last else out.where("tuple_full")).drop("tuple_full")
 
 
 def sampler(df: DataFrame, value: str, m: int, cover: tuple[int, ...], group: list[str], order: list[str]) -> DataFrame:
     """m-tuples at the positions in a difference cover, counted from the end of the group."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    left = F.count("*").over(w.rowsBetween(0, Window.unboundedFollowing))
-    return tupler(df, value, m, group, order, keep_last=True).withColumn("from_end", left).where((F.col("from_end") % m).isin(*cover))
+    counted = placed(df, group, order).drop("from_start")
+    return tupler(counted, value, m, group, order, keep_last=True).where((F.col("from_end") % m).isin(*cover))
 
 
 def mapper(df: DataFrame, place: Column, name: str = "ord") -> DataFrame:
