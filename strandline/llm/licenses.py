@@ -6,11 +6,15 @@ cut into k + 1 exact pieces; wherever a text comes within k edits of the notice,
 bounded-error matching ({e<=k}, best match) verifies the edits and reports the span.
 
 Edge cases: null or empty text has no words, no labels, score 0 and null places; spans are character offsets in the
-normalised text (words joined by single spaces); repeated and overlapping hits of one notice are merged to the best.
+normalised text (words joined by single spaces); of overlapping hits of one notice the best stays, ties going to the
+first, and hits side by side all stay; rows that repeat a doc_id are scanned each; a null doc_id stays null; very long
+texts take time in proportion to their length and hits, and one text must fit in a task's memory; an empty table gives
+no rows; other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -63,25 +67,34 @@ def _scanner(notices: tuple[tuple[str, str, int], ...]):
 
 
 def find_notices(text: str, notices: tuple[tuple[str, str, int], ...] = NOTICES) -> list[tuple[int, int, int, int]]:
-    """(notice, start, end, errors) of the best non-overlapping fuzzy matches, in order. text: normalised."""
+    """(notice, start, end, errors) of the best non-overlapping fuzzy matches of each notice, in order. text: normalised.
+
+    A piece says where its notice would start; the match that it is part of lies within errors of there, so each start
+    has a window of its own, of about the notice's length. What a window's best match leaves on either side is searched
+    too. Of overlapping matches of a notice the one with fewest errors stays, then the first, then the shortest.
+    """
     automaton, patterns = _scanner(notices)
-    windows: dict[int, list[list[int]]] = {}
+    starts: dict[int, set[int]] = {}
     for end, (size, where) in automaton.iter(text):
         for i, at in where:
-            notice, _, errors = notices[i]
-            begin = end + 1 - size - at - errors
-            window = [max(0, begin), min(len(text), begin + len(notice) + 2 * errors)]
-            open_ones = windows.setdefault(i, [])
-            if open_ones and window[0] <= open_ones[-1][1]:
-                open_ones[-1][1] = max(open_ones[-1][1], window[1])
-                open_ones[-1][0] = min(open_ones[-1][0], window[0])
-            else:
-                open_ones.append(window)
-    found = set()
-    for i, spans in windows.items():
-        for a, b in spans:
-            for m in patterns[i].finditer(text, a, b):
-                found.add((i, m.start(), m.end(), sum(m.fuzzy_counts)))
+            starts.setdefault(i, set()).add(end + 1 - size - at)
+    found = []
+    for i, places in starts.items():
+        notice, _, errors = notices[i]
+        near, taken = set(), []
+        for place in places:
+            windows = [(max(0, place - errors), min(len(text), place + len(notice) + errors))]
+            while windows:
+                a, b = windows.pop()
+                m = patterns[i].search(text, a, b) if b - a >= max(1, len(notice) - errors) else None
+                if m and m.end() > m.start():
+                    near.add((sum(m.fuzzy_counts), m.start(), m.end()))
+                    windows += [(a, m.start()), (m.end(), b)]
+        for wrong, a, b in sorted(near):
+            k = bisect_left(taken, (a, b))
+            if (k == 0 or taken[k - 1][1] <= a) and (k == len(taken) or b <= taken[k][0]):
+                taken.insert(k, (a, b))
+                found.append((i, a, b, wrong))
     return sorted(found, key=lambda x: (x[1], x[0], x[2]))
 
 
