@@ -232,7 +232,7 @@ def candidates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> tu
     short = stored(single.where(f"kind = {SHORT}").select("doc_id").distinct(), "short")
     # pairs have no such bound: they are aggregated first, and the join can be split
     pairs = stored(index(_those(docs, short), frequent, False, size, percent).groupBy("entry", "print1").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")), "pairs")
-    shared = pairs.groupBy("entry").agg(F.count("*").alias("k")).where("k > 1").select("entry")
+    shared = stored(pairs.groupBy("entry").agg(F.count("*").alias("k")).where("k > 1").select("entry"), "shared")  # written, as below: both sides of the join then have exchanges, and a crowded entry is split
     met = single.where(f"kind = {SINGLE}").groupBy("entry", "print1").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")).unionByName(pairs.join(shared, "entry").select("entry", "print1", "doc_id", "n"))
     return stored(met.select("entry", "doc_id", "n"), "candidates"), every
 
@@ -384,10 +384,10 @@ def links(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, pivots: tu
         blocks = None
         if k:
             ranks = [F.min(F.struct(F.xxhash64("doc_id", F.lit(100 * step + i)).alias("r"), item.alias("x")))["x"] for i in range(k)]
-            chosen = open_.groupBy("entry").agg(F.array_distinct(F.array(*ranks)).alias("pivots"))
+            chosen = stored(open_.groupBy("entry").agg(F.array_distinct(F.array(*ranks)).alias("pivots")), "pivots")
             pairs = open_.join(chosen.hint("merge"), "entry").select(item.alias("x"), F.explode("pivots").alias("y"))
         else:  # in full: pairs of entries with few texts, blocks of those with many
-            counts = open_.groupBy("entry").agg(F.count("*").alias("k"))
+            counts = stored(open_.groupBy("entry").agg(F.count("*").alias("k")), "entry-counts")
             few = open_.join(counts.where(F.col("k") <= SMALL).select("entry"), "entry")
             many = stored(open_.join(counts.where(F.col("k") > SMALL).select("entry"), "entry"), "many")
             blocks = None if many.isEmpty() else block_links(docs, many, size, percent)
@@ -405,7 +405,7 @@ def links(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, pivots: tu
             break
         # entries whose texts are in one component have nothing left to compare
         moved = stored(open_.drop("component").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "open")
-        apart = moved.groupBy("entry").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("entry")
+        apart = stored(moved.groupBy("entry").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("entry"), "apart")
         open_ = stored(moved.join(apart.hint("merge"), "entry"), "open")
         if open_.isEmpty():
             break
