@@ -73,8 +73,9 @@ def first_column(spark, d):
 
 def lcp_table(spark, d):
     """The documents' suffixes with the common prefix of neighbours in suffix order."""
-    ref, order = _suffix(spark, d, 1)
-    return suffixes.common_prefixes(ref, order, "dna", "seq_id")
+    ref, levels = reference(spark, d), []
+    order = suffixes.ordered(ref, "dna", "seq_id", "seq_id", levels=levels).withColumnRenamed("id", "seq_id")
+    return suffixes.common_prefixes(ref, order, "dna", "seq_id", levels=levels)
 
 
 def limited_sa(spark, d):
@@ -103,6 +104,11 @@ def tandem_repeats(spark, d):
     return repeats.tandem(reference(spark, d), "dna", 2, 8, "seq_id")
 
 
+def tandem_all(spark, d):
+    """Maximal tandem repeats of all periods up to 12, of 12 letters or more."""
+    return repeats.tandem_all(reference(spark, d), "dna", 12, 12, "seq_id")
+
+
 def maximal_repeats(spark, d):
     return repeats.maximal(reference(spark, d), "dna", 9, "seq_id")
 
@@ -186,6 +192,11 @@ JOBS = {
     "sa_ranges": (sa_ranges, f"WITH {DNA}, {_sa(1)}, n AS (SELECT DISTINCT regexp_replace(translate(p_name, 'acgtn', 'ACGTN'), '[^ACGT]', '', 'g') AS pattern FROM part) SELECT pattern, seq_id, min(rank) AS first, max(rank) AS last FROM n JOIN sa ON substr(dna, pos + 1, 4) = left(pattern, 4) AND substr(dna, pos + 1, length(pattern)) = pattern WHERE length(pattern) >= 4 GROUP BY 1, 2"),
     "homopolymers": (homopolymers, f"WITH {DNA}, r AS (SELECT seq_id, unnest(regexp_extract_all(dna, 'A{{4,}}|C{{4,}}|G{{4,}}|T{{4,}}')) AS run FROM reference) SELECT seq_id, left(run, 1) AS letter, length(run)::INTEGER AS run_len, count(*) AS n FROM r GROUP BY 1, 2, 3"),
     "tandem_repeats": (tandem_repeats, f"WITH {DNA}, w AS ({windows_sql(3)}), e AS (SELECT seq_id, pos, pos - row_number() OVER (PARTITION BY seq_id ORDER BY pos) AS island FROM w WHERE substr(gram, 1, 1) = substr(gram, 3, 1)) SELECT seq_id, min(pos) AS pos, count(*) + 2 AS len FROM e GROUP BY seq_id, island HAVING count(*) + 2 >= 8"),
+    "tandem_all": (tandem_all, f"""WITH {DNA}, e AS (SELECT seq_id, dna, period, unnest(range(0, length(dna) - period)) AS i FROM reference, (SELECT unnest(range(1, 13)) AS period)),
+s AS (SELECT *, i - row_number() OVER (PARTITION BY seq_id, period ORDER BY i) AS island FROM e WHERE substr(dna, i + 1, 1) = substr(dna, i + 1 + period, 1)),
+r AS (SELECT seq_id, period, min(i) AS pos, count(*) + period AS len FROM s GROUP BY seq_id, period, island HAVING count(*) >= period AND count(*) + period >= 12),
+w AS (SELECT r.*, substr(dna, pos + 1, period) AS root FROM r JOIN reference USING (seq_id))
+SELECT seq_id, period::INTEGER AS period, pos, len FROM w WHERE len(list_filter(range(1, period), lambda d: period % d = 0 AND repeat(left(root, d), period // d) = root)) = 0"""),
     "maximal_repeats": (maximal_repeats, f"WITH {DNA}, p AS (SELECT seq_id, '^' || dna || '$' AS dna FROM reference), w AS ({windows_sql(11, 'p')}), g AS (SELECT substr(gram, 2, 9) AS gram, count(*) AS n, count(DISTINCT left(gram, 1)) AS l, count(DISTINCT right(gram, 1)) AS r, count(*) FILTER (left(gram, 1) = '^') AS s, count(*) FILTER (right(gram, 1) = '$') AS e FROM w GROUP BY 1) SELECT gram, n FROM g WHERE n >= 2 AND (l >= 2 OR s >= 2) AND (r >= 2 OR e >= 2)"),
     "shared_matches": (shared_matches, f"WITH {DNA}, p AS (SELECT seq_id, '^' || dna || '$' AS dna FROM reference), w AS ({windows_sql(11, 'p')}), g AS (SELECT substr(gram, 2, 9) AS gram, count(*) AS n, count(DISTINCT seq_id) AS n_seqs, count(DISTINCT left(gram, 1)) AS l, count(DISTINCT right(gram, 1)) AS r, count(*) FILTER (left(gram, 1) = '^') AS s, count(*) FILTER (right(gram, 1) = '$') AS e FROM w GROUP BY 1) SELECT gram, n, n_seqs FROM g WHERE n >= 2 AND (l >= 2 OR s >= 2) AND (r >= 2 OR e >= 2) AND n_seqs BETWEEN 3 AND 6"),
     "unique_matches": (unique_matches, f"WITH q AS (SELECT p_partkey, p_name AS family, lower(p_name) AS name FROM part), m AS (SELECT family, count(*) AS members FROM q GROUP BY 1 HAVING count(*) > 1), w AS ({windows_sql(3, 'q', 'name', 'p_partkey, family')}), c AS (SELECT family, gram, count(*) AS n, count(DISTINCT p_partkey) AS texts FROM w GROUP BY 1, 2) SELECT family, gram FROM c JOIN m USING (family) WHERE n = members AND texts = members"),

@@ -10,7 +10,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,28 +19,34 @@ from strandline.sources.code import ship
 from strandline.sources.tables import stored
 
 from .grams import CHUNK, chunks, windows
+from .streams import counter
 
 HEAD, FOLD, PAD = 24, 4, "\x00"
 
 
-def _runs(columns: list[pa.ChunkedArray]) -> tuple[np.ndarray, np.ndarray]:
-    """For each row of sorted columns the first row that equals it, and how many do."""
-    n = len(columns[0])
-    new = np.ones(n, bool)
-    if n > 1:
-        new[1:] = False
-        for c in columns:
-            c = c.combine_chunks()
-            new[1:] |= pc.not_equal(c.slice(1), c.slice(0, n - 1)).to_numpy(zero_copy_only=False)
-    first = np.flatnonzero(new)
-    sizes = np.diff(np.append(first, n))
-    return np.repeat(first, sizes), np.repeat(sizes, sizes)
+def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows with size: the sum of the sizes before each row of the range, and the range's number."""
+    total, part = 0, TaskContext.get().partitionId()
+    for batch in batches:
+        sizes = batch.column(batch.schema.get_field_index("size")).to_numpy()
+        before = total + np.cumsum(sizes) - sizes
+        total += int(sizes.sum())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.int64()), pa.array(np.full(len(sizes), part, np.int32))], names=[*batch.schema.names, "before", "part"])
 
 
-def _part(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Table | None, int]:
-    """A range of rows as a table (ranges are sized by the number of shuffle partitions), and its number."""
-    held = [b for b in batches if b.num_rows]
-    return (pa.Table.from_batches(held) if held else None), TaskContext.get().partitionId()
+def _ranked(rows: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """keys, size, first: of each distinct key how many rows have it and how many have a smaller one. A written table.
+
+    Equal keys are summed up before they are dealt by ranges, so a key is one row however many rows have it.
+    """
+    counted = rows.groupBy(*keys).agg(F.count("*").alias("size"))
+    dealt = counted.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in counted.schema)
+    summed = stored(dealt.mapInArrow(_running, f"{kinds}, before long, part int"), label)
+    parts = summed.groupBy("part").agg(F.sum("size").alias("n"))
+    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = parts.select("part", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("shift"))  # a row per range
+    return summed.join(F.broadcast(shifts), "part").select(*keys, "size", (F.col("before") + F.col("shift")).alias("first"))
 
 
 def _heads(df: DataFrame, text: str, key: str, scope: str | None, period: int, head: int) -> DataFrame:
@@ -52,69 +57,54 @@ def _heads(df: DataFrame, text: str, key: str, scope: str | None, period: int, h
     return every.select("scope", "id", "pos", F.rtrim(seq.spaced(F.col("gram"), period), F.lit(PAD)).alias("gram"))
 
 
-def names(df: DataFrame, text: str, key: str, scope: str | None, period: int = 1, head: int = HEAD) -> DataFrame:
-    """scope, id, pos, name, size: names order the suffixes of a scope; size suffixes have the same name, as they are equal.
-
-    Prefix doubling, by FOLD at a time: at first a name is the place of the first suffix with the same first characters. Then, round by
-    round, the suffixes of a name are ordered by the names of those that start where the characters known so far end,
-    and move on within the room of their name. Suffixes that are alone with their name are done.
-    """
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, part = _part(batches)
-        if table is not None:
-            at, size = _runs([table["scope"], table["gram"]])
-            yield from pa.table([*(table[c] for c in ("scope", "id", "pos")), pa.array((part << 40) + at), pa.array(size)], names=["scope", "id", "pos", "name", "size"]).to_batches(50_000)
+def names(df: DataFrame, text: str, key: str, scope: str | None, period: int = 1, head: int = HEAD, levels: list[tuple[int, DataFrame]] | None = None) -> DataFrame:
+    """scope, id, pos, name, size: names order the suffixes of all scopes, scope by scope; size suffixes have the same name, as they are equal.
 
-    def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, part = _part(batches)
-        if table is not None:
-            at, size = _runs([table[c] for c in ("name", *nexts)])
-            of_name, _ = _runs([table["name"]])
-            columns = [*(table[c] for c in ("scope", "id", "pos", "name", nexts[-1])), pa.array(size), pa.array(at - of_name), pa.array(np.full(len(at), part)), pa.array(of_name == 0)]
-            yield from pa.table(columns, names=["scope", "id", "pos", "name", "beyond", "size", "step", "part", "opens"]).to_batches(50_000)
+    A name is how many suffixes are smaller. Prefix doubling, by FOLD at a time: at first by the first head characters.
+    Then, round by round, the suffixes of a name are ordered by the names of those that start where the characters
+    known so far end, and move on within the room of their name. Suffixes that are alone with their name are done.
+    What is dealt by ranges are distinct keys; the rows get their name by a join on the key, in which a crowded key is split.
 
+    levels: gets (depth, table of id, pos, name) of the suffixes that share their first depth characters with others.
+    """
     ship(df.sparkSession)
-    heads = _heads(df, text, key, scope, period, head)
-    kinds = {f.name: f.dataType.simpleString() for f in heads.schema}
-    base = f"scope {kinds['scope']}, id {kinds['id']}, pos long, name long"
-    dealt = heads.repartitionByRange("scope", "gram").sortWithinPartitions("scope", "gram")
-    active = stored(dealt.mapInArrow(first, f"{base}, size long"), "names")
-    nexts = [f"next{i}" for i in range(1, FOLD)]
-    done, depth = active.where("size = 1"), head
-    active = active.where("size > 1")
+    heads = stored(_heads(df, text, key, scope, period, head), "heads")
+    found = _ranked(heads, ["scope", "gram"], "names")
+    named = stored(heads.join(stored(found, "first-names"), ["scope", "gram"]).select("scope", "id", "pos", F.col("first").alias("name"), "size"), "names")
+    nexts, depth = [f"next{i}" for i in range(1, FOLD)], head
+    done, active = named.where("size = 1"), named.where("size > 1")
     while not active.isEmpty():
+        if levels is not None:
+            levels.append((depth, active.select("id", "pos", "name")))
         # the few that are still open ask for the names further on, so that only they need to move
         asked = active.select("id", "pos", F.explode(F.array(*map(F.lit, range(1, FOLD)))).alias("step")).withColumn("at", F.col("pos") + F.col("step") * depth * period)
         every = done.unionByName(active).select(F.col("id").alias("of"), F.col("pos").alias("there"), F.col("name").alias("further"))
         reached = asked.join(every, (F.col("id") == F.col("of")) & (F.col("at") == F.col("there"))).groupBy("id", "pos").agg(*(F.max(F.when(F.col("step") == i, F.col("further"))).alias(n) for i, n in enumerate(nexts, 1)))
-        both = active.drop("size").join(reached, ["id", "pos"], "left").withColumns({n: F.coalesce(n, F.lit(-1)) for n in nexts})
-        sorted_ = both.repartitionByRange("name", *nexts).sortWithinPartitions("name", *nexts)
-        refined = stored(sorted_.mapInArrow(refine, f"{base}, beyond long, size long, step long, part long, opens boolean"), "names")
-        # a name's rows in the ranges before: a row per range and its first or last name
-        ends = refined.groupBy("part").agg(F.max("name").alias("last")).join(refined.groupBy("part", "name").agg(F.count("*").alias("n")), "part").where("name = last")
-        before = Window.partitionBy("name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-        opening = refined.where("opens").select("part", "name").distinct().withColumn("n", F.lit(0).cast("long"))
-        spread = ends.select("part", "name", "n").unionByName(opening).groupBy("part", "name").agg(F.max("n").alias("n")).withColumn("shift", F.coalesce(F.sum("n").over(before), F.lit(0))).select("part", "name", "shift")
-        moved = refined.join(stored(spread, "shifts"), ["part", "name"], "left").select("scope", "id", "pos", (F.col("name") + F.col("step") + F.coalesce("shift", F.lit(0))).alias("name"), "size", "beyond")
+        both = stored(active.drop("size").join(reached, ["id", "pos"], "left").withColumns({n: F.coalesce(n, F.lit(-1)) for n in nexts}), "asked")
+        ranked = stored(_ranked(both, ["name", *nexts], "names"), "refined")
+        opening = stored(ranked.groupBy("name").agg(F.min("first").alias("opens")), "openings")
+        placed = stored(ranked.join(opening, "name").withColumn("new", F.col("name") + F.col("first") - F.col("opens")).drop("first", "opens"), "moved")
+        moved = stored(both.join(placed, ["name", *nexts]).select("scope", "id", "pos", F.col("new").alias("name"), "size", F.col(nexts[-1]).alias("beyond")), "names")
         # equal suffixes that end within the characters known can't be told apart
         done = done.unionByName(moved.where("size = 1 or beyond < 0").drop("beyond"))
+        if levels is not None:
+            ended = moved.where("size > 1 and beyond < 0").select("id", "pos", "name")
+            levels.append((depth * FOLD, ended))
         active = moved.where("size > 1 and beyond >= 0").drop("beyond")
         depth *= FOLD
     return done
 
 
-def ordered(df: DataFrame, text: str, key: str, scope: str | None, period: int = 1) -> DataFrame:
-    """scope, id, pos, rank: suffixes of each scope in the order of every period-th character of theirs; ties by id and position."""
-    found = stored(names(df, text, key, scope, period), "named")
-    tie = F.row_number().over(Window.partitionBy("name").orderBy("id", "pos")) - 1  # equal suffixes: one at most for each text and place in the period
-    placed = found.where("size = 1").withColumn("tie", F.lit(0)).unionByName(found.where("size > 1").withColumn("tie", tie))
-    place = F.col("name").bitwiseAND(F.lit((1 << 40) - 1)) + F.col("tie")
-    placed = placed.select("scope", "id", "pos", F.shiftright("name", 40).alias("part"), place.alias("place"))
-    parts = placed.groupBy("scope", "part").agg(F.count("*").alias("n"), F.min("place").alias("first"))
-    before = Window.partitionBy("scope").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = parts.select("scope", "part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
-    return placed.join(shifts, ["scope", "part"]).select("scope", "id", "pos", (F.col("place") + F.col("shift")).alias("rank"))
+def ordered(df: DataFrame, text: str, key: str, scope: str | None, period: int = 1, levels: list[tuple[int, DataFrame]] | None = None) -> DataFrame:
+    """scope, id, pos, rank: suffixes of each scope in the order of every period-th character of theirs; ties by id and position. levels: see names()."""
+    found = stored(names(df, text, key, scope, period, levels=levels), "named")
+    # equal suffixes are numbered in one order of them all, of which each name has a stretch
+    tied = stored(counter(found.where("size > 1"), "name", "id", "pos", name="place"), "tied")
+    opening = stored(tied.groupBy("name").agg(F.min("place").alias("opens")), "openings")
+    apart = tied.join(opening, "name").select("scope", "id", "pos", (F.col("name") + F.col("place") - F.col("opens")).alias("place"))
+    placed = stored(found.where("size = 1").select("scope", "id", "pos", F.col("name").alias("place")).unionByName(apart), "places")
+    starts = stored(placed.groupBy("scope").agg(F.min("place").alias("opens")), "scopes")
+    return placed.join(starts, "scope").select("scope", "id", "pos", (F.col("place") - F.col("opens")).alias("rank"))
 
 
 def suffix_array(df: DataFrame, text: str, key: str, period: int = 1) -> DataFrame:
@@ -183,29 +173,52 @@ def first_column(df: DataFrame, text: str, key: str, period: int = 1) -> DataFra
     return letters.select(key, F.inline(F.array(*rows)))
 
 
-def common_prefixes(df: DataFrame, order: DataFrame, text: str, key: str, scope: str | None = None) -> DataFrame:
+def common_prefixes(df: DataFrame, order: DataFrame, text: str, key: str, scope: str | None = None, levels: list[tuple[int, DataFrame]] | None = None) -> DataFrame:
     """order (key, pos, rank, and scope where it isn't the key) with lcp: characters shared with the suffix of the rank before in its scope (0 for the first).
 
-    Neighbours are compared piece by piece, 24 characters first; only those equal so far go on, in steps up to CHUNK.
+    levels: as names() fills them for the scope (computed if not given). Neighbours whose names are equal at a depth
+    share so many characters and go on from there: from the deepest level down, each asked FOLD - 1 times, then by the
+    last HEAD characters themselves. The rounds grow with the logarithm of the longest copy.
     """
+    if levels is None:
+        levels = []
+        names(df, text, key, None if scope == "" else scope or key, levels=levels)
     by = F.lit(0) if scope == "" else F.col(scope or key)
     rows = stored(order.select(by.alias("scope"), F.col(key).alias("id"), "pos", "rank"), "order")
     before = rows.select("scope", (F.col("rank") + 1).alias("rank"), F.col("id").alias("other"), F.col("pos").alias("other_pos"))
-    open_ = rows.join(before, ["scope", "rank"])
-    held = chunks(df, text, CHUNK, key).select(F.col(key).alias("held"), "chunk_no", "piece")
-    off, found = 0, rows.where("rank = 0").select("scope", "id", "pos", "rank", F.lit(0).cast("long").alias("lcp"))
-
-    def site(at: Column, size: int) -> Column:
-        return F.substring("piece", (at % CHUNK).cast("int") + 1, F.lit(size))
-
-    for size in (24, *[CHUNK] * 1_000_000):
-        at, other_at = F.col("pos") + off, F.col("other_pos") + off
-        mine = open_.join(held, [F.col("id") == F.col("held"), F.floor(at / CHUNK).cast("int") == F.col("chunk_no")], "left").select("scope", "id", "pos", "rank", "other", "other_pos", F.coalesce(site(at, size), F.lit("")).alias("s"))
-        both = mine.join(held, [F.col("other") == F.col("held"), F.floor(other_at / CHUNK).cast("int") == F.col("chunk_no")], "left").select("scope", "id", "pos", "rank", "other", "other_pos", seq.common_prefix(F.col("s"), F.coalesce(site(other_at, size), F.lit(""))).alias("more"))
-        compared = stored(both, "prefixes")
-        found = found.unionByName(compared.where(F.col("more") < size).select("scope", "id", "pos", "rank", (F.col("more") + off).alias("lcp")))
-        open_ = compared.where(F.col("more") == size).drop("more")
-        off += size
-        if open_.isEmpty():
-            break
+    both = rows.join(before, ["scope", "rank"]).withColumn("off", F.lit(0).cast("long"))
+    tables: dict[int, DataFrame] = {}
+    for depth, table in levels:
+        tables[depth] = tables[depth].unionByName(table) if depth in tables else table
+    depths = sorted(tables, reverse=True)
+    columns = ["scope", "id", "pos", "rank", "other", "other_pos", "off"]
+    alone = None
+    if depths:  # those that differ in the first HEAD characters needn't be asked for more
+        both = stored(_same_name(both, tables[depths[-1]]), "pairs")
+        alone, both = both.where("not same").select(*columns), both.where("same").select(*columns)
+    for depth in depths:
+        for _ in range(FOLD - 1):
+            both = stored(_same_name(both, tables[depth]).withColumn("off", F.when(F.col("same"), F.col("off") + depth).otherwise(F.col("off"))).select(*columns), "pairs")
+    open_ = both if alone is None else alone.unionByName(both)
+    held = chunks(df, text, HEAD - 1, key).select(F.col(key).alias("held"), "chunk_no", "piece")
+    sizes = df.select(F.col(key).alias("sized"), F.length(text).cast("long").alias("n"))
+
+    def site(at: Column) -> Column:
+        return F.coalesce(F.substring("piece", (at % CHUNK).cast("int") + 1, F.lit(HEAD)), F.lit(""))
+
+    at, other_at = F.col("pos") + F.col("off"), F.col("other_pos") + F.col("off")
+    mine = open_.join(held, (F.col("id") == F.col("held")) & (F.floor(at / CHUNK).cast("int") == F.col("chunk_no")), "left").select(*columns, site(at).alias("s"))
+    compared = mine.join(held, (F.col("other") == F.col("held")) & (F.floor(other_at / CHUNK).cast("int") == F.col("chunk_no")), "left").select(*columns, seq.common_prefix(F.col("s"), site(other_at)).alias("more"))
+    # equal names of suffixes that end count as their whole depth
+    ends = compared.join(sizes, F.col("id") == F.col("sized"))
+    found = ends.select("scope", "id", "pos", "rank", F.least(F.col("off") + F.col("more"), F.col("n") - F.col("pos")).alias("lcp"))
+    found = rows.where("rank = 0").select("scope", "id", "pos", "rank", F.lit(0).cast("long").alias("lcp")).unionByName(found)
     return found.select(*([] if scope in (None, "") else [F.col("scope").alias(scope)]), F.col("id").alias(key), "rank", "pos", "lcp")
+
+
+def _same_name(pairs: DataFrame, level: DataFrame) -> DataFrame:
+    """pairs (id, pos, other, other_pos, off and others) with same: whether both suffixes, off characters on, have one name at the level."""
+    mine = level.select(F.col("id").alias("n_id"), F.col("pos").alias("n_pos"), F.col("name").alias("mine"))
+    theirs = level.select(F.col("id").alias("o_id"), F.col("pos").alias("o_pos"), F.col("name").alias("theirs"))
+    joined = pairs.join(mine, (F.col("id") == F.col("n_id")) & (F.col("pos") + F.col("off") == F.col("n_pos")), "left").join(theirs, (F.col("other") == F.col("o_id")) & (F.col("other_pos") + F.col("off") == F.col("o_pos")), "left")
+    return joined.withColumn("same", F.coalesce(F.col("mine") == F.col("theirs"), F.lit(False))).drop("n_id", "n_pos", "o_id", "o_pos", "mine", "theirs")
