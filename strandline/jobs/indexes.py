@@ -167,9 +167,17 @@ _BWT3 = "bwt AS (SELECT seq_id, rank, pos, CASE WHEN pos >= 3 THEN substr(dna, p
 _CLASSES = "c0 AS (SELECT gram, seq_id, count(*) AS cnt FROM w GROUP BY 1, 2), l AS (SELECT seq_id, sum(cnt)::BIGINT AS total, list(struct_pack(gram, cnt) ORDER BY gram) AS content FROM c0 GROUP BY 1), k AS (SELECT seq_id, min(seq_id) OVER (PARTITION BY content) AS class, total FROM l)"
 _SUBSTRINGS = """e AS (SELECT p_partkey, family, name, b, unnest(range(b + {least}, length(name) + 1)) AS e FROM (SELECT p_partkey, family, name, unnest(range(0, length(name))) AS b FROM q)), g AS (SELECT p_partkey, family, substr(name, b + 1, e - b) AS gram, CASE WHEN b = 0 THEN '^' || p_partkey ELSE substr(name, b, 1) END AS l, CASE WHEN e = length(name) THEN '$' || p_partkey ELSE substr(name, e + 1, 1) END AS r FROM e), m AS (SELECT family, gram, count(*) AS n, count(DISTINCT p_partkey) AS n_seqs, count(DISTINCT l) AS ls, count(DISTINCT r) AS rs FROM g GROUP BY 1, 2 HAVING count(*) >= 2 AND count(DISTINCT l) >= 2 AND count(DISTINCT r) >= 2)"""
 _BRANDS = "q AS (SELECT p_partkey, p_brand AS family, lower(p_name) AS name FROM part)"
+#: Windows of 20 letters that stand twice or more, in suffix order; what neighbours share is a repeat, and all places of its window that go on alike are its places.
+_REPEATS = f"""WITH {DNA}, p AS (SELECT seq_id, dna, unnest(range(0, length(dna) - 19)) AS pos FROM reference),
+w AS (SELECT *, substr(dna, pos + 1, 20) AS g FROM p), often AS (SELECT g FROM w GROUP BY g HAVING count(*) > 1),
+s AS MATERIALIZED (SELECT g, seq_id, pos, substr(dna, pos + 1) AS suffix, CASE WHEN pos = 0 THEN '^' || seq_id ELSE substr(dna, pos, 1) END AS l FROM w SEMI JOIN often USING (g)),
+n AS (SELECT g, suffix, lag(suffix) OVER (PARTITION BY g ORDER BY suffix, seq_id, pos) AS before FROM s),
+k AS (SELECT DISTINCT g, left(suffix, coalesce(list_position(list_transform(list_zip(string_split(before, ''), string_split(suffix, '')), lambda x: x[1] IS NOT DISTINCT FROM x[2]), false) - 1, length(suffix))) AS gram FROM n WHERE before IS NOT NULL),
+o AS (SELECT gram, seq_id, l, CASE WHEN length(suffix) = length(gram) THEN '$' || seq_id ELSE substr(suffix, length(gram) + 1, 1) END AS r FROM k JOIN s ON k.g = s.g AND starts_with(suffix, gram)),
+m AS (SELECT gram, count(*) AS n, count(DISTINCT seq_id) AS n_seqs, count(DISTINCT l) AS ls, count(DISTINCT r) AS rs FROM o GROUP BY gram)"""
 JOBS = {
-    "repeats_all": (repeats_all, None),
-    "supermax_repeats": (supermax_repeats, None),
+    "repeats_all": (repeats_all, f"{_REPEATS} SELECT gram, n, n_seqs FROM m WHERE ls > 1"),
+    "supermax_repeats": (supermax_repeats, f"{_REPEATS} SELECT gram, n FROM m WHERE n = ls AND n = rs"),
     "name_repeats": (name_repeats, f"WITH {_BRANDS}, {_SUBSTRINGS.format(least=3)} SELECT family, gram, n, n_seqs FROM m"),
     "name_mems": (name_mems, f"WITH {_BRANDS}, {_SUBSTRINGS.format(least=3)} SELECT family, gram, n, n_seqs FROM m WHERE n_seqs BETWEEN 3 AND 10"),
     "name_mums": (name_mums, f"WITH q AS (SELECT p_partkey, p_brand || '|' || p_type || '|' || p_size AS family, lower(p_name) AS name FROM part), c AS (SELECT family, count(*) AS members FROM q GROUP BY 1 HAVING count(*) > 1), {_SUBSTRINGS.format(least=2)} SELECT family, gram FROM m JOIN c USING (family) WHERE n = members AND n_seqs = members"),
