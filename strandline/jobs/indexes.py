@@ -158,6 +158,36 @@ def name_supermax(spark, d):
     return repeats.supermaximal_repeats(table(spark, d, "part").select("p_partkey", F.lower("p_name").alias("name")), "name", "p_partkey", 4)
 
 
+FREQUENT = 20
+
+
+def _frequencies(spark, d, predicate):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("seq_id"), F.coalesce(seq.normalize(F.col("text"), "keep_upper"), F.lit("")).alias("dna"), (F.col("lang") == "en").alias("english"))
+    found = repeats.frequencies(docs, "dna", "seq_id", F.coalesce("english", F.lit(False)), (True, False), F.col("freq_0") >= FREQUENT, predicate, FREQUENT)
+    return found.withColumnsRenamed({"freq_0": "english", "freq_1": "others"})
+
+
+def dfi_emerging(spark, d):
+    """Substrings of any length in 20 English documents or more and in a tenth as many others at most."""
+    return _frequencies(spark, d, F.col("freq_1") * 10 <= F.col("freq_0"))
+
+
+def dfi_common(spark, d):
+    """Those in 20 English documents or more and in half to twice as many others."""
+    return _frequencies(spark, d, (F.col("freq_1") * 2 >= F.col("freq_0")) & (F.col("freq_1") <= F.col("freq_0") * 2))
+
+
+def _frequencies_sql(predicate: str, longest: int = 40) -> str:
+    """Length by length: only places of substrings that are frequent enough are looked at one letter on."""
+    steps = ["""o1 AS MATERIALIZED (SELECT seq_id, english, dna, pos, substr(dna, pos + 1, 1) AS gram FROM (SELECT *, unnest(range(0, length(dna))) AS pos FROM (
+SELECT doc_id AS seq_id, coalesce(lang = 'en', false) AS english, coalesce(regexp_replace(translate(text, 'acgtn', 'ACGTN'), '[^ACGT]', '', 'g'), '') AS dna FROM documents)))"""]
+    for k in range(1, longest + 1):
+        steps.append(f"a{k} AS MATERIALIZED (SELECT gram, count(*) AS n, count(DISTINCT seq_id) FILTER (english) AS english, count(DISTINCT seq_id) FILTER (NOT english) AS others FROM o{k} GROUP BY gram)")
+        steps.append(f"o{k + 1} AS MATERIALIZED (SELECT seq_id, o.english, dna, pos, substr(dna, pos + 1, {k + 1}) AS gram FROM o{k} o SEMI JOIN (SELECT gram FROM a{k} WHERE english >= {FREQUENT}) f USING (gram) WHERE pos + {k + 1} <= length(dna))")
+    nodes = " UNION ALL ".join(f"SELECT a.gram, n, english, others FROM a{k} a LEFT JOIN (SELECT left(gram, {k}) AS gram, max(n) AS most FROM a{k + 1} GROUP BY 1) m USING (gram) WHERE coalesce(most, 0) < n AND english >= {FREQUENT}" for k in range(1, longest))
+    return f"WITH {', '.join(steps)} SELECT gram, n, english, others FROM ({nodes}) WHERE {predicate}"
+
+
 def _sa(period: int) -> str:
     key = "substr(dna, p + 1)" if period == 1 else f"regexp_replace(substr(dna, p + 1), '(.).{{0,{period - 1}}}', '\\1', 'g')"
     return f"sa AS (SELECT seq_id, dna, p AS pos, row_number() OVER (PARTITION BY seq_id ORDER BY {key}, p) - 1 AS rank FROM (SELECT seq_id, dna, unnest(range(0, length(dna))) AS p FROM reference))"
@@ -205,6 +235,8 @@ s AS (SELECT *, i - row_number() OVER (PARTITION BY seq_id, period ORDER BY i) A
 r AS (SELECT seq_id, period, min(i) AS pos, count(*) + period AS len FROM s GROUP BY seq_id, period, island HAVING count(*) >= period AND count(*) + period >= 12),
 w AS (SELECT r.*, substr(dna, pos + 1, period) AS root FROM r JOIN reference USING (seq_id))
 SELECT seq_id, period::INTEGER AS period, pos, len FROM w WHERE len(list_filter(range(1, period), lambda d: period % d = 0 AND repeat(left(root, d), period // d) = root)) = 0"""),
+    "dfi_emerging": (dfi_emerging, _frequencies_sql("others * 10 <= english")),
+    "dfi_common": (dfi_common, _frequencies_sql("others * 2 >= english AND others <= english * 2")),
     "maximal_repeats": (maximal_repeats, f"WITH {DNA}, p AS (SELECT seq_id, '^' || dna || '$' AS dna FROM reference), w AS ({windows_sql(11, 'p')}), g AS (SELECT substr(gram, 2, 9) AS gram, count(*) AS n, count(DISTINCT left(gram, 1)) AS l, count(DISTINCT right(gram, 1)) AS r, count(*) FILTER (left(gram, 1) = '^') AS s, count(*) FILTER (right(gram, 1) = '$') AS e FROM w GROUP BY 1) SELECT gram, n FROM g WHERE n >= 2 AND (l >= 2 OR s >= 2) AND (r >= 2 OR e >= 2)"),
     "shared_matches": (shared_matches, f"WITH {DNA}, p AS (SELECT seq_id, '^' || dna || '$' AS dna FROM reference), w AS ({windows_sql(11, 'p')}), g AS (SELECT substr(gram, 2, 9) AS gram, count(*) AS n, count(DISTINCT seq_id) AS n_seqs, count(DISTINCT left(gram, 1)) AS l, count(DISTINCT right(gram, 1)) AS r, count(*) FILTER (left(gram, 1) = '^') AS s, count(*) FILTER (right(gram, 1) = '$') AS e FROM w GROUP BY 1) SELECT gram, n, n_seqs FROM g WHERE n >= 2 AND (l >= 2 OR s >= 2) AND (r >= 2 OR e >= 2) AND n_seqs BETWEEN 3 AND 6"),
     "unique_matches": (unique_matches, f"WITH q AS (SELECT p_partkey, p_name AS family, lower(p_name) AS name FROM part), m AS (SELECT family, count(*) AS members FROM q GROUP BY 1 HAVING count(*) > 1), w AS ({windows_sql(3, 'q', 'name', 'p_partkey, family')}), c AS (SELECT family, gram, count(*) AS n, count(DISTINCT p_partkey) AS texts FROM w GROUP BY 1, 2) SELECT family, gram FROM c JOIN m USING (family) WHERE n = members AND texts = members"),
