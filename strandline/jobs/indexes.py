@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandline.functions import seq
-from strandline.operators import grams, repeats, suffixes
-from strandline.sources.tables import stored, table
+from strandline.operators import grams, kept, repeats, suffixes
+from strandline.sources.tables import scratch, table
 
 from .common import DNA, reference, windows_sql
 
@@ -90,10 +90,16 @@ def sa_blocks(spark, d):
 
 
 def sa_ranges(spark, d):
-    """Ranks of the suffixes that start with each part's DNA of four letters or more."""
-    ref, order = _suffix(spark, d, 1)
+    """Ranks of the suffixes that start with each part's DNA of four letters or more, searched in the written order."""
+    ref, path = reference(spark, d), scratch(spark, "order")
+    kept.build_order(ref, "dna", "seq_id", path, "seq_id")
     names = table(spark, d, "part").select(seq.normalize(F.col("p_name"), "keep_upper").alias("pattern")).where(F.length("pattern") >= 4).distinct()
-    return suffixes.pattern_ranges(order, ref, "dna", "seq_id", names, 4)
+    return kept.search_order(spark, path, names, ref, "dna", "seq_id")
+
+
+def rotations(spark, d):
+    """The rotations of every document's DNA in order, with their last letters."""
+    return suffixes.rotations(reference(spark, d), "dna", "seq_id")
 
 
 def homopolymers(spark, d):
@@ -228,6 +234,7 @@ JOBS = {
     "limited_sa": (limited_sa, f"WITH {DNA}, p AS (SELECT seq_id, unnest(range(0, length(dna))) AS pos, dna FROM reference) SELECT seq_id, pos, row_number() OVER (PARTITION BY seq_id ORDER BY regexp_replace(substr(dna, pos + 1, 22), '(.).{{0,2}}', '\\1', 'g'), pos) - 1 AS rank FROM p"),
     "sa_blocks": (sa_blocks, f"WITH {DNA}, {_sa(3)} SELECT seq_id, substr(dna, pos + 1, 1) || substr(dna, pos + 4, 1) AS head, min(rank) AS first, max(rank) AS last FROM sa GROUP BY 1, 2"),
     "sa_ranges": (sa_ranges, f"WITH {DNA}, {_sa(1)}, n AS (SELECT DISTINCT regexp_replace(translate(p_name, 'acgtn', 'ACGTN'), '[^ACGT]', '', 'g') AS pattern FROM part) SELECT pattern, seq_id, min(rank) AS first, max(rank) AS last FROM n JOIN sa ON substr(dna, pos + 1, 4) = left(pattern, 4) AND substr(dna, pos + 1, length(pattern)) = pattern WHERE length(pattern) >= 4 GROUP BY 1, 2"),
+    "rotations": (rotations, f"WITH {DNA}, r AS (SELECT seq_id, p AS pos, substr(dna || dna, p + 1, length(dna)) AS turned FROM (SELECT seq_id, dna, unnest(range(0, length(dna))) AS p FROM reference)) SELECT seq_id, row_number() OVER (PARTITION BY seq_id ORDER BY turned, pos) - 1 AS rank, pos, right(turned, 1) AS last FROM r"),
     "homopolymers": (homopolymers, f"WITH {DNA}, r AS (SELECT seq_id, unnest(regexp_extract_all(dna, 'A{{4,}}|C{{4,}}|G{{4,}}|T{{4,}}')) AS run FROM reference) SELECT seq_id, left(run, 1) AS letter, length(run)::INTEGER AS run_len, count(*) AS n FROM r GROUP BY 1, 2, 3"),
     "tandem_repeats": (tandem_repeats, f"WITH {DNA}, w AS ({windows_sql(3)}), e AS (SELECT seq_id, pos, pos - row_number() OVER (PARTITION BY seq_id ORDER BY pos) AS island FROM w WHERE substr(gram, 1, 1) = substr(gram, 3, 1)) SELECT seq_id, min(pos) AS pos, count(*) + 2 AS len FROM e GROUP BY seq_id, island HAVING count(*) + 2 >= 8"),
     "tandem_all": (tandem_all, f"""WITH {DNA}, e AS (SELECT seq_id, dna, period, unnest(range(0, length(dna) - period)) AS i FROM reference, (SELECT unnest(range(1, 13)) AS period)),

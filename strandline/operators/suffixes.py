@@ -49,15 +49,19 @@ def _ranked(rows: DataFrame, keys: list[str], label: str) -> DataFrame:
     return summed.join(F.broadcast(shifts), "part").select(*keys, "size", (F.col("before") + F.col("shift")).alias("first"))
 
 
-def _heads(df: DataFrame, text: str, key: str, scope: str | None, period: int, head: int) -> DataFrame:
-    """scope, id, pos, gram: each suffix's first head characters, period apart (fewer where the text ends)."""
+def _heads(df: DataFrame, text: str, key: str, scope: str | None, period: int, head: int, cyclic: bool = False) -> DataFrame:
+    """scope, id, pos, gram: each suffix's first head characters, period apart (fewer where the text ends). cyclic: those of each rotation."""
     span = (head - 1) * period + 1
+    if cyclic:
+        round_ = F.expr(f"left(repeat({text}, cast(ceil({span} / length({text})) as int)), {span - 1})")
+        rows = df.where(F.length(text) > 0).select(F.lit(0).alias("scope") if scope is None else F.col(scope).alias("scope"), F.col(key).alias("id"), F.concat(F.col(text), round_).alias("padded"))
+        return windows(rows, "padded", span, "scope", "id").select("scope", "id", "pos", seq.spaced(F.col("gram"), period).alias("gram"))
     padded = df.where(F.length(text) > 0).select(F.lit(0).alias("scope") if scope is None else F.col(scope).alias("scope"), F.col(key).alias("id"), F.concat(F.col(text), F.lit(PAD * (span - 1))).alias("padded"))
     every = windows(padded, "padded", span, "scope", "id")
     return every.select("scope", "id", "pos", F.rtrim(seq.spaced(F.col("gram"), period), F.lit(PAD)).alias("gram"))
 
 
-def names(df: DataFrame, text: str, key: str, scope: str | None, period: int = 1, head: int = HEAD, levels: list[tuple[int, DataFrame]] | None = None) -> DataFrame:
+def names(df: DataFrame, text: str, key: str, scope: str | None, period: int = 1, head: int = HEAD, levels: list[tuple[int, DataFrame]] | None = None, cyclic: bool = False) -> DataFrame:
     """scope, id, pos, name, size: names order the suffixes of all scopes, scope by scope; size suffixes have the same name, as they are equal.
 
     A name is how many suffixes are smaller. Prefix doubling, by FOLD at a time: at first by the first head characters.
@@ -66,18 +70,26 @@ def names(df: DataFrame, text: str, key: str, scope: str | None, period: int = 1
     What is dealt by ranges are distinct keys; the rows get their name by a join on the key, in which a crowded key is split.
 
     levels: gets (depth, table of id, pos, name) of the suffixes that share their first depth characters with others.
+    cyclic: rotations instead of suffixes (with a period of 1): places go on at the text's start, until as many characters
+    as the text has are known.
     """
     ship(df.sparkSession)
-    heads = stored(_heads(df, text, key, scope, period, head), "heads")
+    heads = stored(_heads(df, text, key, scope, period, head, cyclic), "heads")
+    sizes = stored(df.select(F.col(key).alias("id"), F.length(text).cast("long").alias("n")), "lengths") if cyclic else None
     found = _ranked(heads, ["scope", "gram"], "names")
     named = stored(heads.join(stored(found, "first-names"), ["scope", "gram"]).select("scope", "id", "pos", F.col("first").alias("name"), "size"), "names")
     nexts, depth = [f"next{i}" for i in range(1, FOLD)], head
     done, active = named.where("size = 1"), named.where("size > 1")
+    if cyclic:
+        known = active.join(sizes, "id").select(*active.columns, (F.col("n") > depth).alias("open"))
+        done, active = done.unionByName(known.where("not open").drop("open")), known.where("open").drop("open")
     while not active.isEmpty():
         if levels is not None:
             levels.append((depth, active.select("id", "pos", "name")))
         # the few that are still open ask for the names further on, so that only they need to move
         asked = active.select("id", "pos", F.explode(F.array(*map(F.lit, range(1, FOLD)))).alias("step")).withColumn("at", F.col("pos") + F.col("step") * depth * period)
+        if cyclic:
+            asked = asked.join(sizes, "id").withColumn("at", F.col("at") % F.col("n")).drop("n")
         every = done.unionByName(active).select(F.col("id").alias("of"), F.col("pos").alias("there"), F.col("name").alias("further"))
         reached = asked.join(every, (F.col("id") == F.col("of")) & (F.col("at") == F.col("there"))).groupBy("id", "pos").agg(*(F.max(F.when(F.col("step") == i, F.col("further"))).alias(n) for i, n in enumerate(nexts, 1)))
         both = stored(active.drop("size").join(reached, ["id", "pos"], "left").withColumns({n: F.coalesce(n, F.lit(-1)) for n in nexts}), "asked")
@@ -85,6 +97,8 @@ def names(df: DataFrame, text: str, key: str, scope: str | None, period: int = 1
         opening = stored(ranked.groupBy("name").agg(F.min("first").alias("opens")), "openings")
         placed = stored(ranked.join(opening, "name").withColumn("new", F.col("name") + F.col("first") - F.col("opens")).drop("first", "opens"), "moved")
         moved = stored(both.join(placed, ["name", *nexts]).select("scope", "id", "pos", F.col("new").alias("name"), "size", F.col(nexts[-1]).alias("beyond")), "names")
+        if cyclic:
+            moved = moved.join(sizes, "id").withColumn("beyond", F.when(F.col("n") > depth * FOLD, 0).otherwise(-1)).drop("n")
         # equal suffixes that end within the characters known can't be told apart
         done = done.unionByName(moved.where("size = 1 or beyond < 0").drop("beyond"))
         if levels is not None:
@@ -95,9 +109,9 @@ def names(df: DataFrame, text: str, key: str, scope: str | None, period: int = 1
     return done
 
 
-def ordered(df: DataFrame, text: str, key: str, scope: str | None, period: int = 1, levels: list[tuple[int, DataFrame]] | None = None) -> DataFrame:
-    """scope, id, pos, rank: suffixes of each scope in the order of every period-th character of theirs; ties by id and position. levels: see names()."""
-    found = stored(names(df, text, key, scope, period, levels=levels), "named")
+def ordered(df: DataFrame, text: str, key: str, scope: str | None, period: int = 1, levels: list[tuple[int, DataFrame]] | None = None, cyclic: bool = False) -> DataFrame:
+    """scope, id, pos, rank: suffixes of each scope in the order of every period-th character of theirs; ties by id and position. levels, cyclic: see names()."""
+    found = stored(names(df, text, key, scope, period, levels=levels, cyclic=cyclic), "named")
     # equal suffixes are numbered in one order of them all, of which each name has a stretch
     tied = stored(counter(found.where("size > 1"), "name", "id", "pos", name="place"), "tied")
     opening = stored(tied.groupBy("name").agg(F.min("place").alias("opens")), "openings")
@@ -112,6 +126,15 @@ def suffix_array(df: DataFrame, text: str, key: str, period: int = 1) -> DataFra
     return ordered(df, text, key, key, period).select(F.col("scope").alias(key), "rank", "pos")
 
 
+def rotations(df: DataFrame, text: str, key: str) -> DataFrame:
+    """key, rank, pos, last: each text's rotations in order, by where they start, with their last character (the transform); equal ones by position."""
+    order = ordered(df, text, key, key, cyclic=True)
+    sizes = stored(df.select(F.col(key).alias("sized"), F.length(text).cast("long").alias("n")), "lengths")
+    ends = order.join(sizes, F.col("id") == F.col("sized")).select("id", "pos", "rank", F.pmod(F.col("pos") - 1, F.col("n")).alias("end"))
+    chars = windows(df, text, 1, key).select(F.col(key).alias("of"), F.col("pos").alias("at"), F.col("gram").alias("last"))
+    return ends.join(chars, (F.col("id") == F.col("of")) & (F.col("end") == F.col("at"))).select(F.col("id").alias(key), "rank", "pos", "last")
+
+
 def collection_array(df: DataFrame, text: str, key: str) -> DataFrame:
     """key, pos, rank: suffixes of all texts together; ties by key and position."""
     return ordered(df, text, key, None).select(F.col("id").alias(key), "pos", "rank")
@@ -133,14 +156,6 @@ def blocks(order: DataFrame, df: DataFrame, text: str, key: str, length: int, pe
     return order.join(heads, [key, "pos"]).groupBy(key, "head").agg(F.min("rank").alias("first"), F.max("rank").alias("last"))
 
 
-def pattern_ranges(order: DataFrame, df: DataFrame, text: str, key: str, patterns: DataFrame, q: int) -> DataFrame:
-    """patterns: pattern (q characters or more). pattern, key, first, last: the ranks of the suffixes that start with it."""
-    from .search import find_multi
-
-    places = find_multi(df, text, patterns.select("pattern", F.col("pattern").alias("pattern_id")), key, q)
-    return places.join(order, [key, "pos"]).groupBy(F.col("pattern_id").alias("pattern"), key).agg(F.min("rank").alias("first"), F.max("rank").alias("last"))
-
-
 def transform(df: DataFrame, order: DataFrame, text: str, key: str, period: int = 1) -> DataFrame:
     """order with bwt: the character period places before each suffix, $ where there is none."""
     chars = windows(df, text, 1, key).select(key, (F.col("pos") + period).alias("pos"), F.col("gram").alias("bwt"))
