@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandline.functions import seq
-from strandline.operators import grams, kept, repeats, suffixes
-from strandline.sources.tables import scratch, table
+from strandline.operators import grams, kept, planted, repeats, suffixes
+from strandline.sources.tables import scratch, stored, table
 
 from .common import DNA, reference, windows_sql
 
@@ -164,6 +164,59 @@ def name_supermax(spark, d):
     return repeats.supermaximal_repeats(table(spark, d, "part").select("p_partkey", F.lower("p_name").alias("name")), "name", "p_partkey", 4)
 
 
+#: Of planted repeats: families, letters of a motif, letters of a slot, changes of a copy.
+FAMILIES, MOTIF, SLOT, CHANGES = 40, 24, 150, 2
+
+
+def _truth(spark, d):
+    return planted.copies(reference(spark, d), "dna", "seq_id", FAMILIES, MOTIF, SLOT, most=CHANGES)
+
+
+def planted_copies(spark, d):
+    """Where copies of 40 families are planted in the documents' DNA, with up to two letters changed."""
+    return _truth(spark, d).drop("slot")
+
+
+def planted_spaced(spark, d):
+    """The documents' DNA with copies planted over every third letter, told by length and digest."""
+    truth = planted.copies(reference(spark, d), "dna", "seq_id", FAMILIES, MOTIF, SLOT, 3)
+    return planted.plant(reference(spark, d), "dna", "seq_id", truth, SLOT, 3).select("seq_id", F.length("dna").cast("long").alias("n"), F.md5(F.col("dna").cast("binary")).alias("digest"))
+
+
+def planted_recall(spark, d):
+    """Of each family how many unchanged copies are planted, and in how many places the maximal repeats of its length or more find it."""
+    truth = stored(_truth(spark, d), "truth")
+    texts = stored(planted.plant(reference(spark, d), "dna", "seq_id", truth, SLOT), "planted")
+    found = repeats.maximal_repeats(texts, "dna", "seq_id", MOTIF).select("gram", "n")
+    motifs = truth.where("n_mut = 0").groupBy("family").agg(F.count("*").alias("planted")).withColumn("motif", planted.motif(F.col("family").cast("string"), MOTIF, "plant-1"))
+    # a repeat is met through the windows of a motif's length that it has
+    inside = grams.windows(found.withColumn("repeat_id", F.monotonically_increasing_id()), "gram", MOTIF, "repeat_id", "n").select(F.col("gram").alias("motif"), "n")
+    best = inside.groupBy("motif").agg(F.max("n").alias("found"))
+    return motifs.join(best, "motif", "left").select("family", "planted", F.coalesce("found", F.lit(0)).cast("long").alias("found"))
+
+
+def _number_sql(*parts: str) -> str:
+    return f"('0x' || substr(md5(concat_ws('-', {', '.join(parts)})), 1, 8))::BIGINT"
+
+
+def _planted_sql(period: int, most: int) -> str:
+    """truth and planted, as in the operator."""
+    span, name = (MOTIF - 1) * period + 1, ("seq_id::VARCHAR", "slot::VARCHAR")
+    changed, stretch = "m0", MOTIF // max(1, most)
+    steps = []
+    for i in range(most):
+        at = f"({_number_sql(chr(39) + 'plant-1' + chr(39), chr(39) + f'change{i}' + chr(39), *name)} % {stretch} + {i * stretch + 1})"
+        steps.append(f"c{i + 1} AS (SELECT *, CASE WHEN n_mut > {i} THEN left({changed}, {at} - 1) || translate(substr({changed}, {at}, 1), 'ACGT', 'CGTA') || substr({changed}, {at} + 1) ELSE {changed} END AS m{i + 1} FROM c{i})")
+        changed = f"m{i + 1}"
+    body = "copy" if period == 1 else f"array_to_string(list_transform(range(0, {MOTIF}), lambda i: substr(copy, i + 1, 1) || CASE WHEN i < {MOTIF - 1} THEN substr(dna, pos + i * {period} + 2, {period - 1}) ELSE '' END), '')"
+    return f"""{DNA}, slots AS (SELECT seq_id, dna, unnest(range(0, length(dna) // {SLOT})) AS slot FROM reference),
+c0 AS (SELECT *, translate(substr(md5('plant-1-motif0-' || family) || md5('plant-1-motif1-' || family), 1, {MOTIF}), '0123456789abcdef', 'ACGTACGTACGTACGT') AS m0 FROM (SELECT seq_id, dna, slot,
+  slot * {SLOT} + {_number_sql("'plant-1'", "'at'", *name)} % {SLOT - span} AS pos, {_number_sql("'plant-1'", "'family'", *name)} % {FAMILIES} AS family, ({_number_sql("'plant-1'", "'changes'", *name)} % {most + 1})::INTEGER AS n_mut FROM slots)){''.join(', ' + x for x in steps)},
+truth AS (SELECT seq_id, dna, slot, pos, family, n_mut, {changed} AS copy FROM c{most}),
+pieces AS (SELECT seq_id, slot, substr(dna, slot * {SLOT} + 1, pos - slot * {SLOT}) || {body} || substr(dna, pos + {span} + 1, (slot + 1) * {SLOT} - pos - {span}) AS piece FROM truth),
+planted AS (SELECT seq_id, coalesce(string_agg(piece, '' ORDER BY slot), '') || any_value(substr(dna, length(dna) // {SLOT} * {SLOT} + 1)) AS dna FROM reference LEFT JOIN pieces USING (seq_id) GROUP BY seq_id)"""
+
+
 FREQUENT = 20
 
 
@@ -242,6 +295,11 @@ s AS (SELECT *, i - row_number() OVER (PARTITION BY seq_id, period ORDER BY i) A
 r AS (SELECT seq_id, period, min(i) AS pos, count(*) + period AS len FROM s GROUP BY seq_id, period, island HAVING count(*) >= period AND count(*) + period >= 12),
 w AS (SELECT r.*, substr(dna, pos + 1, period) AS root FROM r JOIN reference USING (seq_id))
 SELECT seq_id, period::INTEGER AS period, pos, len FROM w WHERE len(list_filter(range(1, period), lambda d: period % d = 0 AND repeat(left(root, d), period // d) = root)) = 0"""),
+    "planted_copies": (planted_copies, f"WITH {_planted_sql(1, CHANGES)} SELECT seq_id, pos, family, n_mut, copy FROM truth"),
+    "planted_spaced": (planted_spaced, f"WITH {_planted_sql(3, 0)} SELECT seq_id, length(dna) AS n, md5(dna) AS digest FROM planted"),
+    "planted_recall": (planted_recall, f"""WITH {_planted_sql(1, CHANGES)}, m AS (SELECT family, copy AS motif, count(*) AS planted FROM truth WHERE n_mut = 0 GROUP BY ALL),
+w AS (SELECT substr(dna, p + 1, {MOTIF}) AS gram FROM (SELECT dna, unnest(range(0, length(dna) - {MOTIF - 1})) AS p FROM planted)), n AS (SELECT gram, count(*) AS found FROM w GROUP BY gram)
+SELECT family, planted, found FROM m JOIN n ON motif = gram"""),
     "dfi_emerging": (dfi_emerging, _frequencies_sql("others * 10 <= english")),
     "dfi_common": (dfi_common, _frequencies_sql("others * 2 >= english AND others <= english * 2")),
     "maximal_repeats": (maximal_repeats, f"WITH {DNA}, p AS (SELECT seq_id, '^' || dna || '$' AS dna FROM reference), w AS ({windows_sql(11, 'p')}), g AS (SELECT substr(gram, 2, 9) AS gram, count(*) AS n, count(DISTINCT left(gram, 1)) AS l, count(DISTINCT right(gram, 1)) AS r, count(*) FILTER (left(gram, 1) = '^') AS s, count(*) FILTER (right(gram, 1) = '$') AS e FROM w GROUP BY 1) SELECT gram, n FROM g WHERE n >= 2 AND (l >= 2 OR s >= 2) AND (r >= 2 OR e >= 2)"),
