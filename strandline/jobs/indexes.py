@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandline.functions import seq
-from strandline.operators import grams, kept, planted, repeats, suffixes
+from strandline.operators import children, grams, kept, planted, repeats, suffixes
 from strandline.sources.tables import scratch, stored, table
 
 from .common import DNA, reference, windows_sql
@@ -78,6 +78,11 @@ def lcp_table(spark, d):
     return suffixes.common_prefixes(ref, order, "dna", "seq_id", levels=levels)
 
 
+def child_table(spark, d):
+    """Up, down and next of every rank of the documents' suffix orders."""
+    return children.child_table(lcp_table(spark, d), "seq_id")
+
+
 def limited_sa(spark, d):
     """Suffixes by their first eight characters, three apart."""
     return suffixes.limited_order(reference(spark, d), "dna", "seq_id", 8, 3)
@@ -253,6 +258,14 @@ def _sa(period: int) -> str:
 
 
 _BWT3 = "bwt AS (SELECT seq_id, rank, pos, CASE WHEN pos >= 3 THEN substr(dna, pos - 2, 1) ELSE '$' END AS bwt FROM sa)"
+_LCP = f"{DNA}, {_sa(1)}, s AS (SELECT seq_id, rank, pos, substr(dna, pos + 1) AS suffix, lag(substr(dna, pos + 1)) OVER (PARTITION BY seq_id ORDER BY rank) AS before FROM sa), lcps AS MATERIALIZED (SELECT seq_id, rank, pos, CASE WHEN before IS NULL THEN 0 ELSE coalesce(list_position(list_transform(list_zip(string_split(before, ''), string_split(suffix, '')), lambda x: x[1] IS NOT DISTINCT FROM x[2]), false) - 1, least(length(before), length(suffix))) END::BIGINT AS lcp FROM s)"
+#: The nearest rank before with as much in common or less is the last of the ranks before with any so small common prefix.
+_CHILDREN = """e AS (SELECT seq_id, rank, lcp, unnest(range(0, lcp + 1)) AS v FROM lcps),
+b AS (SELECT e.seq_id, e.rank, any_value(e.lcp) AS lcp, max(t.rank) AS before FROM e ASOF LEFT JOIN lcps t ON e.seq_id = t.seq_id AND e.v = t.lcp AND e.rank > t.rank GROUP BY e.seq_id, e.rank),
+c AS (SELECT b.*, l.lcp AS before_lcp FROM b LEFT JOIN lcps l ON l.seq_id = b.seq_id AND l.rank = b.before),
+d AS (SELECT seq_id, before, max(rank) FILTER (lcp > before_lcp) AS down, max(rank) FILTER (lcp = before_lcp) AS next_l FROM c WHERE before IS NOT NULL GROUP BY ALL),
+u AS (SELECT seq_id, rank, CASE WHEN before IS NOT NULL THEN lag(rank) OVER (PARTITION BY seq_id, before ORDER BY rank) END AS up FROM c)
+SELECT u.seq_id, u.rank, up, down, next_l FROM u LEFT JOIN d ON u.seq_id = d.seq_id AND u.rank = d.before"""
 _CLASSES = "c0 AS (SELECT gram, seq_id, count(*) AS cnt FROM w GROUP BY 1, 2), l AS (SELECT seq_id, sum(cnt)::BIGINT AS total, list(struct_pack(gram, cnt) ORDER BY gram) AS content FROM c0 GROUP BY 1), k AS (SELECT seq_id, min(seq_id) OVER (PARTITION BY content) AS class, total FROM l)"
 _SUBSTRINGS = """e AS (SELECT p_partkey, family, name, b, unnest(range(b + {least}, length(name) + 1)) AS e FROM (SELECT p_partkey, family, name, unnest(range(0, length(name))) AS b FROM q)), g AS (SELECT p_partkey, family, substr(name, b + 1, e - b) AS gram, CASE WHEN b = 0 THEN '^' || p_partkey ELSE substr(name, b, 1) END AS l, CASE WHEN e = length(name) THEN '$' || p_partkey ELSE substr(name, e + 1, 1) END AS r FROM e), m AS (SELECT family, gram, count(*) AS n, count(DISTINCT p_partkey) AS n_seqs, count(DISTINCT l) AS ls, count(DISTINCT r) AS rs FROM g GROUP BY 1, 2 HAVING count(*) >= 2 AND count(DISTINCT l) >= 2 AND count(DISTINCT r) >= 2)"""
 _BRANDS = "q AS (SELECT p_partkey, p_brand AS family, lower(p_name) AS name FROM part)"
@@ -283,7 +296,8 @@ JOBS = {
     "spaced_bwt_p3": (spaced_bwt_p3, f"WITH {DNA}, {_sa(3)}, {_BWT3} SELECT seq_id, rank, pos, bwt FROM bwt"),
     "occ_table": (occ_table, f"WITH {DNA}, {_sa(3)}, {_BWT3} SELECT seq_id, rank, bwt, " + ", ".join(f"(sum((bwt = '{b}')::BIGINT) OVER (PARTITION BY seq_id ORDER BY rank))::BIGINT AS occ_{b.lower()}" for b in "ACGT") + " FROM bwt"),
     "first_column": (first_column, f"WITH {DNA}, l AS (SELECT seq_id, dna, unnest(['A', 'C', 'G', 'T']) AS letter FROM reference WHERE dna <> '') SELECT seq_id, letter, length(regexp_replace(left(dna, length(dna) - 1), CASE letter WHEN 'A' THEN '.' WHEN 'C' THEN '[^A]' WHEN 'G' THEN '[^AC]' ELSE '[^ACG]' END, '', 'g')) AS first FROM l"),
-    "lcp_table": (lcp_table, f"WITH {DNA}, {_sa(1)}, s AS (SELECT seq_id, rank, pos, substr(dna, pos + 1) AS suffix, lag(substr(dna, pos + 1)) OVER (PARTITION BY seq_id ORDER BY rank) AS before FROM sa) SELECT seq_id, rank, pos, CASE WHEN before IS NULL THEN 0 ELSE coalesce(list_position(list_transform(list_zip(string_split(before, ''), string_split(suffix, '')), lambda x: x[1] IS NOT DISTINCT FROM x[2]), false) - 1, least(length(before), length(suffix))) END::BIGINT AS lcp FROM s"),
+    "lcp_table": (lcp_table, f"WITH {_LCP} SELECT * FROM lcps"),
+    "child_table": (child_table, f"WITH {_LCP}, {_CHILDREN}"),
     "limited_sa": (limited_sa, f"WITH {DNA}, p AS (SELECT seq_id, unnest(range(0, length(dna))) AS pos, dna FROM reference) SELECT seq_id, pos, row_number() OVER (PARTITION BY seq_id ORDER BY regexp_replace(substr(dna, pos + 1, 22), '(.).{{0,2}}', '\\1', 'g'), pos) - 1 AS rank FROM p"),
     "sa_blocks": (sa_blocks, f"WITH {DNA}, {_sa(3)} SELECT seq_id, substr(dna, pos + 1, 1) || substr(dna, pos + 4, 1) AS head, min(rank) AS first, max(rank) AS last FROM sa GROUP BY 1, 2"),
     "sa_ranges": (sa_ranges, f"WITH {DNA}, {_sa(1)}, n AS (SELECT DISTINCT regexp_replace(translate(p_name, 'acgtn', 'ACGTN'), '[^ACGT]', '', 'g') AS pattern FROM part) SELECT pattern, seq_id, min(rank) AS first, max(rank) AS last FROM n JOIN sa ON substr(dna, pos + 1, 4) = left(pattern, 4) AND substr(dna, pos + 1, length(pattern)) = pattern WHERE length(pattern) >= 4 GROUP BY 1, 2"),
