@@ -189,7 +189,7 @@ def planted_spaced(spark, d):
 
 
 def planted_recall(spark, d):
-    """Of each family how many unchanged copies are planted, and in how many places the maximal repeats of its length or more find it."""
+    """Of each family how many unchanged copies are planted, and in how many places the maximal repeats of its length or more find it (0 if it stands in one alone, as it repeats nothing then)."""
     truth = stored(_truth(spark, d), "truth")
     texts = stored(planted.plant(reference(spark, d), "dna", "seq_id", truth, SLOT), "planted")
     found = repeats.maximal_repeats(texts, "dna", "seq_id", MOTIF).select("gram", "n")
@@ -313,7 +313,7 @@ SELECT seq_id, period::INTEGER AS period, pos, len FROM w WHERE len(list_filter(
     "planted_spaced": (planted_spaced, f"WITH {_planted_sql(3, 0)} SELECT seq_id, length(dna) AS n, md5(dna) AS digest FROM planted"),
     "planted_recall": (planted_recall, f"""WITH {_planted_sql(1, CHANGES)}, m AS (SELECT family, copy AS motif, count(*) AS planted FROM truth WHERE n_mut = 0 GROUP BY ALL),
 w AS (SELECT substr(dna, p + 1, {MOTIF}) AS gram FROM (SELECT dna, unnest(range(0, length(dna) - {MOTIF - 1})) AS p FROM planted)), n AS (SELECT gram, count(*) AS found FROM w GROUP BY gram)
-SELECT family, planted, found FROM m JOIN n ON motif = gram"""),
+SELECT family, planted, CASE WHEN found > 1 THEN found ELSE 0 END AS found FROM m JOIN n ON motif = gram"""),
     "dfi_emerging": (dfi_emerging, _frequencies_sql("others * 10 <= english")),
     "dfi_common": (dfi_common, _frequencies_sql("others * 2 >= english AND others <= english * 2")),
     "maximal_repeats": (maximal_repeats, f"WITH {DNA}, p AS (SELECT seq_id, '^' || dna || '$' AS dna FROM reference), w AS ({windows_sql(11, 'p')}), g AS (SELECT substr(gram, 2, 9) AS gram, count(*) AS n, count(DISTINCT left(gram, 1)) AS l, count(DISTINCT right(gram, 1)) AS r, count(*) FILTER (left(gram, 1) = '^') AS s, count(*) FILTER (right(gram, 1) = '$') AS e FROM w GROUP BY 1) SELECT gram, n FROM g WHERE n >= 2 AND (l >= 2 OR s >= 2) AND (r >= 2 OR e >= 2)"),
