@@ -154,8 +154,10 @@ class Segments(dict):
         cut = [self.cut(" " + t) if t else [] for t in texts]
         odd = {i for i, t in enumerate(texts) if "▁" in t or "\x00" in t}  # B may spell these otherwise
         new, strange = list({s for i, segments in enumerate(cut) if i not in odd for s in segments if s not in self}), set()
-        for at in range(0, len(new), TOGETHER):
-            some = new[at : at + TOGETHER]
+        # white space at a text's end would join with that of the next segment
+        last = [s for s in new if s[-1].isspace()]
+        new = [s for s in new if not s[-1].isspace()]
+        for some in [*(new[at : at + TOGETHER] for at in range(0, len(new), TOGETHER)), *([s] for s in last)]:
             if not self.learn(some):
                 strange.update(s for s in some if not self.learn([s]))
         odd |= {i for i, segments in enumerate(cut) if strange and not strange.isdisjoint(segments)}
