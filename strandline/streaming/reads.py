@@ -17,7 +17,7 @@ def align_stream(reads: DataFrame, reference: DataFrame, out: str, checkpoint: s
     """Starts the query: every micro-batch is aligned by the batch operator and written once under its batch number."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        found = align.first_hits(align.align(rows, reference, period, length))
+        found = align.align_first(rows, reference, period, length)
         found.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return reads.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
