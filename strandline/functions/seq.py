@@ -115,11 +115,6 @@ def hash_with_length(gram: Column, q: int) -> Column:
     return F.when(F.length(gram) <= q, shorter + F.coalesce(F.conv(F.nullif(F.translate(gram, BASES, "0123"), F.lit("")), 4, 10).cast("long"), F.lit(0)))
 
 
-def letter_class(c: Column) -> Column:
-    """1 for A, C, G, T; 2 for other IUPAC codes and the gap sign; else 0. Either case."""
-    return F.when(c.rlike("^[ACGTacgt]$"), 1).when(c.rlike("^[RYMKSWBDHVNrymkswbdhvn-]$"), 2).otherwise(0)
-
-
 def end_high(s: Column) -> Column:
     """A key that orders texts with their end above every letter: AC comes after ACT."""
     return F.concat(s, F.lit("~"))
