@@ -14,7 +14,8 @@ from strandline.sources.code import ship
 
 from .grams import at_places, windows
 
-TOGETHER, NONE = 512, "\x00"
+#: Texts that advance together; what no text holds; letters of patterns that are sent to all tasks.
+TOGETHER, NONE, SENT = 512, "\x00", 1 << 22
 
 
 def find_exact(df: DataFrame, text: str, pattern: str, key: str) -> DataFrame:
@@ -24,12 +25,15 @@ def find_exact(df: DataFrame, text: str, pattern: str, key: str) -> DataFrame:
 
 def find_multi(df: DataFrame, text: str, patterns: DataFrame, key: str, q: int) -> DataFrame:
     """patterns: pattern_id, pattern (q characters or more). pattern_id, key, pos: joined on the first q characters, then compared in full."""
-    size = patterns.agg(F.max(F.length("pattern"))).first()[0] or q
+    size, letters = patterns.agg(F.max(F.length("pattern")), F.sum(F.length("pattern"))).first()
+    size = size or q
     # texts are padded so that windows of the longest pattern's size cover the short ones at the end
     padded = df.select(key, F.concat(F.col(text), F.lit("\x00" * (size - 1))).alias("padded"))
     places = windows(padded, "padded", size, key).withColumn("head", F.substring("gram", 1, q))
     heads = patterns.withColumn("head", F.substring("pattern", 1, q))
-    return places.join(heads, "head").where(F.startswith(F.col("gram"), F.col("pattern"))).select("pattern_id", key, "pos")
+    # Spark takes exploded windows for as small as their texts, so it is told which side is
+    met = places.join(F.broadcast(heads), "head") if (letters or 0) <= SENT else places.hint("merge").join(heads, "head")
+    return met.where(F.startswith(F.col("gram"), F.col("pattern"))).select("pattern_id", key, "pos")
 
 
 def find_class(df: DataFrame, text: str, regex: str, size: int, key: str) -> DataFrame:
@@ -110,8 +114,11 @@ def find_pieces(df: DataFrame, text: str, patterns: DataFrame, k: int, key: str)
     """patterns: pattern_id, pattern (all longer than k). pattern_id, key, end_pos, distance: ends within edit distance k.
 
     Of k + 1 pieces of a pattern, one stands unchanged where the pattern is within k edits. Pieces are joined with the
-    text's windows; around a hit, the pattern is compared in a window that holds every such place.
+    text's windows; around a hit, the pattern is compared in a window that holds every such place. Equal texts are searched once.
     """
+    alike = df.where(F.col(text).isNotNull()).select(key, text)
+    heads = alike.groupBy(text).agg(F.min(key).alias("one"))
+    every, df = alike.join(heads.hint("merge"), text).select("one", key), heads.select(F.col("one").alias(key), text)
     size = F.floor(F.length("pattern") / (k + 1)).cast("int")
     cut = patterns.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(k)))).withColumn("at", F.col("i") * size).withColumn("piece", F.when(F.col("i") == k, F.expr("substring(pattern, at + 1)")).otherwise(F.substring(F.col("pattern"), F.col("at") + 1, size)))
     q = patterns.agg(F.min(size)).first()[0] or 1
@@ -124,7 +131,8 @@ def find_pieces(df: DataFrame, text: str, patterns: DataFrame, k: int, key: str)
     sites = at_places(asked, padded, "padded", key, longest)
     ship(df.sparkSession)
     verify = sites.select(key, "pattern_id", "pattern", "pos", "site").mapInPandas(_verified(k, key), f"pattern_id {dict(patterns.dtypes)['pattern_id']}, {key} long, end_pos long, distance int")
-    return verify.groupBy("pattern_id", key, "end_pos").agg(F.min("distance").alias("distance"))
+    found = verify.groupBy("pattern_id", key, "end_pos").agg(F.min("distance").alias("distance"))
+    return found.withColumnRenamed(key, "one").join(every.hint("merge"), "one").select("pattern_id", key, "end_pos", "distance")
 
 
 def _verified(k: int, key: str):
