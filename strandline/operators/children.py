@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from strandline.sources.code import ship
 from strandline.sources.tables import stored
 
+from . import short, suffixes
+
 SETTLED, OPEN, LEFT = 0, 1, 2
 
 
@@ -95,3 +97,11 @@ def child_table(prefixes: DataFrame, scope: str) -> DataFrame:
     below = stored(below.withColumnRenamed("before", "at"), "below")
     ups = rows.select(scope, "rank", up.alias("up"))
     return ups.join(below, (F.col(scope) == F.col("of")) & (F.col("rank") == F.col("at")), "left").select(scope, "rank", "up", "down", "next_l")
+
+
+def children(df: DataFrame, text: str, key: str) -> DataFrame:
+    """child_table() of the suffix order of each text."""
+    near, far = short.split(df, text)
+    names = ("up", "down", "next_l")
+    each = short.table(near, text, key, links=True).select(key, "rank", *(F.when(F.col(n) >= 0, F.col(n)).alias(n) for n in names))
+    return each if far is None else each.unionByName(child_table(suffixes.prefixed(far, text, key), key))
