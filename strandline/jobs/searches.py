@@ -81,6 +81,11 @@ SELECT p_partkey, (j - 1)::BIGINT AS end_pos, col[7] AS score FROM d WHERE j > 0
 SELECT pattern AS pattern_id, p_partkey, e - 1 AS end_pos, least(levenshtein(substr(name, greatest(1, e - 5), least(6, e)), pattern), levenshtein(substr(name, greatest(1, e - 6), least(7, e)), pattern), levenshtein(substr(name, greatest(1, e - 7), least(8, e)), pattern))::INTEGER AS distance FROM s, p
 WHERE least(levenshtein(substr(name, greatest(1, e - 5), least(6, e)), pattern), levenshtein(substr(name, greatest(1, e - 6), least(7, e)), pattern), levenshtein(substr(name, greatest(1, e - 7), least(8, e)), pattern)) <= 1"""),
     "find_patterns": (find_patterns, "WITH e AS (SELECT p_partkey, lower(p_name) AS name, unnest(range(1, length(p_name) + 1)) AS e FROM part) SELECT p_partkey, e - 1 AS end_pos FROM e WHERE regexp_matches(left(name, e), '[a-m]+r?.{1,2}[gt]e*$')"),
-    "find_patterns_dna": (find_patterns_dna, f"WITH {DNA}, s AS (SELECT seq_id, dna, unnest(range(0, length(dna))) AS p FROM reference), e AS (SELECT DISTINCT seq_id, p + length(x) AS e FROM (SELECT seq_id, p, unnest([regexp_extract(substr(dna, p + 1, 60), '^AC?[GT]{{2}}A+'), regexp_extract(substr(dna, p + 1, 60), '^AC?[GT]{{3}}A+')]) AS x FROM s) WHERE x <> ''), a AS (SELECT e.seq_id, e.e, unnest(range(0, 60)) AS back FROM e), h AS (SELECT DISTINCT a.seq_id, a.e - back - 1 AS end_pos FROM a JOIN reference USING (seq_id) WHERE substr(dna, a.e - back, back + 1) = repeat('A', back + 1) AND regexp_matches(substr(dna, greatest(1, a.e - back - 60), least(60, a.e - back - 1) + 1), 'AC?[GT]{{2,3}}A+$')) SELECT seq_id, count(*) AS n, max(end_pos) AS last FROM h GROUP BY 1"),
+    # ends are the As of every run of A that follows AC?[GT]{2,3}, however long the run is
+    "find_patterns_dna": (find_patterns_dna, f"""WITH {DNA}, h AS (SELECT seq_id, p, substr(dna, p + 1, 6) AS g FROM (SELECT seq_id, dna, unnest(range(0, length(dna))) AS p FROM reference)),
+f AS (SELECT DISTINCT seq_id, p + length(x) - 1 AS begin FROM (SELECT seq_id, p, unnest([regexp_extract(g, '^AC?[GT]{{2}}A'), regexp_extract(g, '^AC?[GT]{{3}}A')]) AS x FROM h) WHERE x <> ''),
+a AS (SELECT seq_id, p, p - row_number() OVER (PARTITION BY seq_id ORDER BY p) AS island FROM h WHERE left(g, 1) = 'A'),
+r AS (SELECT seq_id, min(p) AS begin, max(p) AS last FROM a GROUP BY seq_id, island)
+SELECT seq_id, sum(last - begin + 1)::BIGINT AS n, max(last) AS last FROM f JOIN r USING (seq_id, begin) GROUP BY 1"""),
     "guess_formats": (guess_formats, "SELECT CASE left(text, 1) WHEN '>' THEN 'fasta' WHEN 'L' THEN 'genbank' WHEN 'I' THEN 'embl' ELSE 'raw' END AS format, count(*) AS n FROM documents GROUP BY 1"),
 }
