@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strandline.functions import seq
 from strandline.operators.grams import windows
 from strandline.operators.streams import counter, cut_runs
+from strandline.operators.tallies import shifted_distances, tallied
 from strandline.sources.formats import fasta_lines
 from strandline.sources.tables import table
 
@@ -68,11 +69,10 @@ def hash_ranges(spark, d):
 
 def predefined_shapes(spark, d):
     """Counts of the documents' windows by hash of each predefined shape."""
-    out = None
-    for name, shape in seq.SHAPES.items():
-        one = windows(reference(spark, d), "dna", len(shape), "seq_id").groupBy(F.lit(name).alias("shape"), seq.shape_hash(F.col("gram"), shape).alias("hash")).agg(F.count("*").alias("n"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    names, shapes = list(seq.SHAPES), [[i for i, c in enumerate(shape) if c == "1"] for shape in seq.SHAPES.values()]
+    found = tallied(reference(spark, d), "dna", shapes)
+    value = F.conv(F.translate("gram", seq.BASES, "0123"), 4, 10).cast("long")
+    return found.select(F.element_at(F.array(*map(F.lit, names)), F.col("shape") + 1).alias("shape"), value.alias("hash"), "n")
 
 
 def end_high_order(spark, d):
@@ -162,8 +162,7 @@ def lcp_neighbours(spark, d):
 
 def window_hamming(spark, d):
     """Histogram of the Hamming distance of a 24-base window and the one 24 further on, at every position."""
-    w = windows(reference(spark, d), "dna", 48, "seq_id")
-    return w.groupBy(seq.hamming(F.substring("gram", 1, 24), F.substring("gram", 25, 24)).cast("long").alias("mismatches")).agg(F.count("*").alias("n"))
+    return shifted_distances(reference(spark, d), "dna", 24)
 
 
 def string_cases(spark, d):
