@@ -96,3 +96,16 @@ def test_tandem_all_against_plain_runs(spark, monkeypatch, chunk):
     named = df.selectExpr("cast(seq_id as string) seq_id", "dna")
     assert {(r.seq_id, r.pos, r.len) for r in repeats.tandem(named, "dna", 2, 5, "seq_id").collect()} >= {("1", 0, 200)}
     assert repeats.tandem_all(df.limit(0), "dna", 7, 6, "seq_id").count() == 0
+
+
+def test_most_places_are_those_of_the_best_maximal_repeat(spark, monkeypatch):
+    # beside a window of its own: copies, texts' ends, overlaps and near copies
+    texts = {1: dna(90, 1), 2: dna(90, 1), 3: dna(60, 1) + "A" * 12, 4: "A" * 9, 5: "ACAC" * 6, 6: dna(90, 1)[20:70], 7: "", 8: None, 9: "T" + dna(90, 1)[30:], 10: dna(400, 2, "AC")}
+    df = spark.createDataFrame(list(texts.items()), "k long, t string")
+    found = repeats.maximal_repeats(df, "t", "k", 6).collect()
+    every = {t[p : p + 6] for t in texts.values() for p in range(len(t or "") - 5)} | {"GGGGGG"}
+    want = {g: max(ns) for g in every if (ns := [r.n for r in found if g in r.gram])}
+    wanted = spark.createDataFrame([(g,) for g in every], "gram string")
+    for sent in (0, 1 << 12):
+        monkeypatch.setattr(repeats, "SENT", sent)
+        assert {r.gram: r.n for r in repeats.most_places(df, "t", 6, wanted).collect()} == want and 0 < len(want) < len(every)
