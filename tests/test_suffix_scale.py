@@ -109,3 +109,15 @@ def test_most_places_are_those_of_the_best_maximal_repeat(spark, monkeypatch):
     for sent in (0, 1 << 12):
         monkeypatch.setattr(repeats, "SENT", sent)
         assert {r.gram: r.n for r in repeats.most_places(df, "t", 6, wanted).collect()} == want and 0 < len(want) < len(every)
+
+
+def test_runs_of_fewer_than_two_periods_leave_no_task(spark, monkeypatch):
+    written = {}
+    keep = repeats.stored
+    monkeypatch.setattr(repeats, "stored", lambda df, label: written.setdefault(label, keep(df, label)))
+    monkeypatch.setattr(repeats, "TOGETHER", 3000)
+    df = spark.createDataFrame([(k, dna(n, k)) for k, n in enumerate([2000, 1, 0, 1500, 12, 2500, 900])], "k long, t string")
+    got = sorted(tuple(r) for r in repeats.tandem_all(df, "t", 12, 12, "k").collect())
+    assert got == sorted((k, *r) for k, t in df.collect() for r in runs(t, 12, 12)) and got
+    # of a period of 12, one equal letter would come to 12 letters
+    assert written["runs"].count() < 3 * len(got) + 200
