@@ -1,6 +1,7 @@
 """Repeats and patterns where many texts are equal, against brute force; what a range of equal suffixes leaves open."""
 
 import random
+from types import SimpleNamespace
 
 import pyarrow as pa
 import pytest
@@ -41,6 +42,30 @@ def test_a_range_of_equal_suffixes_leaves_few_records(spark, monkeypatch):
     assert len([r for r in found if r["kind"] != repeats.ROW]) <= 4
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_cuts_between_ranges_change_no_interval(monkeypatch, seed):
+    """What a range leaves open is closed alike wherever ranges are cut."""
+    rng, part = random.Random(seed), [0]
+    monkeypatch.setattr(repeats, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("P", (), {"partitionId": staticmethod(lambda: part[0])}))}))
+    for _ in range(1500):
+        n, most = rng.randint(2, 14), rng.randint(1, 4)
+        rows = [(i, rng.randint(0, most) if i else 0, rng.choice("ab")) for i in range(n)]
+        cuts, found = [0, *sorted(rng.sample(range(1, n), min(n - 1, rng.randint(0, 3)))), n], []
+        for part[0], (a, b) in enumerate(zip(cuts, cuts[1:])):
+            batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows[a:b])], names=["place", "length", "left"])
+            found += [SimpleNamespace(**r) for x in repeats._scan_range(iter([batch])) for r in x.to_pylist()]
+        got = [(r.length, r.first, r.last, r.differ, r.leaves) for r in found if r.kind == repeats.ROW and r.length > 0]
+        got += repeats._closed(sorted((r for r in found if r.kind != repeats.ROW), key=lambda r: (r.part, r.kind, r.seq)))
+        want = set()
+        for i, length, _ in rows[1:]:
+            if length:
+                a = max(k for k in range(i) if rows[k + 1][1] >= length and (k == 0 or rows[k][1] < length) and all(x[1] >= length for x in rows[k + 1 : i + 1]))
+                b = max(k for k in range(i, n) if all(x[1] >= length for x in rows[i : k + 1]))
+                inside = rows[a : b + 1]
+                want.add((length, a, b, len({x[2] for x in inside}) > 1, all(x[1] == length for x in inside[1:])))
+        assert sorted(got) == sorted(want)
+
+
 def test_patterns_in_equal_texts(spark):
     texts = [(1, "red bolt"), (2, "red bolt"), (3, "a red bilt"), (4, None), (5, "red bolt")]
     df = spark.createDataFrame(texts, "k long, t string")
