@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.sources.code import ship
+from strandline.sources.tables import stored
 
 from . import bands
 from .grams import at_places, windows
@@ -46,18 +47,21 @@ def find_class(df: DataFrame, text: str, regex: str, size: int, key: str) -> Dat
 def close_pairs(df: DataFrame, text: str, key: str, block: list[str], k: int, length: int) -> DataFrame:
     """a, b, distance: pairs of one block, of texts at least length long, at edit distance k at most.
 
-    Pigeonhole filter: of k + 1 pieces of one text, one stands unchanged in the other, moved by k places at most.
+    Pigeonhole filter: of k + 1 pieces of one text, one stands unchanged in the other, moved by k places at most. Equal texts of a
+    block are compared once; only pairs that are near are spelled out for each key. Nothing is broadcast, as Spark takes what is
+    spelled out for as small as its texts.
     """
-    piece = length // (k + 1)
+    piece, by = length // (k + 1), [F.col(b) for b in block]
     rows = df.where(F.length(text) >= length).select(*block, F.col(key).alias("id"), F.col(text).alias("t"))
-    cut = rows.select(*block, "id", "t", F.explode(F.sequence(F.lit(0), F.lit(k))).alias("i")).withColumn("piece", F.expr(f"substring(t, i * {piece} + 1, {piece})"))
-    places = rows.select(*block, "id", "t", F.explode(F.sequence(F.lit(0), F.lit(k))).alias("i")).select(*block, "id", "t", "i", F.explode(F.sequence(F.greatest(F.lit(0), F.col("i") * piece - k), F.col("i") * piece + k)).alias("at")).withColumn("piece", F.expr(f"substring(t, at + 1, {piece})"))
-    x, y = cut.alias("x"), places.alias("y")
-    same = (F.col("x.i") == F.col("y.i")) & (F.col("x.piece") == F.col("y.piece")) & (F.col("x.id") < F.col("y.id"))
-    for b in block:
-        same &= F.col(f"x.{b}") == F.col(f"y.{b}")
-    met = x.join(y, same).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.t").alias("s"), F.col("y.t").alias("t")).distinct()
-    return met.withColumn("distance", F.levenshtein("s", "t", k)).where("distance >= 0").select("a", "b", "distance")
+    alike = stored(rows.groupBy(*block, "t").agg(F.count("*").alias("n")), "alike")
+    cut = alike.select(*block, "t", F.explode(F.sequence(F.lit(0), F.lit(k))).alias("i")).select(*block, F.col("t").alias("s"), "i", F.expr(f"substring(t, i * {piece} + 1, {piece})").alias("piece"))
+    places = alike.select(*block, "t", F.explode(F.sequence(F.lit(0), F.lit(k))).alias("i")).select(*block, "t", "i", F.explode(F.sequence(F.greatest(F.lit(0), F.col("i") * piece - k), F.col("i") * piece + k)).alias("at")).select(*block, "t", "i", F.expr(f"substring(t, at + 1, {piece})").alias("piece"))
+    met = cut.hint("merge").join(places, [*block, "i", "piece"]).where("s < t").select(*block, "s", "t").distinct()
+    near = stored(met.withColumn("distance", F.levenshtein("s", "t", k)).where("distance >= 0"), "near")
+    same = alike.where("n > 1").select(*by, F.col("t").alias("s"), "t", F.lit(0).alias("distance"))
+    both = near.unionByName(near.select(*by, F.col("t").alias("s"), F.col("s").alias("t"), "distance")).unionByName(same)
+    first = rows.select(*by, F.col("id").alias("a"), F.col("t").alias("s")).hint("merge").join(both, [*block, "s"])
+    return first.hint("merge").join(rows.withColumnRenamed("id", "b"), [*block, "t"]).where("a < b").select("a", "b", "distance")
 
 
 def _by_columns(df: DataFrame, text: str, pattern: str, key: str, value: str, start: np.ndarray, step, hit) -> DataFrame:

@@ -72,3 +72,25 @@ def test_patterns_in_equal_texts(spark):
     patterns = spark.createDataFrame([("p", "red bol")], "pattern_id string, pattern string")
     got = {(r.k, r.end_pos, r.distance) for r in search.find_pieces(df, "t", patterns, 1, "k").collect()}
     assert got == {(k, e, d) for k in (1, 2, 5) for e, d in ((5, 1), (6, 0), (7, 1))} | {(3, 8, 1)}
+
+
+def test_close_pairs_of_equal_texts(spark):
+    """Equal texts of a block are compared once, and nothing is broadcast."""
+    rng = random.Random(4)
+    kinds = ["red bolt", "red bolts", "rad bolt", "blue ring", "blue rings", "green nut", "nut"]
+    rows = [(i, rng.choice("xy"), rng.choice(kinds)) for i in range(80)] + [(80, None, "red bolt"), (81, None, "red bolt"), (82, "x", None)]
+    found = search.close_pairs(spark.createDataFrame(rows, "k long, g string, t string"), "t", "k", ["g"], 2, 6)
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            row, last = [i], row
+            for j, d in enumerate(b, 1):
+                row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (c != d)))
+        return row[-1]
+
+    some = [r for r in rows if r[1] and r[2] and len(r[2]) >= 6]
+    want = {(a[0], b[0], edits(a[2], b[2])) for a in some for b in some if a[0] < b[0] and a[1] == b[1] and edits(a[2], b[2]) <= 2}
+    assert sorted(map(tuple, found.collect())) == sorted(want) and len(want) > 500
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "levenshtein" not in plan
