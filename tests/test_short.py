@@ -54,3 +54,18 @@ def test_limited_and_cyclic(spark, limit):
     df = spark.createDataFrame(list(TEXTS.items()), "seq_id long, dna string")
     got = {(r.seq_id, r["rank"]): r.pos for r in suffixes.limited_order(df, "dna", "seq_id", limit, 3).collect()}
     assert got == {(k, i): p for k, t in TEXTS.items() if t for i, p in enumerate(sorted(range(len(t)), key=lambda p: t[p : p + 3 * limit : 3]))}
+
+
+def test_heads_are_told_where_texts_are_read(spark, tmp_path, monkeypatch):
+    """An order to search in, of short texts each, joins no heads to it."""
+    from strandline.operators import kept
+
+    texts = {1: "ACGTACGTTTACG", 2: "", 3: None, 4: "A", 5: "é😀éAC", 6: "ACAC" * 9}
+    df = spark.createDataFrame(list(texts.items()), "seq_id long, dna string")
+    monkeypatch.setattr(suffixes, "_heads", lambda *x: pytest.fail("heads are made for all places"))
+    kept.build_order(df, "dna", "seq_id", f"file://{tmp_path}", "seq_id")
+    got = sorted((r.id, r["rank"], r.pos, r.head) for r in spark.read.parquet(f"file://{tmp_path}/order").collect())
+    want = [(k, i, p, t[p : p + kept.HEAD]) for k, t in texts.items() if t for i, p in enumerate(sorted(range(len(t)), key=lambda p: (t[p:], p)))]
+    assert got == want
+    found = kept.search_order(spark, f"file://{tmp_path}", spark.createDataFrame([("ACAC",), ("AC" * 17,)], "pattern string"), df, "dna", "seq_id")
+    assert {(r.pattern, r.seq_id): (r["first"], r["last"]) for r in found.collect()} == {("ACAC", 6): (1, 17), ("AC" * 17, 6): (16, 17)}
